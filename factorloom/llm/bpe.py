@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factorloom.llm.common import small_batches
+
 IDS = "doc_id {id_type}, n_tokens long, ids array<int>"
 
 
@@ -147,24 +149,29 @@ def chunked(step: int, overlap: int):
     return run
 
 
-def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text", step: int = 32768, overlap: int = 1024) -> DataFrame:
+def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text", step: int = 32768, overlap: int = 1024, decoded: bool = False) -> DataFrame:
     """Columns doc_id, n_tokens and ids: a row for each row of ``docs``.
 
     step, overlap: characters of a chunk and how many more it shares with the next.
+    decoded: add what the ids decode to, made piece by piece in the same pass.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = IDS.format(id_type=docs.schema["doc_id"].dataType.simpleString())
+    schema = IDS.format(id_type=docs.schema["doc_id"].dataType.simpleString()) + ", decoded binary" * decoded
     sent = docs.sparkSession.sparkContext.broadcast(codec)  # a vocabulary: its size doesn't depend on the rows
     length = F.coalesce(F.length("text"), F.lit(0))
 
-    def listed(arrays: list[np.ndarray]) -> pa.Array:
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)]).astype(np.int32)))
+    def columns(ids: list[np.ndarray]) -> list[pa.Array]:
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)))
+        return [listed, *([pa.array([sent.value.decode(x) for x in ids], pa.binary())] if decoded else [])]
+
+    names = ["ids", *(["decoded"] if decoded else [])]
 
     def whole(batches):
         for batch in batches:
             ids = [sent.value.encode(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), listed(ids)], names=["doc_id", "n_tokens", "ids"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), *columns(ids)], names=["doc_id", "n_tokens", *names])
 
     short = docs.filter(length <= step + overlap).mapInArrow(whole, schema)
 
@@ -185,16 +192,25 @@ def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str
     def pieces(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("k")
         ids = sent.value.encode("".join(rows.column("part").to_pylist()))
-        return pa.table([rows.column("key")[:1], rows.column("piece")[:1], listed([ids])], names=["key", "piece", "ids"])
-
-    encoded = parts.groupBy("key", "piece").applyInArrow(pieces, "key string, piece int, ids array<int>")
-    texts = encoded.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p")).select("key", F.flatten(F.col("p.ids")).alias("ids"))
-    done = owners.join(texts, "key").select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.explode(F.expr("sequence(1L, count)")).alias("copy"))
+        return pa.table([rows.column("key")[:1], rows.column("piece")[:1], *columns([ids])], names=["key", "piece", *names])
+
+    def together(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("piece").combine_chunks()
+        ids = rows.column("ids").chunk(0).flatten()
+        listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        joined = [pa.array([b"".join(rows.column("decoded").to_pylist())], pa.binary())] if decoded else []
+        return pa.table([rows.column("key")[:1], listed, *joined], names=["key", *names])
+
+    kept = "key string, {}ids array<int>" + ", decoded binary" * decoded
+    encoded = parts.groupBy("key", "piece").applyInArrow(pieces, kept.format("piece int, "))
+    texts = encoded.groupBy("key").applyInArrow(together, kept.format(""))
+    done = owners.join(texts, "key").select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *names, F.explode(F.expr("sequence(1L, count)")).alias("copy"))
     return short.unionByName(done.drop("copy"))
 
 
 def decode(encoded: DataFrame, codec: Codec, ids_col: str = "ids") -> DataFrame:
     """The rows with a column ``decoded``: the bytes of the ids (none: no bytes)."""
+    small_batches(encoded.sparkSession)
     sent = encoded.sparkSession.sparkContext.broadcast(codec)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary"
 
@@ -209,5 +225,5 @@ def decode(encoded: DataFrame, codec: Codec, ids_col: str = "ids") -> DataFrame:
 
 def digests(docs: DataFrame, codec: Codec) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row."""
-    both = decode(encode(docs, codec), codec)
+    both = encode(docs, codec, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

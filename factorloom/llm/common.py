@@ -29,6 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, most: str = "4MB") -> None:
+    """Bounds the bytes of an Arrow batch, so that a Python worker holds a few long texts or many short ones.
+
+    A bound that the session already lowers stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864b") == "67108864b":  # Spark's own default
+        spark.conf.set(name, most)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column as one byte array and int64 offsets; null counts as empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
