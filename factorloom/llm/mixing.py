@@ -139,6 +139,8 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
 
     # the extra copies of a (source, size) are dealt to hash slots of about 64 rows, then to the first rows of a slot
     placed = sized.join(rated, ["__key", "__size"]).withColumn("__slot", F.pmod(F.col("__hash"), F.ceil(F.col("n") / 64)))
+    # dealt by slot: else the rows of a hot (source, size) would stay together as the join has put them
+    placed = placed.repartition("__key", "__size", "__slot")
     slots = placed.groupBy("__key", "__size", "__slot").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("extra").alias("extra"))
     seen = F.sum("c").over(Window.partitionBy("__key", "__size").orderBy("__slot").rowsBetween(Window.unboundedPreceding, 0))
     slots = slots.withColumn("seen", seen).select("__key", "__size", "__slot", (F.floor(F.col("extra") * F.col("seen") / F.col("n")) - F.floor(F.col("extra") * (F.col("seen") - F.col("c")) / F.col("n"))).alias("gets"))
