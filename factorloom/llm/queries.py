@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factorloom.llm import bpe, langid, licenses, mixing, neardup, substrings, topk, vecdup
+from factorloom.llm import bpe, chat, langid, licenses, mixing, neardup, secrets, substrings, topk, vecdup
 from factorloom.llm.common import table
 
 
@@ -34,13 +34,21 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(table(spark, sf_dir, "conversations"))
+
+
 def op10_vecdup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_byte_bpe, op3_substrings, op4_topk, op5_language, op6_mixing, op8_neardup, op10_vecdup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_byte_bpe, op3_substrings, op4_topk, op5_language, op6_mixing, op7_secrets, op8_neardup, op9_chat, op10_vecdup)}
+ORACLES = {"op9_chat": chat.ORACLE}
