@@ -156,13 +156,8 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return dealt.groupBy("g").cogroup(there.groupBy("at")).applyInArrow(compare, "a long, b long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, take: int = 4, entries: int = 32, least: float = 0.8) -> DataFrame:
-    """doc_id and class_id (the smallest id of its class) for each row, and n_words.
-
-    k: words of a k-mer; take, entries: k-mers of a sketch entry and entries; least: edit similarity of a link.
-    """
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+def _components(docs: DataFrame, k: int, take: int, entries: int, least: float) -> DataFrame:
+    """(key, doc_id, n, component) of each different text of docs (doc_id, text, key); doc_id is its smallest."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketches(batches):
@@ -194,8 +189,35 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = cut(links.union(verify(cut(rest.join(known, ["a", "b"], "left_anti")), texts, least)))
+    return nodes.join(components(links).toDF("key", "component"), "key", "left").select("key", "doc_id", "n", F.coalesce("component", "key").alias("component"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+
 
-    named = nodes.join(components(links).toDF("key", "component"), "key", "left").select("key", "doc_id", "n", F.coalesce("component", "key").alias("component"))
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, take: int = 4, entries: int = 32, least: float = 0.8) -> DataFrame:
+    """doc_id, class_id (the smallest id of its class) and n_words for each row.
+
+    k: words of a k-mer; take, entries: k-mers of a sketch entry and entries; least: edit similarity of a link.
+    """
+    docs = _keyed(docs, id_col, text_col)
+    named = _components(docs, k, take, entries, least)
     least_id = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     named = named.join(least_id, "component").select("key", "n", F.when(F.col("n") > 0, F.col("class_id")).alias("class_id"))
     return docs.select("doc_id", "key").join(named, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n").cast("long").alias("n_words"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, take: int = 4, entries: int = 32, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class the one with the smallest id.
+
+    Texts without a word all stay.
+    """
+    named = cut(_components(_keyed(docs, id_col, text_col), k, take, entries, least))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("key").alias("key")))
+    chosen = named.filter("n > 0").groupBy("component").agg(first.alias("c")).select(F.col("c.key").alias("__key"), F.col("c.id").alias("__id"))
+    empty = named.filter("n = 0").select(F.col("key").alias("__key"))
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(text_col).cast("string")))
+    one = keyed.join(chosen, (keyed["__key"] == chosen["__key"]) & keyed[id_col].eqNullSafe(chosen["__id"]), "left_semi").dropDuplicates(["__key"])
+    return one.unionByName(keyed.join(empty, "__key", "left_semi")).drop("__key")
