@@ -1,0 +1 @@
+"""Low-rank factorization of large sparse ratings with Spark DataFrames."""
