@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from factorloom.llm.common import cut
 
 UNIT = 30  # rates are held as multiples of 2**-30
-NAMES = ("__key", "__size", "__hash", "__slot")
 
 
 def word_count(text: Column) -> Column:
@@ -68,7 +67,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: f
     return rows.withColumn("target", F.least(stop, level * F.col("weight")))
 
 
-def multipliers(groups: DataFrame, sources: DataFrame, most: float = 2.0, steps: int = 60, close: float = 1e-8) -> DataFrame:
+def multipliers(groups: DataFrame, sources: DataFrame, most: float = 2.0, steps: int = 60, close: float = 1e-7) -> DataFrame:
     """Adds ``lambda`` to the sources: Newton's method on the dual, all sources at once.
 
     groups: (__key, __size, n) with sizes over 0; sources: (__key, source_size, docs, least, target).
@@ -87,7 +86,7 @@ def multipliers(groups: DataFrame, sources: DataFrame, most: float = 2.0, steps:
     kept = state.columns
     tilt = F.col("lambda") * x
     words = F.col("n") * F.col("__size")
-    exact = lambda c: F.sum(F.round(c * 1024).cast("decimal(38,0)")).cast("double") / 1024
+    exact = lambda c: F.sum(F.round(c * (1 << 24)).cast("decimal(38,0)")).cast("double") / (1 << 24)
     for _ in range(steps):
         sums = groups.join(state, "__key").groupBy("__key").agg(
             exact(words * F.least(F.lit(most), F.exp(F.least(tilt, F.lit(1.0))))).alias("f"),
@@ -107,10 +106,11 @@ def multipliers(groups: DataFrame, sources: DataFrame, most: float = 2.0, steps:
     return state.select(*kept).withColumn("lambda", F.round("lambda", 12))
 
 
-def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, starts: int = 16) -> DataFrame:
+def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, starts: int = 16, names: tuple[str, str, str, str] = ("size", "source_size", "target", "copies")) -> DataFrame:
     """All columns of ``docs`` and size, source_size, target and copies (0 to ``most``).
 
     starts: starting points that are tried for the running sum of a source's rates.
+    names: of the four; a column of ``docs`` of one of these names gives way.
     """
     key = F.concat(F.when(F.col(source_col).isNull(), "n").otherwise("s"), F.coalesce(F.col(source_col), F.lit("")))
     sized = docs.withColumns({"__key": key, "__size": word_count(F.col(text_col)), "__hash": F.xxhash64(id_col, text_col)})
@@ -135,19 +135,22 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     rated = rated.join(best, "__key").withColumn("whole", whole)
     rated = groups.join(rated.select("__key", "__size", "whole"), ["__key", "__size"], "left").join(aims.select("__key", "source_size", "target"), "__key")
     whole = F.when(F.col("__size") > 0, F.col("whole")).otherwise(F.col("n"))
-    rated = cut(rated.select("__key", "__size", "n", "source_size", "target", F.floor(whole / F.col("n")).alias("base"), (whole % F.col("n")).alias("extra")))
+    of = F.col("n")
+    rated = rated.select("__key", "__size", of.alias("__n"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.floor(whole / of).alias("__base"), (whole % of).alias("__extra"))
+    rated = cut(rated)
 
     # the extra copies of a (source, size) are dealt to hash slots of about 64 rows, then to the first rows of a slot
-    placed = sized.join(rated, ["__key", "__size"]).withColumn("__slot", F.pmod(F.col("__hash"), F.ceil(F.col("n") / 64)))
+    placed = sized.join(rated, ["__key", "__size"]).withColumn("__slot", F.pmod(F.col("__hash"), F.ceil(F.col("__n") / 64)))
     # dealt by slot: else the rows of a hot (source, size) would stay together as the join has put them
     placed = placed.repartition("__key", "__size", "__slot")
-    slots = placed.groupBy("__key", "__size", "__slot").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("extra").alias("extra"))
+    slots = placed.groupBy("__key", "__size", "__slot").agg(F.count("*").alias("c"), F.first("__n").alias("n"), F.first("__extra").alias("extra"))
     seen = F.sum("c").over(Window.partitionBy("__key", "__size").orderBy("__slot").rowsBetween(Window.unboundedPreceding, 0))
-    slots = slots.withColumn("seen", seen).select("__key", "__size", "__slot", (F.floor(F.col("extra") * F.col("seen") / F.col("n")) - F.floor(F.col("extra") * (F.col("seen") - F.col("c")) / F.col("n"))).alias("gets"))
-    place = F.row_number().over(Window.partitionBy("__key", "__size", "__slot").orderBy("__hash", id_col))
+    slots = slots.withColumn("seen", seen).select("__key", "__size", "__slot", (F.floor(F.col("extra") * F.col("seen") / F.col("n")) - F.floor(F.col("extra") * (F.col("seen") - F.col("c")) / F.col("n"))).alias("__gets"))
+    place = F.row_number().over(Window.partitionBy("__key", "__size", "__slot").orderBy("__hash", F.col(f"`{id_col}`")))
     done = placed.join(slots, ["__key", "__size", "__slot"]).withColumn("__place", place)
-    copies = (F.col("base") + F.when(F.col("__place") <= F.col("gets"), 1).otherwise(0)).cast("long")
-    return done.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "copies")), F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"))
+    copies = (F.col("__base") + F.when(F.col("__place") <= F.col("__gets"), 1).otherwise(0)).cast("long")
+    made = F.col("__size"), F.col("__source_size"), F.col("__target"), copies
+    return done.select(*(F.col(f"`{c}`") for c in docs.columns if c not in names), *(c.alias(n) for c, n in zip(made, names, strict=True)))
 
 
 def digests(docs: DataFrame) -> DataFrame:
