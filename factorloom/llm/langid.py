@@ -107,7 +107,7 @@ class Model:
         """Bits of each byte in each language; ``begin``: place of each byte in its document."""
         n, out = len(data), np.zeros((len(data), len(self.langs)), np.float32)
         grams = np.zeros(n, np.uint64)
-        for k in range(self.order, -1, -1):
+        for k in range(min(self.order, n - 1), -1, -1):
             grams[k:] = (grams[k:] << np.uint64(8)) | data[: n - k].astype(np.uint64)
             grams[:k] <<= np.uint64(8)
         todo, key = np.arange(n), grams
@@ -160,16 +160,20 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     return Model({k: v for k, v in samples.items() if v}, order)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns ``keep``, lang_pred, score (the posterior of that language if all are equally likely) and bits_per_byte."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
+    """Columns ``keep``, lang_pred, score (the posterior of that language if all are equally likely) and bits_per_byte.
+
+    names: of the three; a kept column of one of these names gives way.
+    """
+    keep = tuple(c for c in keep if c not in names)
     small_batches(docs.sparkSession)
-    docs = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    docs = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias("__text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "__text") + "lang_pred string, score double, bits_per_byte double"
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "__text") + f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` double"
 
     def run(batches):
         model = sent.value
-        names = np.array([*model.langs, UNKNOWN], dtype=object)
+        langs = np.array([*model.langs, UNKNOWN], dtype=object)
         for batch in batches:
             text = batch.column(batch.num_columns - 1)
             data, offsets = text_bytes(text)
@@ -184,7 +188,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
                 with np.errstate(under="ignore"):
                     score[letters] = (1 / np.exp2(np.maximum(best[:, None] - bits, -1000)).sum(axis=1))[letters]
                 rate[letters] = best[letters] / size[letters]
-            yield pa.record_batch([*batch.columns[:-1], pa.array(names[pred].tolist(), pa.string()), pa.array(score), pa.array(rate, mask=~letters | (not model.langs))], names=[*batch.schema.names[:-1], "lang_pred", "score", "bits_per_byte"])
+            yield pa.record_batch([*batch.columns[:-1], pa.array(langs[pred].tolist(), pa.string()), pa.array(score), pa.array(rate, mask=~letters | (not model.langs))], names=[*batch.schema.names[:-1], *names])
 
     return docs.mapInArrow(run, schema)
 
