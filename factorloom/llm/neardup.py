@@ -24,8 +24,6 @@ class); other columns are ignored. Equal texts are told by 64 bits of a hash.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,7 +48,7 @@ def labelled(words: np.ndarray, k: int) -> np.ndarray:
     return W.mix(kmers + nth * np.uint64(0x9E3779B97F4A7C15))
 
 
-def sketch(words: np.ndarray, k: int = 5, take: int = 4, entries: int = 32) -> np.ndarray:
+def sketch(words: np.ndarray, k: int = 5, take: int = 6, entries: int = 48) -> np.ndarray:
     """A 64-bit value for each entry: the ``take`` smallest labelled k-mers in text order."""
     marks = labelled(words, k)
     take, n = min(take, len(marks)), len(marks)
@@ -83,29 +81,43 @@ def aligned(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     n, m = len(a), len(b)
     if not n or not m:
         return max(n, m) <= most
-    stops: dict[int, list[int]] = {}
-
-    def slide(i: int, d: int) -> int:
-        """From row i down diagonal d while the words agree."""
-        if d not in stops:
-            low, high = max(0, -d), min(n, m - d)
-            stops[d] = [*(np.flatnonzero(a[low:high] != b[low + d : high + d]) + low).tolist(), high]
-        found = stops[d]
-        return found[bisect_left(found, i)] if i < found[-1] else i
+    # reach[d + zero]: how far the words of a are used up on diagonal d
+    zero, never = most + 1, -(1 << 40)
+    diagonals = np.arange(-zero, zero + 1)
+    limits = np.minimum(n, m - diagonals)
+    reach = np.full(2 * most + 3, never)
+    stops: dict[int, np.ndarray] = {}
+
+    def slide(at: np.ndarray, d: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Down each diagonal while the words agree: a few steps together, then by the places where a diagonal differs."""
+        go = np.flatnonzero((at >= 0) & (at + d >= 0) & (at < limit))
+        for _ in range(4):
+            go = go[a[at[go]] == b[at[go] + d[go]]]
+            if not len(go):
+                return at
+            at[go] += 1
+            go = go[at[go] < limit[go]]
+        for i in go:
+            k = int(d[i])
+            if k not in stops:
+                low, high = max(0, -k), int(limit[i])
+                stops[k] = np.append(np.flatnonzero(a[low:high] != b[low + k : high + k]) + low, high)
+            at[i] = stops[k][np.searchsorted(stops[k], at[i])]
+        return at
 
     goal = m - n
-    reach = {0: slide(0, 0)}
-    if goal == 0 and reach[0] >= n:
-        return True
-    for edits in range(1, most + 1):
-        left, new = most - edits, {}
-        for d in range(max(-edits, goal - left, -n), min(edits, goal + left, m) + 1):
-            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -1), reach.get(d + 1, -2) + 1)
-            if i >= 0:
-                i = min(i, n, m - d)
-                new[d] = slide(i, d) if i + d >= 0 else i
-        reach = new
-        if reach.get(goal, -1) >= n:
+    reach[zero] = 0
+    reach[zero : zero + 1] = slide(reach[zero : zero + 1].copy(), diagonals[zero : zero + 1], limits[zero : zero + 1])
+    for edits in range(most + 1):
+        if edits:
+            # diagonals from which the goal is still within the band
+            low, high = max(-edits, goal - (most - edits), -n) + zero, min(edits, goal + (most - edits), m) + zero + 1
+            here = np.maximum(np.maximum(reach[low:high], reach[low + 1 : high + 1]) + 1, reach[low - 1 : high - 1])
+            here = np.minimum(here, limits[low:high])
+            new = np.full(2 * most + 3, never)
+            new[low:high] = slide(here, diagonals[low:high], limits[low:high])
+            reach = new
+        if reach[goal + zero] >= n:
             return True
     return False
 
@@ -197,7 +209,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, take: int = 4, entries: int = 32, least: float = 0.8) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, take: int = 6, entries: int = 48, least: float = 0.8) -> DataFrame:
     """doc_id, class_id (the smallest id of its class) and n_words for each row.
 
     k: words of a k-mer; take, entries: k-mers of a sketch entry and entries; least: edit similarity of a link.
@@ -209,7 +221,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     return docs.select("doc_id", "key").join(named, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n").cast("long").alias("n_words"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, take: int = 4, entries: int = 32, least: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, take: int = 6, entries: int = 48, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class the one with the smallest id.
 
     Texts without a word all stay.
