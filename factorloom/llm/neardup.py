@@ -9,12 +9,12 @@ edit distance of their words is at most ``1 - least`` of the longer one, found b
 a furthest-reaching alignment inside that band of diagonals.
 
 Equal texts are one node. In each bucket (texts with one sketch entry) every text
-is first compared with the bucket's smallest; links join texts into components,
-and only buckets that still hold several components give their remaining pairs,
-those across components, to be compared too. So no link that a bucket offers is
-left out, a class of thousands costs a comparison a member, and pairs inside a
-class are never listed. A text that many others are compared with is sent to
-several tasks.
+is first compared with the bucket's smallest; links join texts into components.
+Buckets that still hold several components have their remaining pairs, those across
+components, compared block by block inside tasks, until what is similar is joined.
+So no link that a bucket offers is left out of the classes, a class of thousands
+costs a comparison a member, and pairs are never listed. A text that many others are
+compared with is sent to several tasks.
 
 Words are lower-cased (A-Z). Defined cases: null texts and texts without a word
 are alone in their class; texts of fewer than five words are one k-mer; repeated
@@ -168,6 +168,63 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return dealt.groupBy("g").cogroup(there.groupBy("at")).applyInArrow(compare, "a long, b long")
 
 
+def across(cast: DataFrame, texts: DataFrame, least: float, block: int = 512) -> DataFrame:
+    """Links (a, b) between components that meet in a bucket, enough to join those that are similar.
+
+    cast: (host, key, owner, guest), for each bucket of several components its largest one as host, the bucket's texts and
+    whether they are of another component. Guests are compared with all texts of a host that share an entry with them and
+    have another owner; both are dealt into blocks, so that a task gets one block of each whatever a host's size is.
+    texts: (key, text, entries).
+    """
+    tally = cast.groupBy("host").agg(F.ceil(F.sum(F.col("guest").cast("long")) / block).alias("gs"), F.ceil(F.count("*") / block).alias("ms"))
+    full = cast.join(tally, "host").join(texts, "key")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
+    columns = ("host", "key", "owner", "guest", "text", "entries")
+    members = full.select(*(F.col(c).alias(c) for c in columns), mine("ms").alias("m"), each("gs").alias("g"))
+    guests = full.filter("guest").select(*(F.col(c).alias(c) for c in columns), mine("gs").alias("g"), each("ms").alias("m"))
+    task = F.xxhash64("host", "g", "m")
+    groups = max(64, cast.count() // block)
+    members, guests = (x.withColumn("task", task).withColumn("at", pmod(F.col("task"), groups).cast("int")).drop("host", "g", "m") for x in (members, guests))
+
+    def compare(lying: pa.Table, asking: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        known: dict[int, _Text] = {}
+        sides = []
+        for rows in (lying, asking):
+            rows = rows.combine_chunks().sort_by("task")
+            entries = rows.column("entries").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 1), np.int64)
+            sides.append((rows.column("task").to_numpy(), rows.column("key").to_numpy(), rows.column("owner").to_numpy(), rows.column("guest").to_numpy(zero_copy_only=False), entries, rows.column("text")))
+
+        def text(key: int, column, i: int) -> _Text:
+            if key not in known:
+                known[key] = _Text(_texts(pa.array([column[i].as_py()]))[0])
+            return known[key]
+
+        for t in np.intersect1d(sides[0][0], sides[1][0]):
+            (m0, m1), (g0, g1) = ((np.searchsorted(x[0], t), np.searchsorted(x[0], t, side="right")) for x in sides)
+            root: dict[int, int] = {}
+
+            def find(x: int, root=root) -> int:
+                while root.setdefault(x, x) != x:
+                    x = root[x]
+                return x
+
+            _, m_key, m_owner, m_guest, m_entries, m_text = sides[0]
+            _, g_key, g_owner, _, g_entries, g_text = sides[1]
+            for i in range(int(g0), int(g1)):
+                shared = (m_entries[m0:m1] == g_entries[i]).any(axis=1) & (m_owner[m0:m1] != g_owner[i])
+                shared &= ~m_guest[m0:m1] | (m_key[m0:m1] > g_key[i])  # two guests meet once
+                for j in (np.flatnonzero(shared) + m0).tolist():
+                    x, y = find(int(g_owner[i])), find(int(m_owner[j]))
+                    if x != y and text(int(g_key[i]), g_text, i).similar(text(int(m_key[j]), m_text, j), least):
+                        found.append((int(g_key[i]), int(m_key[j])))
+                        root[x] = y
+        return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    return members.groupBy("at").cogroup(guests.groupBy("at")).applyInArrow(compare, "a long, b long")
+
+
 def _components(docs: DataFrame, k: int, take: int, entries: int, least: float) -> DataFrame:
     """(key, doc_id, n, component) of each different text of docs (doc_id, text, key); doc_id is its smallest."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -191,16 +248,11 @@ def _components(docs: DataFrame, k: int, take: int, entries: int, least: float)
     links = cut(verify(first, texts, least))
 
     # what the comparison with the smallest has left: pairs of a bucket that lie in different components
-    owned = members.join(components(links).toDF("key", "component"), "key", "left").select("entry", "key", "n", F.coalesce("component", "key").alias("owner"))
-    mixed = owned.groupBy("entry").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low <> high")
-    owned = cut(owned.join(mixed.select("entry"), "entry", "left_semi"))
-    owners = owned.select("entry", "owner").distinct()
-    across = owners.join(owners.withColumnRenamed("owner", "other"), "entry").filter("owner < other")
-    ends = owned.toDF("entry", "x", "nx", "owner"), owned.toDF("entry", "y", "ny", "other")
-    rest = across.join(ends[0], ["entry", "owner"]).join(ends[1], ["entry", "other"]).filter(near(F.col("nx"), F.col("ny")))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = cut(links.union(verify(cut(rest.join(known, ["a", "b"], "left_anti")), texts, least)))
+    owned = members.join(components(links).toDF("key", "component"), "key", "left").select("entry", "key", F.coalesce("component", "key").alias("owner"))
+    sizes = owned.groupBy("entry", "owner").agg(F.count("*").alias("c"))
+    hosts = sizes.groupBy("entry").agg(F.max_by("owner", F.struct("c", "owner")).alias("host"), F.count("*").alias("owners")).filter("owners > 1")
+    cast = cut(owned.join(hosts.select("entry", "host"), "entry").select("host", "key", "owner", (F.col("owner") != F.col("host")).alias("guest")).distinct())
+    links = cut(links.union(across(cast, texts.join(nodes.select("key", "entries"), "key"), least)))
     return nodes.join(components(links).toDF("key", "component"), "key", "left").select("key", "doc_id", "n", F.coalesce("component", "key").alias("component"))
 
 
