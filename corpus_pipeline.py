@@ -20,8 +20,8 @@ from factorloom.llm.common import shared_folder, table
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those that no learned language codes in under 8 bits a byte."""
     model = langid.train(docs.filter(~langid.held_out()))
-    found = langid.predict(docs, model, keep=tuple(docs.columns))
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("bits_per_byte") < 8)).select(*docs.columns)
+    found = langid.predict(docs, model, keep=tuple(docs.columns), names=("__lang", "__score", "__bits"))
+    return found.filter((F.col("__lang") != langid.UNKNOWN) & (F.col("__bits") < 8)).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,8 @@ def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, 0 to 2 times."""
-    rated = mixing.mix(docs)
-    return rated.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    rated = mixing.mix(docs, names=("__size", "__source_size", "__target", "__copies"))
+    return rated.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
