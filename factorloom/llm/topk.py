@@ -73,6 +73,8 @@ def _best(query: np.ndarray, query_id: int, q_far: np.ndarray, ids: np.ndarray,
         new = rows[at] @ query if exact is not object else rows[at].astype(object) @ query.astype(object)
         if exact is np.float64:
             new = new.astype(np.int64)
+        elif exact is object:
+            new = np.array([max(-MOST - 1, min(MOST, int(s))) for s in new], object)
         scores, found = np.concatenate([scores, new]), np.concatenate([found, ids[at]])
         keep = np.lexsort((found, np.array([-s for s in scores], dtype=scores.dtype)))[:k] if exact is not object else np.array(sorted(range(len(found)), key=lambda j: (-scores[j], found[j]))[:k])
         scores, found = scores[keep], found[keep]
@@ -125,7 +127,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, n_pivots: int = 24,
                 out["query_id"] += [int(q_ids[i])] * len(found)
                 out["query"] += [np.asarray(q[i], np.int64).tobytes()] * len(found)
                 out["vec_id"] += found.tolist()
-                out["score"] += [max(-MOST - 1, min(MOST, int(s))) for s in scores]
+                out["score"] += [int(s) for s in scores]
         return pa.table([pa.array(out["query_id"], pa.int64()), pa.array(out["query"], pa.binary()), pa.array(out["vec_id"], pa.int64()), pa.array(out["score"], pa.int64())], names=list(out))
 
     keys = ["dim", "block", "q_block"]

@@ -17,7 +17,8 @@ only one of its ends visits counts for both.
 Defined cases: a row whose label or vector is null, or whose vector is zero, empty
 or holds a null or non-finite component, links with nothing and is its own
 component; vectors are compared with those of their own length; repeated rows are
-separate vectors; a null id names no component. Other columns are ignored.
+separate vectors; a null id names no component. Vectors are told apart by 64 bits of
+a hash. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,7 +132,8 @@ def links(nodes: DataFrame, grid_of: dict[int, Grid], threshold: float, block: i
     cell = ["label", "dim", "cell"]
     lying = placed.groupBy("label", "dim", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / block).alias("blocks"))
     asking = placed.select("label", "dim", F.explode("cells").alias("cell")).groupBy(*cell).agg(F.ceil(F.count("*") / block).alias("q_blocks"))
-    cells = lying.join(asking, cell)  # a cell nobody visits or nobody lies in gives nothing
+    # a cell nobody visits or nobody lies in gives nothing; cut, so that the joins below can split a hot cell
+    cells = cut(lying.join(asking, cell))
     each = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)) + 1
     both = ["node", "v", "weight", "home", "cells", "cell", "label", "dim"]
@@ -176,7 +178,7 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
     good = usable(vector) & F.col("label").isNotNull() & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("good", good).withColumn("k1", F.xxhash64("label", "v")).withColumn("k2", F.xxhash64("v", "label"))
     nodes = rows.filter("good").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("v").alias("v"))
-    nodes = cut(nodes.withColumn("node", F.coalesce("least", "k1")))
+    nodes = cut(nodes.withColumn("node", F.col("k1")))  # not the id: rows of one id may hold different vectors
     total = nodes.count()
     picked: dict[int, list] = {}
     for r in nodes.select("v").orderBy("k2").limit(sample).collect():
@@ -190,7 +192,8 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
     sums, spanning = links(nodes, grids, threshold, groups=max(64, total // 2048))
     joined = nodes.join(sums, "node", "left").join(components(spanning), "node", "left")
     joined = joined.select("k1", "k2", F.lit(True).alias("good"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "node").alias("component"), "least")
-    names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    joined = cut(joined)
+    names = cut(joined.groupBy("component").agg(F.min("least").alias("component_id")))
     joined = joined.join(names, "component").select("k1", "k2", "good", "n", "component_id")
     out = rows.join(joined, ["k1", "k2", "good"], "left")
     component = F.when(F.col("good"), F.col("component_id")).otherwise(F.col("vec_id"))

@@ -20,7 +20,7 @@ def topk_by_force(rows, k):
     found = set()
     good = [(r.vec_id, [int(np.floor(1024 * np.float64(v))) for v in r.embedding]) for r in rows if r.vec_id is not None and r.embedding is not None and all(v is not None and np.isfinite(v) for v in r.embedding)]
     for q, v in {(q, tuple(v)) for q, v in good if q % 100 == 0}:
-        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q and len(w) == len(v))
+        scores = sorted((-min(sum(a * b for a, b in zip(v, w, strict=True)), 2**63 - 1), i) for i, w in good if i != q and len(w) == len(v))
         found |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])}
     return found
 
@@ -35,7 +35,7 @@ def test_topk_equals_brute_force(spark, factor):
 
 
 def test_topk_blocks_and_pivots_change_nothing(spark):
-    rows = table(spark, 2).filter(topk.usable(table(spark).embedding) & (topk.F.size("embedding") == 16) & topk.F.col("vec_id").isNotNull())
+    rows = table(spark, 2).filter(topk.usable(topk.F.col("embedding")) & (topk.F.size("embedding") == 16) & topk.F.col("vec_id").isNotNull())
     ints = rows.select(topk.F.col("vec_id").alias("id"), topk.integers(topk.F.col("embedding")).alias("v"))
     queries = ints.filter("id % 20 = 0")
     one = sorted(topk.search(ints, queries, 5, n_pivots=0).collect())
