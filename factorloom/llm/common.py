@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -35,6 +36,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of what finished steps hold.
+
+    Spark removes shuffle files, broadcasts and checkpoints once the driver's garbage collector has found their tables
+    dead, which a driver that only plans does rarely; long loops ask for it.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, most: str = "4MB") -> None:
     """Bounds the bytes of an Arrow batch, so that a Python worker holds a few long texts or many short ones.
 

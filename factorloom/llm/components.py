@@ -3,7 +3,8 @@
 In each round every node takes the name of the neighbour (or itself) whose hash is
 smallest, and links between nodes of one name disappear. Hashes make the order
 random, so a chain shrinks by a constant factor a round whatever its ids are. A
-node with very many links costs partial aggregates and joins that can be split.
+node with very many links costs partial aggregates and joins that can be split. The
+joins are sort-merge joins, for a loop's many small broadcasts stay with the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import cut
+from factorloom.llm.common import cut, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,10 +21,12 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(pairs.union(pairs.select("b", "a")).distinct().toDF("u", "v"))
     names = edges.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("root"))
     while not edges.isEmpty():
+        release(links.sparkSession)
         order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
         parents = cut(edges.groupBy("u").agg(F.min(order("v")).alias("m")).select("u", F.least(F.col("m"), order("u"))["id"].alias("to")))
-        names = cut(names.join(parents.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
-        edges = edges.join(parents.toDF("u", "pu"), "u").join(parents.toDF("v", "pv"), "v")
+        names = cut(names.join(parents.toDF("root", "to").hint("merge"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        edges = edges.join(parents.toDF("u", "pu").hint("merge"), "u").join(parents.toDF("v", "pv").hint("merge"), "v")
         edges = cut(edges.filter("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct())
-    least = names.groupBy("root").agg(F.min("node").alias("component"))
-    return names.join(least, "root").select("node", "component")
+    # cut, so that the join deals both sides anew and can split a component of very many nodes
+    least = cut(names.groupBy("root").agg(F.min("node").alias("component")))
+    return names.join(least.hint("merge"), "root").select("node", "component")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm import words as W
-from factorloom.llm.common import cut, pmod, slices, small_batches, text_bytes
+from factorloom.llm.common import cut, pmod, release, slices, small_batches, text_bytes
 from factorloom.llm.components import components
 
 _RANDOM = np.random.Generator(np.random.PCG64(8)).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -244,14 +244,18 @@ def _components(docs: DataFrame, k: int, take: int, entries: int, least: float)
     members = cut(entry.join(buckets.select("entry", "to"), "entry"))
     near = lambda x, y: F.abs(x - y) <= F.floor((1 - least) * F.greatest(x, y) + 1e-9)
     first = cut(members.filter((F.col("key") != F.col("to.key")) & near(F.col("n"), F.col("to.n"))).select(F.col("key").alias("a"), F.col("to.key").alias("b")).distinct())
+    release(docs.sparkSession)
     texts = cut(docs.join(members.select("key").distinct(), "key", "left_semi").select("key", "text").dropDuplicates(["key"]))
+    release(docs.sparkSession)
     links = cut(verify(first, texts, least))
+    release(docs.sparkSession)
 
     # what the comparison with the smallest has left: pairs of a bucket that lie in different components
     owned = members.join(components(links).toDF("key", "component"), "key", "left").select("entry", "key", F.coalesce("component", "key").alias("owner"))
     sizes = owned.groupBy("entry", "owner").agg(F.count("*").alias("c"))
     hosts = sizes.groupBy("entry").agg(F.max_by("owner", F.struct("c", "owner")).alias("host"), F.count("*").alias("owners")).filter("owners > 1")
     cast = cut(owned.join(hosts.select("entry", "host"), "entry").select("host", "key", "owner", (F.col("owner") != F.col("host")).alias("guest")).distinct())
+    release(docs.sparkSession)
     links = cut(links.union(across(cast, texts.join(nodes.select("key", "entries"), "key"), least)))
     return nodes.join(components(links).toDF("key", "component"), "key", "left").select("key", "doc_id", "n", F.coalesce("component", "key").alias("component"))
 
@@ -268,7 +272,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     """
     docs = _keyed(docs, id_col, text_col)
     named = _components(docs, k, take, entries, least)
-    least_id = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    # cut, so that the join deals both sides anew and can split a large class
+    named = cut(named)
+    least_id = cut(named.groupBy("component").agg(F.min("doc_id").alias("class_id")))
     named = named.join(least_id, "component").select("key", "n", F.when(F.col("n") > 0, F.col("class_id")).alias("class_id"))
     return docs.select("doc_id", "key").join(named, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n").cast("long").alias("n_words"))
 
