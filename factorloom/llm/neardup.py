@@ -48,7 +48,7 @@ def labelled(words: np.ndarray, k: int) -> np.ndarray:
     return W.mix(kmers + nth * np.uint64(0x9E3779B97F4A7C15))
 
 
-def sketch(words: np.ndarray, k: int = 5, take: int = 6, entries: int = 48) -> np.ndarray:
+def sketch(words: np.ndarray, k: int = 5, take: int = 3, entries: int = 48) -> np.ndarray:
     """A 64-bit value for each entry: the ``take`` smallest labelled k-mers in text order."""
     marks = labelled(words, k)
     take, n = min(take, len(marks)), len(marks)
@@ -265,7 +265,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, take: int = 6, entries: int = 48, least: float = 0.8) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, take: int = 3, entries: int = 48, least: float = 0.8) -> DataFrame:
     """doc_id, class_id (the smallest id of its class) and n_words for each row.
 
     k: words of a k-mer; take, entries: k-mers of a sketch entry and entries; least: edit similarity of a link.
@@ -279,7 +279,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     return docs.select("doc_id", "key").join(named, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n").cast("long").alias("n_words"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, take: int = 6, entries: int = 48, least: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, take: int = 3, entries: int = 48, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class the one with the smallest id.
 
     Texts without a word all stay.

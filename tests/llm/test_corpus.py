@@ -157,6 +157,18 @@ def test_sketch_keeps_order():
     assert len(set(twice.tolist())) == len(twice)
 
 
+def test_sketch_finds_near_copies():
+    pick = np.random.default_rng(9)
+    for changed, share in ((16, 0.9), (20, 0.85), (30, 0.5)):  # of 200 words: edit similarity 0.92, 0.90, 0.85
+        met = 0
+        for _ in range(100):
+            a = pick.integers(0, 1 << 62, 200).astype(np.uint64)
+            b = a.copy()
+            b[pick.choice(200, changed, replace=False)] += np.uint64(1)
+            met += bool((neardup.sketch(a) == neardup.sketch(b)).any())
+        assert met >= 100 * share
+
+
 def test_classes(spark, odd, empty):
     pick = random.Random(8)
     vocabulary = [f"w{i}" for i in range(2000)]
