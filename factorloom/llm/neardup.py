@@ -4,7 +4,10 @@ A text's k-mers are its runs of five words, each labelled with how often it came
 before. One sketch entry takes the few labelled k-mers with the smallest hashes
 and keeps them in text order, so two texts agree on an entry if they share those
 k-mers in the same order: what edit similarity asks for and a set of shingles
-doesn't see. Texts that agree on an entry are candidates; a pair is a link if the
+doesn't see. One changed word of a short text touches nearly all of its k-mers, so
+texts of up to 14 words also get an entry for each way to leave out as many words
+as a link may change: any two of them that are a link share one. Texts that agree
+on an entry are candidates; a pair is a link if the
 edit distance of their words is at most ``1 - least`` of the longer one, found by
 a furthest-reaching alignment inside that band of diagonals.
 
@@ -24,6 +27,9 @@ class); other columns are ignored. Equal texts are told by 64 bits of a hash.
 
 from __future__ import annotations
 
+from functools import cache
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,6 +71,35 @@ def sketch(words: np.ndarray, k: int = 5, take: int = 3, entries: int = 48) -> n
     return out
 
 
+_SHORT, _LEFT_OUT = 14, 2  # words of a text that is blocked exactly, and the most that are left out of it
+
+
+@cache
+def _kept(n: int, gone: int) -> np.ndarray:
+    """Each way to leave ``gone`` of n words out: the places of the others."""
+    return np.array(list(combinations(range(n), n - gone)), np.int64).reshape(-1, n - gone)
+
+
+def remainders(words: np.ndarray, least: float = 0.8) -> np.ndarray:
+    """A 64-bit value for each text left of a short one when as many words as a link may change, or fewer, are left out.
+
+    Texts of n >= m words that are within e edits have n - e words in common in the same order: n loses e of its words, m
+    loses e - (n - m), and neither is more than a link may change in a text of that length. So a link of two short texts
+    always has a value in common.
+    """
+    n = len(words)
+    if n > _SHORT:
+        return np.zeros(0, np.uint64)
+    out = []
+    for gone in range(min(_LEFT_OUT, int((1 - least) * n + 1e-9), n - 1) + 1):
+        places = _kept(n, gone)
+        value = np.full(len(places), (1 << 32) + n - gone, np.uint64)
+        for j in range(n - gone):
+            value = W.mix(value * np.uint64(0xD6E8FEB86659FD93) + words[places[:, j]])
+        out.append(value)
+    return np.unique(np.concatenate(out))
+
+
 def aligned(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     """Whether at most ``most`` words must be changed, added or taken out to make a into b."""
     n, m = len(a), len(b)
@@ -168,13 +203,13 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return dealt.groupBy("g").cogroup(there.groupBy("at")).applyInArrow(compare, "a long, b long")
 
 
-def across(cast: DataFrame, texts: DataFrame, least: float, block: int = 512) -> DataFrame:
+def across(cast: DataFrame, texts: DataFrame, least: float, width: int, block: int = 512) -> DataFrame:
     """Links (a, b) between components that meet in a bucket, enough to join those that are similar.
 
     cast: (host, key, owner, guest), for each bucket of several components its largest one as host, the bucket's texts and
     whether they are of another component. Guests are compared with all texts of a host that share an entry with them and
     have another owner; both are dealt into blocks, so that a task gets one block of each whatever a host's size is.
-    texts: (key, text, entries).
+    texts: (key, text, entries); the first ``width`` entries are the sketch, compared place by place, the others a short text's.
     """
     tally = cast.groupBy("host").agg(F.ceil(F.sum(F.col("guest").cast("long")) / block).alias("gs"), F.ceil(F.count("*") / block).alias("ms"))
     full = cast.join(tally, "host").join(texts, "key")
@@ -193,8 +228,12 @@ def across(cast: DataFrame, texts: DataFrame, least: float, block: int = 512) ->
         sides = []
         for rows in (lying, asking):
             rows = rows.combine_chunks().sort_by("task")
-            entries = rows.column("entries").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 1), np.int64)
-            sides.append((rows.column("task").to_numpy(), rows.column("key").to_numpy(), rows.column("owner").to_numpy(), rows.column("guest").to_numpy(zero_copy_only=False), entries, rows.column("text")))
+            lists = rows.column("entries").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int64()))
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            begins, flat = np.append(0, ends[:-1])[: len(ends)], lists.flatten().to_numpy()
+            entries = flat[begins[:, None] + np.arange(width)]
+            more = [flat[i + width : j].tolist() for i, j in zip(begins, ends, strict=True)]
+            sides.append((rows.column("task").to_numpy(), rows.column("key").to_numpy(), rows.column("owner").to_numpy(), rows.column("guest").to_numpy(zero_copy_only=False), entries, more, rows.column("text")))
 
         def text(key: int, column, i: int) -> _Text:
             if key not in known:
@@ -210,10 +249,17 @@ def across(cast: DataFrame, texts: DataFrame, least: float, block: int = 512) ->
                     x = root[x]
                 return x
 
-            _, m_key, m_owner, m_guest, m_entries, m_text = sides[0]
-            _, g_key, g_owner, _, g_entries, g_text = sides[1]
+            _, m_key, m_owner, m_guest, m_entries, m_more, m_text = sides[0]
+            _, g_key, g_owner, _, g_entries, g_more, g_text = sides[1]
+            having: dict[int, list[int]] = {}
+            for j in range(int(m0), int(m1)):
+                for entry in m_more[j]:
+                    having.setdefault(entry, []).append(j - int(m0))
             for i in range(int(g0), int(g1)):
-                shared = (m_entries[m0:m1] == g_entries[i]).any(axis=1) & (m_owner[m0:m1] != g_owner[i])
+                shared = (m_entries[m0:m1] == g_entries[i]).any(axis=1)
+                for entry in g_more[i]:
+                    shared[having.get(entry, [])] = True
+                shared &= m_owner[m0:m1] != g_owner[i]
                 shared &= ~m_guest[m0:m1] | (m_key[m0:m1] > g_key[i])  # two guests meet once
                 for j in (np.flatnonzero(shared) + m0).tolist():
                     x, y = find(int(g_owner[i])), find(int(m_owner[j]))
@@ -234,7 +280,7 @@ def _components(docs: DataFrame, k: int, take: int, entries: int, least: float)
             for i, j in slices(text_bytes(batch.column("text"))[1], 1 << 20):
                 part = batch.slice(i, j - i)
                 words = _texts(part.column("text"))
-                found = [sketch(w, k, take, entries).view(np.int64) if len(w) else None for w in words]
+                found = [np.concatenate([sketch(w, k, take, entries), remainders(w, least)]).view(np.int64) if len(w) else None for w in words]
                 yield pa.record_batch([part.column("doc_id"), part.column("key"), pa.array([len(w) for w in words], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "entries"])
 
     rows = docs.mapInArrow(sketches, f"doc_id {kind}, key long, n int, entries array<long>")
@@ -256,7 +302,7 @@ def _components(docs: DataFrame, k: int, take: int, entries: int, least: float)
     hosts = sizes.groupBy("entry").agg(F.max_by("owner", F.struct("c", "owner")).alias("host"), F.count("*").alias("owners")).filter("owners > 1")
     cast = cut(owned.join(hosts.select("entry", "host"), "entry").select("host", "key", "owner", (F.col("owner") != F.col("host")).alias("guest")).distinct())
     release(docs.sparkSession)
-    links = cut(links.union(across(cast, texts.join(nodes.select("key", "entries"), "key"), least)))
+    links = cut(links.union(across(cast, texts.join(nodes.select("key", "entries"), "key"), least, entries)))
     return nodes.join(components(links).toDF("key", "component"), "key", "left").select("key", "doc_id", "n", F.coalesce("component", "key").alias("component"))
 
 

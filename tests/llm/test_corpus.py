@@ -196,6 +196,37 @@ def test_classes(spark, odd, empty):
     assert neardup.classes(empty).collect() == [] and neardup.keep_one(empty).collect() == []
 
 
+def test_short_texts_share_a_remainder():
+    pick = random.Random(3)
+    for _ in range(3000):
+        a = [pick.randrange(40) for _ in range(pick.randint(1, 14))]
+        b = list(a)
+        for _ in range(pick.randint(0, 3)):
+            at = pick.randint(0, len(b))
+            b[at : at + pick.randint(0, 1)] = [pick.randrange(40)] * pick.randint(0, 1)
+        longer = max(len(a), len(b))
+        if 0 < len(b) and longer <= 14 and distance(a, b) <= longer // 5:
+            x, y = (neardup.remainders(np.array(t, np.uint64)) for t in (a, b))
+            assert np.intersect1d(x, y).size
+
+
+def test_classes_of_short_texts(spark, odd):
+    texts = []
+    for n in range(4, 15):  # a text, one with a word more, one with a word replaced in the middle, one within two edits, one beyond
+        base = [f"s{n}w{i}" for i in range(n)]
+        more, other = [*base[: n // 2], "more", *base[n // 2 :]], [*base[: n // 2], "other", *base[n // 2 + 1 :]]
+        texts += [base, more if n < 14 else base, other if n >= 5 else base]
+        texts += [["one", *base[1 : n - 1], "two"] if n >= 10 else base, ["far", "away", "from", *base[3:]]]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "a", 1, "k", 1, 0.0) for i, t in enumerate(texts)], odd.schema)
+    found = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    for first in range(0, len(texts), 5):
+        assert [found[i] for i in range(first, first + 5)] == [first] * 4 + [first + 4]
+    # the ends of a chain are joined by its middle
+    chain = [["a1", "b", "c", "d", "e", "f", "g", "h", "i"], ["a1", "b", "c", "d", "e", "f", "g", "h", "z"], ["a2", "b", "c", "d", "e", "f", "g", "h", "z"]]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "a", 1, "k", 1, 0.0) for i, t in enumerate(chain)], odd.schema)
+    assert {r.class_id for r in neardup.classes(docs).collect()} == {0}
+
+
 # --- chats
 
 
