@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 # Names that are given secrets, forms of keys, words that speak for and against a secret.
 NAMES = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|credential"
 FORMS = "(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[0-9A-Za-z-]{10,80}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{16,64}|eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]+"
-RUN = "[A-Za-z0-9+/_=-]{20,}+"
 HARMLESS_NAMES = "commit|revision|sha1|sha256|sha512|md5|checksum|digest|hash|etag|uuid|guid|build|version|isbn|order|invoice|integrity"
 DICTIONARY = "access|account|admin|change|com|config|data|default|demo|dummy|else|env|example|false|file|foo|function|get|here|home|http|insert|java|key|lib|local|main|me|my|name|none|null|org|package|pass|password|path|placeholder|please|python|replace|return|sample|secret|self|set|should|site|some|src|string|test|the|this|token|true|user|usr|value|var|when|with|www|your"
 
-#: A whole candidate: an assignment or a run by itself. The value is what VALUE leaves of it.
-CANDIDATE = f"(?i:\\b[a-z_-]{{0,20}}(?:{NAMES})[a-z_]{{0,10}}[\"']?\\s{{0,3}}(?::=|=>|=|:)\\s{{0,3}}[\"']?)[^\\s\"',;]{{6,}}+[\"']?|(?<![A-Za-z0-9+/_=-])(?:{FORMS}|{RUN})"
-NAMED = f"(?i)^[a-z_-]{{0,20}}(?:{NAMES})[a-z_]{{0,10}}[\"']?\\s{{0,3}}(?::=|=>|=|:)\\s{{0,3}}[\"']?"
+#: An identifier of any length with a telling name in it, and the sign after it; each is read once, so a long one costs its length.
+_GIVEN = f"(?=[a-z0-9_-]*?(?:{NAMES}))[a-z0-9_-]++[\"']?\\s*+(?::=|=>|=|:)\\s*+[\"']?"
+_ASSIGNED = f"(?i:(?<![a-z0-9_-]){_GIVEN}[^\\s\"',;]{{6,}}+)"
+#: A whole candidate: an assignment or a run by itself, which ends where an assignment begins. The value is what VALUE leaves of it.
+CANDIDATE = f"{_ASSIGNED}[\"']?|(?<![A-Za-z0-9+/_=-])(?:{FORMS}|(?:(?!{_ASSIGNED})[A-Za-z0-9+/_=-]){{20,}}+)"
+NAMED = f"(?i)^{_GIVEN}(?!=*+[\"']?$)"  # a run that ends in = is no name
 BESIDE = 48  # characters of context to either side
 
 
@@ -42,7 +44,7 @@ def features(whole: Column, left: Column, right: Column, path: Column) -> dict[s
     share = lambda c: c / F.greatest(size, F.lit(1))
     gone = lambda pattern: size - F.length(F.regexp_replace(value, pattern, ""))
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"), "[^aA0]", "-")
-    beside = F.concat(F.lower(left), F.lit(" "), F.lower(F.regexp_extract(whole, NAMED, 0)))
+    beside = F.concat(F.lower(left), F.lit(" "), F.regexp_replace(F.lower(F.regexp_extract(whole, NAMED, 0)), "\\s++", " "))
     number = lambda c: c.cast("double")
     return {
         "length": number(size),

@@ -122,6 +122,26 @@ def test_scan_and_redact(spark, forest, odd, empty):
     assert secrets.scan(empty, forest).collect() == [] and secrets.redact(empty, forest).collect() == []
 
 
+def test_assignments_of_any_width(spark, forest, odd):
+    cases = {
+        "password              = e3b3ed3cc8548923d6": "e3b3ed3cc8548923d6",
+        "oauth2_token: 9f!kQz9wLm2": "9f!kQz9wLm2",
+        "S3_SECRET: hunter2hunter2": "hunter2hunter2",
+        "PRODUCTION_DATABASE_MASTER_PASSWORD = t7!kQz9wLm2": "t7!kQz9wLm2",
+        "secret_for_the_old_cluster_2 = t7!kQz9wLm2": "t7!kQz9wLm2",
+        "/srv/conf/of/the/cluster/password=t7!kQz9wLm2": "t7!kQz9wLm2",
+        "Zm9vYmFyYmF6cXV4dokenpwdGFiY2RlZmdoaWo=": "Zm9vYmFyYmF6cXV4dokenpwdGFiY2RlZmdoaWo=",  # a run with a name in it, not a name
+    }
+    docs = spark.createDataFrame([(i, f"see {t} here", "en", "a", 1, "k", 1, 0.0) for i, t in enumerate(cases)], odd.schema)
+    values = {(r.doc_id, r.value) for r in secrets.scan(docs, forest).collect()}
+    assert {(i, v) for i, v in enumerate(cases.values())} <= values
+    masked = [r.text for r in secrets.redact(docs, forest).orderBy("doc_id").collect()]
+    for i in (0, 1, 3):
+        assert list(cases.values())[i] not in masked[i]
+    hard = spark.createDataFrame([(0, "token" * 40000 + " " * 100000 + "a-" * 100000 + "=/" * 50000, "en", "a", 1, "k", 1, 0.0)], odd.schema)
+    assert secrets.redact(hard, forest).count() == 1
+
+
 # --- near duplicates
 
 
