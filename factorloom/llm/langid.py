@@ -10,7 +10,7 @@ the costs of all languages lie in one hash table per order, and a text is scored
 by table look-ups. A text's language is the one that codes it shortest.
 
 Training takes a documented, bounded sample: about ``per_lang`` documents of each
-language chosen by a hash of the id, up to ``most_chars`` characters of each.
+language chosen by a hash of id and text, each whole; repeated rows count once.
 Scoring reads every byte of every text.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
@@ -138,20 +138,17 @@ class Model:
         return out
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = 4, per_lang: int = 150, most_chars: int = 8000) -> Model:
-    """A model of all languages that occur, from about ``per_lang`` rows of each (all, if fewer).
-
-    At most ``most_chars`` characters of a sampled row count, so what reaches the driver is bounded by the number of
-    languages alone.
-    """
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = 4, per_lang: int = 150) -> Model:
+    """A model of all languages that occur, from about ``per_lang`` different rows of each (all, if fewer), whole."""
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.withColumn("h", F.xxhash64("id", "text"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.countDistinct("h").alias("n")).collect()}
     if not counts:
         return Model({}, order)
-    # a row is taken if its hash falls into the share of its language
+    # a row is taken if its hash falls into the share of its language; rows of one hash are taken once
     space = 1 << 30
     share = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, -(-space * per_lang // n)))), F.col("lang"))
-    taken = rows.filter(F.pmod(F.xxhash64("id"), F.lit(space)) < share).select("lang", F.substring("text", 1, most_chars).alias("text"))
+    taken = rows.filter(F.pmod("h", F.lit(space)) < share).dropDuplicates(["lang", "h"]).select("lang", "text")
     samples: dict[str, list[bytes]] = {lang: [] for lang in counts}
     for r in taken.collect():
         samples[r["lang"]].append(r["text"].encode())

@@ -192,3 +192,12 @@ def test_prediction_ignores_labels(spark, odd):
     first = langid.predict(odd, model, keep=("doc_id",)).collect()
     blind = odd.withColumns({"lang": odd["source"], "source": odd["lang"]})
     assert Counter(map(str, first)) == Counter(map(str, langid.predict(blind, model, keep=("doc_id",)).collect()))
+
+
+def test_language_sample_is_whole_and_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "Model", lambda samples, order: samples)
+    rows = [(7, f"text {i}", "one id") for i in range(2000)] + [(8, "same", "one row")] * 2000 + [(9, "x" * 9000 + " end", "long")]
+    samples = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert 90 <= len(samples["one id"]) <= 220
+    assert samples["one row"] == [b"same"]
+    assert samples["long"][0].endswith(b" end")
