@@ -50,18 +50,30 @@ OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _ISC = """Permission to use, copy, modify, <<beginOptional>>and/or<<endOptional>> <<beginOptional>>and<<endOptional>>
 distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
 and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name=author;words=1-20>>
-DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
-_BSD2 = """Redistribution and use <<beginOptional>>of this software<<endOptional>> in source and binary forms, with or
+DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO
+EVENT SHALL <<var;name=author;words=1-20>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY
+DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER
+TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD = """Redistribution and use <<beginOptional>>of this software<<endOptional>> in source and binary forms, with or
 without modification, are permitted provided that the following conditions are met: <<beginOptional>>1.<<endOptional>>
 Redistributions of source code must retain the above copyright notice, this list of conditions and the following
 disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice,
 this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
 distribution."""
+_DISCLAIMER = """ THIS SOFTWARE IS PROVIDED BY <<var;name=holder;words=1-20>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL <<var;name=holder;words=1-20>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF
+USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT,
+STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF
+ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD2 = _BSD + _DISCLAIMER
 _BSD3 = (
-    _BSD2
+    _BSD
     + """ <<beginOptional>>3.<<endOptional>> Neither the name of <<var;name=holder;words=1-20>> nor the names of
 <<var;name=its;words=0-3>> contributors may be used to endorse or promote products derived from this software without
 specific prior written permission."""
+    + _DISCLAIMER
 )
 _GPL = "GNU <<beginOptional>>Lesser<<endOptional>> General Public License <<beginOptional>>as published by the Free Software Foundation;<<endOptional>> <<beginOptional>>either<<endOptional>> version "
 TEMPLATES = {
@@ -71,7 +83,7 @@ TEMPLATES = {
     "bsd-2-clause-text": _BSD2,
     "bsd-3-clause-text": _BSD3,
     "apache-2.0": "Apache License <<beginOptional>>Version<<endOptional>> 2.0",
-    "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<var;name=url;words=0-12>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS',
+    "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<var;name=url;words=0-12>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "gpl-2.0": _GPL + "2",
     "gpl-3.0": _GPL + "3",
     "cc-by-4.0": "CC BY 4.0",

@@ -59,6 +59,17 @@ def test_mit_text_with_holder_and_long_runs():
     assert "mit-text" not in {p.label for p in machine.scan(text.replace("merge", "mangle").encode())[1]}
 
 
+def test_templates_reach_the_end_of_the_wording():
+    machine = licenses.Automaton(licenses.TEMPLATES)
+    ends = {"isc-text": "PERFORMANCE OF THIS SOFTWARE", "bsd-2-clause-text": "POSSIBILITY OF SUCH DAMAGE", "bsd-3-clause-text": "POSSIBILITY OF SUCH DAMAGE", "apache-2.0-header": "limitations under the License"}
+    for label, end in ends.items():
+        text = re.sub(r"<<[^>]*>>", "", re.sub(r"<<var[^>]*>>", "THE OWNER", licenses.TEMPLATES[label]))
+        assert end in text
+        found = {p.label for p in machine.scan(text.encode())[1]}
+        assert label in found and len(found & {"bsd-2-clause-text", "bsd-3-clause-text"}) <= 1
+        assert label not in {p.label for p in machine.scan(text.replace(end, "OTHER WORDING").encode())[1]}
+
+
 # --- byte-level BPE
 
 
