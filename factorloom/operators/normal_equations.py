@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from factorloom.operators.solvers import cholesky, nnls, pack, unpack
 
-SUMS = "id long, n double, g array<double>, b array<double>"
+SUMS = "id long, n double, s double, g array<double>, b array<double>"
 
 
 def _matrix(column: pa.Array, k: int) -> np.ndarray:
@@ -33,8 +33,8 @@ def _by_id(ids: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
     return ids[begin], *(np.add.reduceat(x[order], begin, axis=0) if len(ids) else x for x in sums)
 
 
-def _batch(ids: np.ndarray, n: np.ndarray, g: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(ids), pa.array(n), _listed(g), _listed(b)], names=["id", "n", "g", "b"])
+def _batch(ids: np.ndarray, n: np.ndarray, s: np.ndarray, g: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(ids), pa.array(n), pa.array(s), _listed(g), _listed(b)], names=["id", "n", "s", "g", "b"])
 
 
 def partial_sums(rank: int, implicit: bool, alpha: float):
@@ -52,9 +52,9 @@ def partial_sums(rank: int, implicit: bool, alpha: float):
                 if implicit:  # confidence 1 + alpha |r| on a preference of 1 if r > 0; the 1 is in the Gram matrix of all
                     seen = r > 0
                     more = np.where(seen, alpha * np.abs(r), 0)
-                    yield _batch(*_by_id(ids, seen.astype(float), outer * more[:, None], y * np.where(seen, 1 + more, 0)[:, None]))
+                    yield _batch(*_by_id(ids, seen.astype(float), np.where(seen, 1 + more, 0), outer * more[:, None], y * np.where(seen, 1 + more, 0)[:, None]))
                 else:
-                    yield _batch(*_by_id(ids, np.ones(len(ids)), outer, y * r[:, None]))
+                    yield _batch(*_by_id(ids, np.ones(len(ids)), r * r, outer, y * r[:, None]))
 
     return run
 
@@ -66,7 +66,7 @@ def _whole(batches):
         k2, k = (len(batch.column(c)[0]) if batch.num_rows else 0 for c in ("g", "b"))
         if not batch.num_rows:
             continue
-        new = batch.column("id").to_numpy(), batch.column("n").to_numpy(), _matrix(batch.column("g"), k2), _matrix(batch.column("b"), k)
+        new = batch.column("id").to_numpy(), batch.column("n").to_numpy(), batch.column("s").to_numpy(), _matrix(batch.column("g"), k2), _matrix(batch.column("b"), k)
         if held is not None:
             new = tuple(np.concatenate(x) for x in zip(held, new, strict=True))
         sums = _by_id(*new)
@@ -78,7 +78,7 @@ def _whole(batches):
 
 
 def normal_equations(ratings: DataFrame, key: str, factors: DataFrame, rank: int, implicit: bool = False, alpha: float = 1.0) -> DataFrame:
-    """(id, n, g, b) of each entity of side ``key``: its ratings, the packed sum of y y' and the sum of r y.
+    """(id, n, s, g, b) of each entity of side ``key``: its ratings, the sums of r r, of y y' (packed) and of r y.
 
     factors: (id, factor) of the other side.
     """
@@ -99,10 +99,21 @@ def normal_sums(ratings: DataFrame, key: str, factors: DataFrame, rank: int) ->
 
 
 def gram(factors: DataFrame, rank: int, left: str = "factor", right: str = "factor") -> np.ndarray:
-    """The sum over all rows of left right': one aggregate, rank * rank numbers to the driver."""
-    a, b = F.col(left), F.col(right)
-    row = factors.agg(*(F.sum(a[i] * b[j]) for i in range(rank) for j in range(rank))).first()
-    return np.array([v or 0.0 for v in row], float).reshape(rank, rank)
+    """The sum over all rows of left right': one matrix from each partition, added up entry by entry."""
+
+    def run(batches):
+        total = np.zeros((rank, rank))
+        for batch in batches:
+            if batch.num_rows:
+                total += _matrix(batch.column(0), rank).T @ _matrix(batch.column(1), rank)
+        yield pa.record_batch([_listed(total.reshape(1, -1))], names=["m"])
+
+    pair = factors.select(*(F.col(c).cast("array<double>").alias(n) for n, c in (("l", left), ("r", right))))
+    sums = pair.mapInArrow(run, "m array<double>").select(F.posexplode("m").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(rank * rank)
+    for row in sums:
+        out[row["at"]] = row["v"]
+    return out.reshape(rank, rank)
 
 
 def gram_ray(factors: DataFrame, rank: int, x: str = "x", p: str = "p") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,27 +123,35 @@ def gram_ray(factors: DataFrame, rank: int, x: str = "x", p: str = "p") -> tuple
 
 
 def solve(sums: DataFrame, rank: int, ridge: float, nonnegative: bool = False, everywhere: np.ndarray | None = None, state: Column | None = None) -> DataFrame:
-    """(id, n, solved) of the sums; with ``state``, a vector column of them, also the gradient there.
+    """(id, n, solved, loss) of the sums; with ``state``, a vector column of them, also the gradient ``grad`` and ``was`` there.
 
-    The system of an entity is (g + everywhere + ridge n I) x = b.
+    The system of an entity is (g + everywhere + ridge n I) x = b. loss and was: its squared errors and its own ridge at the
+    solution and at the state (for explicit ratings).
     """
     graded = state is not None
-    wide = "id long, n double, solved array<double>" + ", grad array<double>" * graded
-    rows = sums.select("id", "n", "g", "b", *([state.alias("x")] if graded else []))
+    wide = "id long, n double, solved array<double>, loss double" + ", grad array<double>, was double" * graded
+    rows = sums.select("id", "n", "s", "g", "b", *([state.alias("x")] if graded else []))
     solver = nnls if nonnegative else cholesky
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n, b = batch.column("n").to_numpy(), _matrix(batch.column("b"), rank)
+            n, s, b = batch.column("n").to_numpy(), batch.column("s").to_numpy(), _matrix(batch.column("b"), rank)
             g = unpack(_matrix(batch.column("g"), rank * (rank + 1) // 2), rank)
             g = g + everywhere if everywhere is not None else g
-            out = [batch.column("id"), batch.column("n"), _listed(solver(g, b, ridge * n))]
+
+            def at(x, g=g, b=b, n=n, s=s):
+                """The gradient's half and the value at x."""
+                pull = np.einsum("nij,nj->ni", g, x) + ridge * n[:, None] * x - b
+                return pull, s + ((pull - b) * x).sum(axis=1)
+
+            solved = solver(g, b, ridge * n)
+            out = [batch.column("id"), batch.column("n"), _listed(solved), pa.array(at(solved)[1])]
             if graded:
-                x = _matrix(batch.column("x"), rank)
-                out.append(_listed(2 * (np.einsum("nij,nj->ni", g, x) + ridge * n[:, None] * x - b)))
-            yield pa.record_batch(out, names=["id", "n", "solved", *(["grad"] if graded else [])])
+                pull, was = at(_matrix(batch.column("x"), rank))
+                out += [_listed(2 * pull), pa.array(was)]
+            yield pa.record_batch(out, names=["id", "n", "solved", "loss", *(["grad", "was"] if graded else [])])
 
     return rows.mapInArrow(run, wide)
 
@@ -141,4 +160,4 @@ def half_step(ratings: DataFrame, key: str, factors: DataFrame, rank: int, ridge
     """(id, n, factor): the best factors of one side while the other's stay."""
     everywhere = gram(factors, rank) if implicit else None
     sums = normal_equations(ratings, key, factors, rank, implicit, alpha)
-    return solve(sums, rank, ridge, nonnegative, everywhere).withColumnRenamed("solved", "factor")
+    return solve(sums, rank, ridge, nonnegative, everywhere).select("id", "n", F.col("solved").alias("factor"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions.vectors import dot
+from factorloom.operators.normal_equations import gram
 
 
 def observed(ratings: DataFrame, users: DataFrame, items: DataFrame, columns: tuple[str, ...] = ("factor",)) -> DataFrame:
@@ -35,8 +36,8 @@ def ray_norms(side: DataFrame, rank: int, ridge: float) -> DataFrame:
 
 
 def cost(ratings: DataFrame, users: DataFrame, items: DataFrame, rank: int, ridge: float) -> float:
-    error = squared_error(ratings, users, items, rank).first()[0] or 0.0
-    return error + sum(weighted_norm(side, rank, ridge).first()[0] or 0.0 for side in (users, items))
+    parts = [squared_error(ratings, users, items, rank).select(F.col("squared_error").alias("part")), *(weighted_norm(side, rank, ridge) for side in (users, items))]
+    return parts[0].union(parts[1]).union(parts[2]).agg(F.sum("part")).first()[0] or 0.0
 
 
 def ray_sums(ratings: DataFrame, users: DataFrame, items: DataFrame, rank: int) -> DataFrame:
@@ -48,12 +49,13 @@ def ray_sums(ratings: DataFrame, users: DataFrame, items: DataFrame, rank: int)
 
 
 def ray(ratings: DataFrame, users: DataFrame, items: DataFrame, rank: int, ridge: float, doubled: bool = False) -> list[float]:
-    """Coefficients of f along a ray. doubled: count the direction's norm twice, as some published runs do."""
-    c = [v or 0.0 for v in ray_sums(ratings, users, items, rank).first()]
+    """Coefficients of f along a ray, from one job. doubled: count the direction's norm twice, as some published runs do."""
+    zero = F.lit(0.0)
+    parts = ray_sums(ratings, users, items, rank)
     for side in (users, items):
-        xx, xp, pp = (v or 0.0 for v in ray_norms(side, rank, ridge).first())
-        c[0], c[1], c[2] = c[0] + xx, c[1] + 2 * xp, c[2] + (2 if doubled else 1) * pp
-    return c
+        norms = ray_norms(side, rank, ridge)
+        parts = parts.union(norms.select(F.col("xx").alias("c0"), (2 * F.col("xp")).alias("c1"), ((2 if doubled else 1) * F.col("pp")).alias("c2"), zero.alias("c3"), zero.alias("c4")))
+    return [v or 0.0 for v in parts.agg(*(F.sum(f"c{i}") for i in range(5))).first()]
 
 
 def gradient(ratings: DataFrame, key: str, own: DataFrame, other: DataFrame, rank: int, ridge: float) -> DataFrame:
@@ -65,3 +67,20 @@ def gradient(ratings: DataFrame, key: str, own: DataFrame, other: DataFrame, ran
     sums = met.groupBy(F.col(key).alias("id")).agg(*(F.sum(F.col("off") * F.col(theirs)[j]).alias(f"s_{j}") for j in range(rank)))
     parts = sums.join(own.select("id", "n", "factor"), "id")
     return parts.select("id", F.array(*(F.lit(2.0) * F.col(f"s_{j}") + F.lit(2.0 * ridge) * F.col("n") * F.col("factor")[j] for j in range(rank))).alias("grad"))
+
+
+def implicit_gradient(ratings: DataFrame, key: str, own: DataFrame, other: DataFrame, rank: int, ridge: float, alpha: float) -> DataFrame:
+    """(id, grad) of one side for implicit ratings: preferences p = [r > 0] seen with confidence c = 1 + alpha |r|.
+
+    The sum of 2 c (x.y - p) y over the ratings, plus 2 ridge x (not weighted by count) and 2 Y'Y x with all of the other
+    side's factors; own: (id, factor), other: (id, factor).
+    """
+    users, items = (own, other) if key == "user" else (other, own)
+    mine, theirs = ("u_factor", "i_factor") if key == "user" else ("i_factor", "u_factor")
+    whole = gram(other, rank)
+    off = (1 + F.lit(float(alpha)) * F.abs("rating")) * (dot(F.col("u_factor"), F.col("i_factor"), rank) - F.when(F.col("rating") > 0, 1.0).otherwise(0.0))
+    met = observed(ratings, users.select("id", "factor"), items.select("id", "factor")).withColumn("off", off)
+    sums = met.groupBy(F.col(key).alias("id")).agg(*(F.sum(F.col("off") * F.col(theirs)[j]).alias(f"s_{j}") for j in range(rank)))
+    x = F.col("factor")
+    pulled = [dot(F.array(*(F.lit(float(v)) for v in whole[j])), x, rank) for j in range(rank)]
+    return sums.join(own.select("id", "factor"), "id").select("id", F.array(*(2.0 * (F.col(f"s_{j}") + F.lit(float(ridge)) * x[j] + pulled[j]) for j in range(rank))).alias("grad"))

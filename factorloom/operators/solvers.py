@@ -23,41 +23,57 @@ def cholesky(gram: np.ndarray, right: np.ndarray, ridge: np.ndarray) -> np.ndarr
     """Solves (gram + ridge I) x = right for a batch; fails if a matrix isn't positive definite."""
     matrix = gram + ridge[:, None, None] * np.eye(gram.shape[-1])
     try:
-        np.linalg.cholesky(matrix)
+        lower = np.linalg.cholesky(matrix)
     except np.linalg.LinAlgError as e:
         raise ValueError("a system isn't positive definite; raise the regularisation") from e
-    # rounding can hide a singular system from the factorization
-    if matrix.shape[0] and (np.linalg.cond(matrix) > 1e15).any():
+    # rounding can hide a singular system from the factorization, but not from its pivots
+    pivots = np.diagonal(lower, axis1=-2, axis2=-1) ** 2
+    if (pivots <= 1e-14 * np.diagonal(matrix, axis1=-2, axis2=-1).max(axis=-1, initial=0, keepdims=True)).any():
         raise ValueError("a system isn't positive definite; raise the regularisation")
-    return np.linalg.solve(matrix, right[..., None])[..., 0]
+    # forward and back through the factor, a column at a time for the whole batch
+    x = right.astype(float).copy()
+    k = x.shape[-1]
+    for i in range(k):
+        x[:, i] = (x[:, i] - (lower[:, i, :i] * x[:, :i]).sum(axis=1)) / lower[:, i, i]
+    for i in reversed(range(k)):
+        x[:, i] = (x[:, i] - (lower[:, i + 1 :, i] * x[:, i + 1 :]).sum(axis=1)) / lower[:, i, i]
+    return x
 
 
 def nnls(gram: np.ndarray, right: np.ndarray, ridge: np.ndarray) -> np.ndarray:
-    """Minimises x'(gram + ridge I)x / 2 - right'x over x >= 0 by active sets, a batch row at a time."""
-    k = gram.shape[-1]
-    out = np.zeros_like(right)
-    for n in range(len(right)):
-        a, b = gram[n] + ridge[n] * np.eye(k), right[n]
-        x, free = np.zeros(k), np.zeros(k, bool)
-        tol = 1e-12 * max(1.0, np.abs(b).max(initial=0))
-        for _ in range(3 * k + 10):
-            pull = np.where(free, -np.inf, b - a @ x)
-            if free.all() or pull.max() <= tol:
-                break
-            free[pull.argmax()] = True
-            while True:
-                s = np.zeros(k)
-                s[free] = np.linalg.solve(a[np.ix_(free, free)], b[free])
-                if (s[free] > 0).all():
-                    break
-                down = free & (s <= 0)
-                step = (x[down] / np.maximum(x[down] - s[down], 1e-300)).min()
-                x = x + step * (s - x)
-                free &= x > 1e-14
-                x[~free] = 0
-            x = s
-        out[n] = x
-    return out
+    """Minimises x'(gram + ridge I)x / 2 - right'x over x >= 0 by active sets, all rows of a batch together.
+
+    A row frees the component with the strongest pull; where the free components' solution leaves the orthant, the row goes
+    as far towards it as it can and holds what has reached 0.
+    """
+    n, k = right.shape
+    if not n or not k:
+        return np.zeros_like(right, dtype=float)
+    matrix = gram + ridge[:, None, None] * np.eye(k)
+    x, free = np.zeros((n, k)), np.zeros((n, k), bool)
+    tol = 1e-12 * np.maximum(1.0, np.abs(right).max(axis=1))
+    inside = np.zeros(n, bool)  # rows whose free components' solution isn't reached yet
+    todo = np.arange(n)
+    for _ in range(6 * k + 20):
+        ready = todo[~inside[todo]]
+        pull = np.where(free[ready], -np.inf, right[ready] - np.einsum("nij,nj->ni", matrix[ready], x[ready]))
+        more = pull.max(axis=1) > tol[ready]
+        free[ready[more], pull[more].argmax(axis=1)] = True
+        inside[ready[more]] = True
+        todo = todo[inside[todo]]
+        if not len(todo):
+            break
+        both = free[todo][:, :, None] & free[todo][:, None, :]
+        s = np.linalg.solve(np.where(both, matrix[todo], np.eye(k)), np.where(free[todo], right[todo], 0.0)[..., None])[..., 0]
+        down = free[todo] & (s <= 0)
+        good = ~down.any(axis=1)
+        x[todo[good]], inside[todo[good]] = s[good], False
+        at, s, down = todo[~good], s[~good], down[~good]
+        step = np.where(down, x[at] / np.maximum(x[at] - s, 1e-300), np.inf).min(axis=1, keepdims=True, initial=np.inf)
+        moved = x[at] + np.where(np.isfinite(step), step, 0.0) * (s - x[at])
+        free[at] &= moved > 1e-14
+        x[at] = np.where(free[at], moved, 0.0)
+    return x
 
 
 def horner(c: list[float], x: float) -> float:
@@ -71,21 +87,21 @@ def derivative(c: list[float]) -> list[float]:
     return [i * a for i, a in enumerate(c)][1:] or [0.0]
 
 
-def newton(c: list[float], start: float, tol: float = 1e-8, steps: int = 10) -> float:
-    """A zero of the polynomial's slope near ``start``: the slope that is tested is the one before the step."""
+def newton(c: list[float], start: float, tol: float = 1e-8, steps: int = 11) -> float:
+    """The zero of the polynomial's slope that up to ``steps`` Newton steps from ``start`` lead to, or NaN."""
     first, second = derivative(c), derivative(derivative(c))
-    x, k = start, 0
-    slope = horner(first, x)
-    while abs(slope) > tol and k <= steps:
-        slope = horner(first, x)
-        bend = horner(second, x)
-        if bend == 0 or not np.isfinite(bend):
+    x = start
+    for _ in range(steps):
+        slope, bend = horner(first, x), horner(second, x)
+        if abs(slope) <= tol:
+            break
+        if not np.isfinite(bend) or bend == 0:
             return float("nan")
-        x, k = x - slope / bend, k + 1
+        x -= slope / bend
     return x
 
 
-def minimize(c: list[float], starts: list[float], tol: float = 1e-8, steps: int = 10) -> tuple[float, float]:
+def minimize(c: list[float], starts: list[float], tol: float = 1e-8, steps: int = 11) -> tuple[float, float]:
     """(x, value) of the lowest point that Newton's method finds from the starts, the first among equals.
 
     If no start leads to a minimum that is finite and not above the value at 0, the exact real zeros of the slope decide;

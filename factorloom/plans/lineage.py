@@ -1,25 +1,52 @@
-"""Cutting lineage."""
+"""Cutting lineage: a table is written to the shared folder and read back.
+
+A checkpoint keeps the size estimate of the plan it replaces, and joins multiply
+estimates, so a loop's estimates grow by a factor in digits each round until the driver
+does nothing else. What is read from files has its files' size. Written tables outlive
+lost executors; what a step no longer needs is dropped by name.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, a temporary one only without it."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="factorloom-"))
-    return context.getCheckpointDir()
-
+    """The folder that driver and executors share: what the session names in ``spark.checkpoint.dir``.
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from a reliable checkpoint.
-
-    A persisted table would keep its whole plan, which an iteration that uses several tables twice makes twice as long.
+    A session of one machine without one (tests, notebooks) gets a temporary folder; on a cluster that is an error.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="factorloom-"))
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path for a table of this application."""
+    return f"{shared_folder(spark)}/factorloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """The same rows, written and read back; ``spent``: tables that ``cut`` gave and that nothing needs any more."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    drop(*spent)
+    return out
+
+
+def drop(*spent: DataFrame) -> None:
+    """Deletes the files of tables that ``cut`` gave; what still reads them fails."""
+    for df in spent:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

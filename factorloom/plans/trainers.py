@@ -20,7 +20,7 @@ from factorloom.operators import objective as O
 from factorloom.operators.blocks import counts, layout
 from factorloom.operators.normal_equations import half_step, normal_equations, solve
 from factorloom.operators.solvers import minimize
-from factorloom.plans.lineage import cut
+from factorloom.plans.lineage import cut, drop
 from factorloom.plans.model import FactorModel
 
 log = logging.getLogger("factorloom")
@@ -32,7 +32,8 @@ HISTORY = "iter int, alpha double, beta double, grad_norm double, loss double"
 class Settings:
     """What all trainers share.
 
-    Every iteration's factors are checkpointed in the session's checkpoint folder, so there is no interval to choose.
+    Every iteration's factors are written to the session's shared folder and the ones before deleted, so there is no interval
+    to choose.
     intermediate_level: of the two layouts of the ratings; final_level: of the factors, NONE leaves them unpersisted.
     """
 
@@ -77,7 +78,7 @@ def initial(sizes: DataFrame, s: Settings, side: int) -> DataFrame:
 
 
 class _Run:
-    """Both layouts of the ratings and the loop's helpers."""
+    """Both layouts of the ratings, the sides' states and the loop's helpers."""
 
     def __init__(self, ratings: DataFrame, s: Settings):
         if s.intermediate_level == StorageLevel.NONE:
@@ -88,7 +89,9 @@ class _Run:
         seen = {key: counts(self.by[key].filter("rating > 0") if s.implicit else self.by[key], key) for key in SIDES}
         everyone = {key: counts(self.by[key], key).select("id") for key in SIDES}
         self.sizes = {key: everyone[key].join(seen[key], "id", "left").na.fill(0, ["n"]) if s.implicit else seen[key] for key in SIDES}
-        self.state = {key: cut(initial(self.sizes[key], s, i)) for i, key in enumerate(SIDES)}
+        self.written: dict[str, DataFrame] = {}
+        self.state: dict[str, DataFrame] = {}
+        self.replace(**{key: initial(self.sizes[key], s, i) for i, key in enumerate(SIDES)})
 
     def other(self, key: str) -> str:
         return SIDES[key == "user"]
@@ -97,11 +100,8 @@ class _Run:
         s = self.s
         return half_step(self.by[key], key, factors, s.rank, s.ridge, s.nonnegative, s.implicit, s.alpha)
 
-    def cost(self) -> float:
-        return O.cost(self.by["user"], self.state["user"], self.state["item"], self.s.rank, self.s.ridge)
-
     def both(self, key: str, own: DataFrame, factors: DataFrame) -> DataFrame:
-        """own with ``solved`` (the half-step against factors) and ``grad`` (at own's factor), from one pass."""
+        """own with the half-step against factors (solved, loss) and grad and was at own's factor, from one pass."""
         sums = normal_equations(self.by[key], key, factors, self.s.rank).join(own.select("id", "factor"), "id")
         return own.join(solve(sums, self.s.rank, self.s.ridge, self.s.nonnegative, state=F.col("factor")).drop("n"), "id")
 
@@ -112,8 +112,11 @@ class _Run:
         return {n: row[n] or 0.0 for n in columns}
 
     def replace(self, **new: DataFrame) -> None:
-        """New states, all made from the old ones."""
-        self.state |= {key: cut(df) for key, df in new.items()}
+        """New states, written one after the other; what they were made from is dropped when all are there."""
+        spent = [self.written[key] for key in new if key in self.written]
+        for key, df in new.items():
+            self.written[key] = self.state[key] = cut(df)
+        drop(*spent)
 
     def line(self, starts: list[float]) -> tuple[float, float]:
         s = self.s
@@ -125,26 +128,41 @@ class _Run:
         if s.final_level != StorageLevel.NONE:
             for df in out:
                 df.persist(s.final_level).count()
-            for df in self.by.values():
-                df.unpersist()
+        for df in self.by.values():  # the states are written tables and need them no more
+            df.unpersist()
         spark = out[0].sparkSession
         return FactorModel(s.rank, *out, spark.createDataFrame(s.history, HISTORY))
 
 
 def train_als(ratings: DataFrame, **settings) -> FactorModel:
-    """Alternating least squares: the items first, then the users from the new items."""
+    """Alternating least squares: the items first, then the users from the new items.
+
+    A pass over the ratings by item gives the items' gradient and the next items; the loss is in the users' sums.
+    """
     s = Settings(**settings)
     s.check("als")
     run = _Run(ratings, s)
-    s.note(0, None, None, None, None if s.implicit else run.cost())
+    if s.implicit:
+        s.note(0, None, None, None, None)
+        for i in range(1, s.iterations + 1):
+            for key in ("item", "user"):
+                run.replace(**{key: run.half(key, run.state[run.other(key)])})
+            s.note(i, None, None, None, None)
+        return run.model()
+    x, grad = F.col("factor"), F.col("grad")
+    norm = F.lit(float(s.ridge)) * F.col("n") * dot(x, x, s.rank)
+    run.replace(item=run.both("item", run.state["item"], run.state["user"]))
+    start = run.state["item"].agg(F.sum("was")).first()[0] or 0.0
+    s.note(0, None, None, None, start + (run.state["user"].agg(F.sum(norm)).first()[0] or 0.0))
     for i in range(1, s.iterations + 1):
-        for key in ("item", "user"):
-            run.replace(**{key: run.half(key, run.state[run.other(key)])})
-        grad = None
-        if not s.implicit:  # the users' gradient is zero after their own step
-            own = run.state["item"]
-            grad = math.sqrt(O.gradient(run.by["item"], "item", own, run.state["user"], s.rank, s.ridge).agg(F.sum(dot(F.col("grad"), F.col("grad"), s.rank))).first()[0] or 0.0)
-        s.note(i, None, None, grad, None if s.implicit else run.cost())
+        items = run.state["item"].select("id", "n", F.col("solved").alias("factor"))
+        users = normal_equations(run.by["user"], "user", items, s.rank)
+        run.replace(user=solve(users, s.rank, s.ridge, s.nonnegative).select("id", "n", F.col("solved").alias("factor"), "loss", F.lit(0.0).alias("square")))
+        run.replace(item=run.both("item", items, run.state["user"]))
+        # the users' gradient is zero after their own step
+        ends = run.state["user"].select("loss", "square").union(run.state["item"].select(norm, dot(grad, grad, s.rank)))
+        loss, square = ends.agg(F.sum("loss"), F.sum("square")).first()
+        s.note(i, None, None, math.sqrt(square or 0.0), loss or 0.0)
     return run.model()
 
 
@@ -155,30 +173,29 @@ def train_ncg(ratings: DataFrame, **settings) -> FactorModel:
     run, k = _Run(ratings, s), s.rank
     g, p, old = F.col("grad"), F.col("p"), F.col("old")
 
-    def gradients() -> dict[str, DataFrame]:
+    def graded() -> dict[str, DataFrame]:
         return {key: run.state[key].join(O.gradient(run.by[key], key, run.state[key], run.state[run.other(key)], k, s.ridge), "id") for key in SIDES}
 
-    run.replace(**{key: df.withColumn("p", scale(-1.0, g, k)) for key, df in gradients().items()})
-    size = math.sqrt(run.sums(gg=dot(g, g, k))["gg"])
-    s.note(0, None, None, size, run.cost())
-    alpha = 1.0
+    run.replace(**graded())
+    gg = run.sums(gg=dot(g, g, k))["gg"]
+    run.state = {key: df.withColumn("p", scale(-1.0, g, k)) for key, df in run.state.items()}
+    s.note(0, None, None, math.sqrt(gg), O.cost(run.by["user"], run.state["user"], run.state["item"], k, s.ridge))
+    alpha, pp = 1.0, gg
     for i in range(1, s.iterations + 1):
-        length = math.sqrt(run.sums(pp=dot(p, p, k))["pp"])
-        if length == 0:
+        if pp <= 0:
             break
         # the step is searched along the direction at length 1, the recurrence keeps it as it was
-        raw = {key: run.state[key] for key in SIDES}
+        raw, length = run.state, math.sqrt(pp)
         run.state = {key: df.withColumn("raw", p).withColumn("p", scale(1 / length, p, k)) for key, df in raw.items()}
-        alpha, _ = run.line([2 * abs(alpha), 500.0])
-        moved = {key: run.state[key].select("id", "n", axpy(alpha, p, F.col("factor"), k).alias("factor"), g.alias("old"), F.col("raw").alias("p")) for key in SIDES}
-        run.state = raw
-        run.replace(**moved)
-        run.replace(**gradients())
-        t = run.sums(gg=dot(g, g, k), go=dot(g, old, k), oo=dot(old, old, k))
+        alpha, loss = run.line([2 * abs(alpha), 500.0])
+        run.state = {key: df.select("id", "n", axpy(alpha, p, F.col("factor"), k).alias("factor"), g.alias("old"), F.col("raw").alias("p")) for key, df in run.state.items()}
+        run.replace(**graded())
+        t = run.sums(gg=dot(g, g, k), go=dot(g, old, k), oo=dot(old, old, k), gp=dot(g, p, k), pp=dot(p, p, k))
         beta = (t["gg"] - t["go"]) / t["oo"] if t["oo"] else 0.0
         restart = beta < 0 or alpha == 0
-        run.replace(**{key: df.select("id", "n", "factor", "grad", (scale(-1.0, g, k) if restart else axpby(-1.0, g, beta, p, k)).alias("p")) for key, df in run.state.items()})
-        s.note(i, alpha, beta, math.sqrt(t["gg"]), run.cost())
+        run.state = {key: df.withColumn("p", scale(-1.0, g, k) if restart else axpby(-1.0, g, beta, p, k)) for key, df in run.state.items()}
+        pp = t["gg"] if restart else t["gg"] - 2 * beta * t["gp"] + beta**2 * t["pp"]
+        s.note(i, alpha, beta, math.sqrt(t["gg"]), loss)
     return run.model()
 
 
@@ -189,27 +206,33 @@ def train_pncg(ratings: DataFrame, **settings) -> FactorModel:
     run, k = _Run(ratings, s), s.rank
     x, g, pre, p = (F.col(c) for c in ("factor", "grad", "pre", "p"))
 
-    def directions() -> dict[str, DataFrame]:
-        """States with the gradient and the preconditioned one, x minus the round's result."""
-        users = cut(run.both("user", run.state["user"], run.state["item"]))
-        items = run.state["item"].join(run.half("item", users.select("id", F.col("solved").alias("factor"))).select("id", F.col("factor").alias("solved")), "id")
-        items = items.join(O.gradient(run.by["item"], "item", run.state["item"], run.state["user"], k, s.ridge), "id")
-        return {key: df.withColumn("pre", axpby(1.0, x, -1.0, F.col("solved"), k)).drop("solved") for key, df in (("user", users), ("item", items))}
-
-    run.replace(**{key: df.withColumn("p", scale(-1.0, pre, k)) for key, df in directions().items()})
+    def advance() -> None:
+        """States with the gradient and the preconditioned one, x minus the round's result; columns beside stay."""
+        step = axpby(1.0, x, -1.0, F.col("solved"), k)
+        was, old = run.state, list(run.written.values())
+        users = cut(run.both("user", was["user"], was["item"]).drop("loss", "was"))
+        solved = run.half("item", users.select("id", F.col("solved").alias("factor"))).select("id", F.col("factor").alias("solved"))
+        items = was["item"].join(solved, "id").join(O.gradient(run.by["item"], "item", was["item"], was["user"], k, s.ridge), "id")
+        items = cut(items.withColumn("pre", step).drop("solved"))
+        run.written = {"user": users, "item": items}
+        run.state = {"user": users.withColumn("pre", step).drop("solved"), "item": items}
+        drop(*old)
+
+    advance()
     t = run.sums(gg=dot(g, g, k), gp=dot(g, pre, k))
-    s.note(0, None, None, math.sqrt(t["gg"]), run.cost())
+    run.state = {key: df.withColumn("p", scale(-1.0, pre, k)) for key, df in run.state.items()}
+    s.note(0, None, None, math.sqrt(t["gg"]), O.cost(run.by["user"], run.state["user"], run.state["item"], k, s.ridge))
     for i in range(1, s.iterations + 1):
         if t["gp"] == 0:
             break
         alpha, loss = run.line([0.0, 2.0])
-        run.replace(**{key: run.state[key].select("id", "n", axpy(alpha, p, x, k).alias("factor"), pre.alias("old"), "p") for key in SIDES})
-        run.replace(**directions())
+        run.state = {key: df.select("id", "n", axpy(alpha, p, x, k).alias("factor"), pre.alias("old"), "p") for key, df in run.state.items()}
+        advance()
         before = t["gp"]
         t = run.sums(gg=dot(g, g, k), gp=dot(g, pre, k), go=dot(g, F.col("old"), k))
         beta = (t["gp"] - t["go"]) / before
         restart = beta < 0 or alpha == 0
-        run.replace(**{key: df.select("id", "n", "factor", "grad", "pre", (scale(-1.0, pre, k) if restart else axpby(-1.0, pre, beta, p, k)).alias("p")) for key, df in run.state.items()})
+        run.state = {key: df.withColumn("p", scale(-1.0, pre, k) if restart else axpby(-1.0, pre, beta, p, k)) for key, df in run.state.items()}
         s.note(i, alpha, beta, math.sqrt(t["gg"]), loss)
     return run.model()
 

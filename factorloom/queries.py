@@ -7,8 +7,6 @@ Values are compared after ``round(x * 1e4, 0) / 1e4`` (fewer digits for large su
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from factorloom.operators import normal_equations as N
 from factorloom.operators import objective as O
 from factorloom.operators.solvers import minimize
 from factorloom.plans import model as M
-from factorloom.plans.lineage import shared_folder
+from factorloom.plans.lineage import scratch
 from factorloom.plans.trainers import train_als, train_ncg, train_pncg
 from factorloom.sources import ratings as S
 
@@ -54,7 +52,7 @@ def entries(df: DataFrame, vector: str, name: str = "value") -> DataFrame:
 
 def read_ratings_text(spark, d):
     """Writes R1 as text and reads it with a regular expression as delimiter."""
-    path = f"{shared_folder(spark)}/ratings-{uuid.uuid4()}"
+    path = scratch(spark)
     S.customer_part(spark, d).select(F.concat_ws(" :: ", "user", "item", "rating", F.lit("more"))).write.text(path)
     return S.read_text(spark, path, "\\s*::\\s*")
 
@@ -283,18 +281,50 @@ def preconditioned_gradient(spark, d):
     return entries(users.join(new, "id").withColumn("v", axpby(1.0, F.col("factor"), -1.0, F.col("new"), 2)), "v")
 
 
-def _first_step(trainer, spark, d):
-    model = trainer(S.customer_part(spark, d), rank=2, iterations=1, ridge=RIDGE, init="lattice")
+def preconditioned_gradient_item(spark, d):
+    """The items' part: the point minus the half-step from the users' new factors."""
+    ratings = S.customer_part(spark, d)
+    users, items = sides(ratings, 2)
+    new = N.half_step(ratings, "item", N.half_step(ratings, "user", items, 2, RIDGE), 2, RIDGE).select("id", F.col("factor").alias("new"))
+    return entries(items.join(new, "id").withColumn("v", axpby(1.0, F.col("factor"), -1.0, F.col("new"), 2)), "v")
+
+
+def _implicit_gradient(spark, d, key):
+    ratings = S.customer_part(spark, d).withColumn("rating", F.col("rating") - 10)
+    users, items = sides(ratings, 2)
+    own, other = (users, items) if key == "user" else (items, users)
+    return entries(O.implicit_gradient(ratings, key, own, other, 2, RIDGE, ALPHA), "grad")
+
+
+def implicit_gradient_user(spark, d):
+    return _implicit_gradient(spark, d, "user")
+
+
+def implicit_gradient_item(spark, d):
+    return _implicit_gradient(spark, d, "item")
+
+
+def _steps(trainer, spark, d, steps=1):
+    model = trainer(S.customer_part(spark, d), rank=2, iterations=steps, ridge=RIDGE, init="lattice")
     rows = model.user_factors.select("id", F.posexplode("features").alias("j", "v"))
     return rows.select("id", F.col("j").cast("long").alias("j"), r("v", 100.0).alias("value"))
 
 
 def pncg_one_step(spark, d):
-    return _first_step(train_pncg, spark, d)
+    return _steps(train_pncg, spark, d)
 
 
 def ncg_one_step(spark, d):
-    return _first_step(train_ncg, spark, d)
+    return _steps(train_ncg, spark, d)
+
+
+def pncg_two_steps(spark, d):
+    """The second step goes along a direction that beta or a restart has made."""
+    return _steps(train_pncg, spark, d, 2)
+
+
+def ncg_two_steps(spark, d):
+    return _steps(train_ncg, spark, d, 2)
 
 
 # --- trainers and models
@@ -353,8 +383,9 @@ QUERIES = {
         csc_pointers, encode_index, init_lattice, init_random, factor_scale, factor_axpy, factor_axpby, factor_dot,
         factor_norm2, embedding_norm2, gram_matrix, gram_ray, normal_equations, normal_equations_batched, squared_error,
         tikhonov_norm, mf_cost, ray_norms, ray_coefficients, gradient_user, gradient_item, gradient_norm, newton_minimize,
-        als_half_step, als_one_iter, als_implicit_half_step, nnls_half_step, preconditioned_gradient, pncg_one_step,
-        ncg_one_step, train_als_history, train_ncg_history, train_pncg_history, train_nonnegative_history,
+        als_half_step, als_one_iter, als_implicit_half_step, nnls_half_step, preconditioned_gradient,
+        preconditioned_gradient_item, implicit_gradient_user, implicit_gradient_item, pncg_one_step, ncg_one_step,
+        pncg_two_steps, ncg_two_steps, train_als_history, train_ncg_history, train_pncg_history, train_nonnegative_history,
         train_implicit_factors, predict, rmse, weighted_rmse,
     )
 }
@@ -404,12 +435,12 @@ def _system(key: str, other: str, v0: str, v1: str) -> str:
     )
 
 
-def _gradients(k: int) -> str:
-    """Tables gu (u, g*) and gi (i, g*)."""
+def _gradients(k: int, users: str = "us", items: str = "it", more: str = "") -> str:
+    """Tables gu (u, g*) and gi (i, g*) at the points of two tables; ``more`` ends the new tables' names."""
     off = f"({_dot('x', 'y', k)} - v)"
-    met = "(SELECT r.u, r.i, r.v, us.* EXCLUDE (u, n), it.* EXCLUDE (i, n), us.n AS nu, it.n AS ni FROM r JOIN us USING (u) JOIN it USING (i))"
-    gu = f"gu AS (SELECT u, {', '.join(f'2 * sum({off} * y{j}) + 2 * {RIDGE} * any_value(nu) * any_value(x{j}) AS g{j}' for j in range(k))} FROM {met} GROUP BY u)"
-    gi = f"gi AS (SELECT i, {', '.join(f'2 * sum({off} * x{j}) + 2 * {RIDGE} * any_value(ni) * any_value(y{j}) AS g{j}' for j in range(k))} FROM {met} GROUP BY i)"
+    met = f"(SELECT r.u, r.i, r.v, {users}.* EXCLUDE (u, n), {items}.* EXCLUDE (i, n), {users}.n AS nu, {items}.n AS ni FROM r JOIN {users} USING (u) JOIN {items} USING (i))"
+    gu = f"gu{more} AS (SELECT u, {', '.join(f'2 * sum({off} * y{j}) + 2 * {RIDGE} * any_value(nu) * any_value(x{j}) AS g{j}' for j in range(k))} FROM {met} GROUP BY u)"
+    gi = f"gi{more} AS (SELECT i, {', '.join(f'2 * sum({off} * x{j}) + 2 * {RIDGE} * any_value(ni) * any_value(y{j}) AS g{j}' for j in range(k))} FROM {met} GROUP BY i)"
     return f"{gu}, {gi}"
 
 
@@ -424,14 +455,14 @@ def _ray(k: int, users: str, items: str, name: str = "c") -> str:
     )
 
 
-def _minimum(starts: list[str], name: str = "c") -> str:
+def _minimum(starts: list[str], name: str = "c", more: str = "") -> str:
     """A one-row table ``best`` (alpha): Newton's method on the slope from each start, the lowest minimum."""
     slope = "(c1 + z * (2 * c2 + z * (3 * c3 + z * 4 * c4)))"
     bend = "(2 * c2 + z * (6 * c3 + z * 12 * c4))"
     first = " UNION ALL ".join(f"SELECT 0 AS step, {n} AS start, CAST({s} AS DOUBLE) AS z" for n, s in enumerate(starts))
     return (
-        f"walk AS ({first} UNION ALL SELECT step + 1, start, z - {slope} / {bend} FROM walk, {name} WHERE step < 11 AND {bend} <> 0), "
-        f"best AS (SELECT z AS alpha FROM walk, {name} WHERE step = 11 AND {bend} >= 0 ORDER BY c0 + z * (c1 + z * (c2 + z * (c3 + z * c4))), start LIMIT 1)"
+        f"walk{more} AS ({first} UNION ALL SELECT step + 1, start, z - {slope} / {bend} FROM walk{more}, {name} WHERE step < 11 AND {bend} <> 0), "
+        f"best{more} AS (SELECT z AS alpha FROM walk{more}, {name} WHERE step = 11 AND {bend} >= 0 ORDER BY c0 + z * (c1 + z * (c2 + z * (c3 + z * c4))), start LIMIT 1)"
     )
 
 
@@ -496,7 +527,16 @@ def oracles() -> dict[str, str]:
     whole = f"{base}, isys AS ({_system('i', 'us', 'x0', 'x1')}), inew AS ({_solved('isys', 'i')}), usys AS ({_system('u', 'inew', 's0', 's1')}), unew AS ({_solved('usys', 'u')})"
     out["als_one_iter"] = whole + " " + _rows("unew", values)
     out["preconditioned_gradient"] = half + ", g AS (SELECT us.u, x0 - s0 AS g0, x1 - s1 AS g1 FROM us JOIN new USING (u)) " + _rows("g", ["g0", "g1"])
+    out["preconditioned_gradient_item"] = (
+        f"{half}, isys AS ({_system('i', 'new', 's0', 's1')}), inew AS ({_solved('isys', 'i')}), g AS (SELECT it.i, y0 - s0 AS g0, y1 - s1 AS g1 FROM it JOIN inew USING (i)) " + _rows("g", ["g0", "g1"], "i")
+    )
     signed = R1.replace("l_quantity AS v", "l_quantity - 10 AS v")
+    for key, mine, theirs, own, other in (("u", "x", "y", "us", "it"), ("i", "y", "x", "it", "us")):
+        sure = f"2 * (1 + {ALPHA}e0 * abs(v)) * ({_dot('x', 'y', 2)} - CASE WHEN v > 0 THEN 1e0 ELSE 0e0 END)"
+        whole_of = f"yy AS (SELECT sum({theirs}0 * {theirs}0) AS a, sum({theirs}0 * {theirs}1) AS b, sum({theirs}1 * {theirs}1) AS c FROM {other})"
+        part = f"part AS (SELECT r.{key}, sum({sure} * {theirs}0) AS t0, sum({sure} * {theirs}1) AS t1 FROM r JOIN us USING (u) JOIN it USING (i) GROUP BY r.{key})"
+        g = f"g AS (SELECT {key}, t0 + 2 * {RIDGE} * {mine}0 + 2 * (a * {mine}0 + b * {mine}1) AS g0, t1 + 2 * {RIDGE} * {mine}1 + 2 * (b * {mine}0 + c * {mine}1) AS g1 FROM part JOIN {own} USING ({key}), yy)"
+        out["implicit_gradient_" + ("user" if key == "u" else "item")] = f"{_base(2, signed)}, {whole_of}, {part}, {g} " + _rows("g", ["g0", "g1"], key)
     more = f"CASE WHEN v > 0 THEN {ALPHA}e0 * abs(v) ELSE 0 END"
     out["als_implicit_half_step"] = (
         f"{_base(2, signed)}, yy AS (SELECT sum(y0 * y0) AS a, sum(y0 * y1) AS b, sum(y1 * y1) AS c FROM it), part AS (SELECT u, {more} AS m, v > 0 AS seen, y0, y1 FROM r JOIN it USING (i)), "
@@ -525,6 +565,31 @@ def oracles() -> dict[str, str]:
     )
     out["ncg_one_step"] = f"{plain}, {_ray(2, 'ud', 'id')}, {_minimum(['2', '500'])}, done AS (SELECT * FROM ud, best) " + _rows("done", moved, digits="100e0")
 
+    # the second step: the point moved, the direction made anew by beta, or restarted where it is negative
+    at = lambda users, items: (
+        f"us1 AS (SELECT u, n, x0 + alpha * p0 AS x0, x1 + alpha * p1 AS x1, {users} FROM ud, best), it1 AS (SELECT i, n, y0 + alpha * q0 AS y0, y1 + alpha * q1 AS y1, {items} FROM id, best)"
+    )
+    over = lambda a, b: f"((SELECT sum({_dot(a, b, 2)}) FROM ua) + (SELECT sum({_dot(a, b, 2)}) FROM ia))"
+    last = ["CAST(CAST(x0 + alpha * p0 AS FLOAT) AS DOUBLE)", "CAST(CAST(x1 + alpha * p1 AS FLOAT) AS DOUBLE)"]
+    out["pncg_two_steps"] = (
+        f"{pre}, {_ray(2, 'ud', 'id')}, {_minimum(['0', '2'])}, {_gradients(2)}, {at('p0 AS o0, p1 AS o1', 'q0 AS o0, q1 AS o1')}, "
+        f"usys1 AS ({_system('u', 'it1', 'y0', 'y1')}), unew1 AS ({_solved('usys1', 'u')}), isys1 AS ({_system('i', 'unew1', 's0', 's1')}), inew1 AS ({_solved('isys1', 'i')}), {_gradients(2, 'us1', 'it1', '1')}, "
+        "ua AS (SELECT us1.*, x0 - s0 AS d0, x1 - s1 AS d1, gu1.g0, gu1.g1, gu.g0 AS f0, gu.g1 AS f1 FROM us1 JOIN unew1 USING (u) JOIN gu1 USING (u) JOIN gu USING (u)), "
+        "ia AS (SELECT it1.*, y0 - s0 AS d0, y1 - s1 AS d1, gi1.g0, gi1.g1, gi.g0 AS f0, gi.g1 AS f1 FROM it1 JOIN inew1 USING (i) JOIN gi1 USING (i) JOIN gi USING (i)), "
+        f"be AS (SELECT ({over('g', 'd')} + {over('g', 'o')}) / -{over('f', 'o')} AS beta), bm AS (SELECT CASE WHEN beta < 0 OR alpha = 0 THEN 0e0 ELSE beta END AS beta FROM be, best), "
+        "ud1 AS (SELECT u, n, x0, x1, beta * o0 - d0 AS p0, beta * o1 - d1 AS p1 FROM ua, bm), id1 AS (SELECT i, n, y0, y1, beta * o0 - d0 AS q0, beta * o1 - d1 AS q1 FROM ia, bm), "
+        f"{_ray(2, 'ud1', 'id1', 'c1')}, {_minimum(['0', '2'], 'c1', '1')}, done AS (SELECT * FROM ud1, best1) " + _rows("done", last, digits="100e0")
+    )
+    out["ncg_two_steps"] = (
+        f"{plain}, {_ray(2, 'ud', 'id')}, {_minimum(['2', '500'])}, {at('p0 AS o0, p1 AS o1', 'q0 AS o0, q1 AS o1')}, {_gradients(2, 'us1', 'it1', '1')}, "
+        "ua AS (SELECT us1.*, gu1.g0, gu1.g1, gu.g0 AS f0, gu.g1 AS f1 FROM us1 JOIN gu1 USING (u) JOIN gu USING (u)), ia AS (SELECT it1.*, gi1.g0, gi1.g1, gi.g0 AS f0, gi.g1 AS f1 FROM it1 JOIN gi1 USING (i) JOIN gi USING (i)), "
+        f"be AS (SELECT ({over('g', 'g')} - {over('g', 'f')}) / {over('f', 'f')} AS beta), bm AS (SELECT CASE WHEN beta < 0 OR alpha = 0 THEN 0e0 ELSE beta END AS beta FROM be, best), "
+        "raw AS (SELECT u, n, x0, x1, -beta * f0 - g0 AS p0, -beta * f1 - g1 AS p1 FROM ua, bm), iraw AS (SELECT i, n, y0, y1, -beta * f0 - g0 AS q0, -beta * f1 - g1 AS q1 FROM ia, bm), "
+        f"len1 AS (SELECT sqrt((SELECT sum({_dot('p', 'p', 2)}) FROM raw) + (SELECT sum({_dot('q', 'q', 2)}) FROM iraw)) AS len), "
+        "ud1 AS (SELECT u, n, x0, x1, p0 / len AS p0, p1 / len AS p1 FROM raw, len1), id1 AS (SELECT i, n, y0, y1, q0 / len AS q0, q1 / len AS q1 FROM iraw, len1), "
+        f"{_ray(2, 'ud1', 'id1', 'c1')}, {_minimum(['(SELECT 2 * abs(alpha) FROM best)', '500'], 'c1', '1')}, done AS (SELECT * FROM ud1, best1) " + _rows("done", last, digits="100e0")
+    )
+
     base = _base(k)
     value = _dot("x", "y", k)
     out["predict"] = f"{base} SELECT r.u AS user, r.i AS item, v AS rating, {q(value)} AS prediction FROM {met}"

@@ -20,7 +20,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in CORE if n in SQL] + [n for n in SQL if n not in CORE])
+@pytest.mark.parametrize("name", [n for n in CORE if n in SQL])
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, SF_DIR)
     columns = sorted(df.columns)
