@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -11,36 +10,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorloom.plans.lineage import cut, drop, scratch, shared_folder  # noqa: F401  for the operators of this subpackage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables in a scale-factor folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, a temporary one only without it."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="factorloom-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a
-    session without one (tests, notebooks) gets a temporary folder.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def release(spark: SparkSession) -> None:
     """Lets go of what finished steps hold.
 
-    Spark removes shuffle files, broadcasts and checkpoints once the driver's garbage collector has found their tables
-    dead, which a driver that only plans does rarely; long loops ask for it.
+    Spark removes shuffle files and broadcasts once the driver's garbage collector has found their tables dead, which a
+    driver that only plans does rarely; long loops ask for it.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -12,21 +12,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import cut, release
+from factorloom.llm.common import cut, drop, release
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for each node of the links (a, b); a component is named by its smallest node."""
+    """(node, component) for each node of the links (a, b); a component is named by its smallest node.
+
+    The result is a written table; the rounds' own tables are dropped as they are used up.
+    """
     pairs = links.select("a", "b").filter("a <> b")
     edges = cut(pairs.union(pairs.select("b", "a")).distinct().toDF("u", "v"))
-    names = edges.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("root"))
+    names = cut(edges.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("root")))
     while not edges.isEmpty():
         release(links.sparkSession)
         order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
         parents = cut(edges.groupBy("u").agg(F.min(order("v")).alias("m")).select("u", F.least(F.col("m"), order("u"))["id"].alias("to")))
-        names = cut(names.join(parents.toDF("root", "to").hint("merge"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
-        edges = edges.join(parents.toDF("u", "pu").hint("merge"), "u").join(parents.toDF("v", "pv").hint("merge"), "v")
-        edges = cut(edges.filter("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct())
-    # cut, so that the join deals both sides anew and can split a component of very many nodes
+        names = cut(names.join(parents.toDF("root", "to").hint("merge"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), names)
+        moved = edges.join(parents.toDF("u", "pu").hint("merge"), "u").join(parents.toDF("v", "pv").hint("merge"), "v")
+        edges = cut(moved.filter("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct(), edges, parents)
+    # written, so that the join deals both sides anew and can split a component of very many nodes
     least = cut(names.groupBy("root").agg(F.min("node").alias("component")))
-    return names.join(least.hint("merge"), "root").select("node", "component")
+    out = cut(names.join(least.hint("merge"), "root").select("node", "component"), names, least)
+    drop(edges)
+    return out
