@@ -22,7 +22,7 @@ compared with is sent to several tasks.
 Words are lower-cased (A-Z). Defined cases: null texts and texts without a word
 are alone in their class; texts of fewer than five words are one k-mer; repeated
 rows and equal texts share a class, named by its smallest id (null ids name no
-class); other columns are ignored. Equal texts are told by 64 bits of a hash.
+class); other columns are ignored. Equal texts are told by 96 bits of two hashes.
 """
 
 from __future__ import annotations
@@ -32,11 +32,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm import words as W
-from factorloom.llm.common import cut, pmod, release, slices, small_batches, text_bytes
+from factorloom.llm.common import cut, drop, pmod, release, slices, small_batches, text_bytes
 from factorloom.llm.components import components
 
 _RANDOM = np.random.Generator(np.random.PCG64(8)).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,7 +54,7 @@ def labelled(words: np.ndarray, k: int) -> np.ndarray:
     return W.mix(kmers + nth * np.uint64(0x9E3779B97F4A7C15))
 
 
-def sketch(words: np.ndarray, k: int = 5, take: int = 3, entries: int = 48) -> np.ndarray:
+def sketch(words: np.ndarray, k: int = 5, take: int = 2, entries: int = 64) -> np.ndarray:
     """A 64-bit value for each entry: the ``take`` smallest labelled k-mers in text order."""
     marks = labelled(words, k)
     take, n = min(take, len(marks)), len(marks)
@@ -116,15 +116,14 @@ def aligned(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     n, m = len(a), len(b)
     if not n or not m:
         return max(n, m) <= most
-    # reach[d + zero]: how far the words of a are used up on diagonal d
+    # reach[d + zero]: how far the words of a are used up on diagonal d; it never goes back, so no word is met twice
     zero, never = most + 1, -(1 << 40)
     diagonals = np.arange(-zero, zero + 1)
     limits = np.minimum(n, m - diagonals)
     reach = np.full(2 * most + 3, never)
-    stops: dict[int, np.ndarray] = {}
 
     def slide(at: np.ndarray, d: np.ndarray, limit: np.ndarray) -> np.ndarray:
-        """Down each diagonal while the words agree: a few steps together, then by the places where a diagonal differs."""
+        """Down each diagonal while the words agree: a few steps together, then each diagonal in growing runs."""
         go = np.flatnonzero((at >= 0) & (at + d >= 0) & (at < limit))
         for _ in range(4):
             go = go[a[at[go]] == b[at[go] + d[go]]]
@@ -133,11 +132,16 @@ def aligned(a: np.ndarray, b: np.ndarray, most: int) -> bool:
             at[go] += 1
             go = go[at[go] < limit[go]]
         for i in go:
-            k = int(d[i])
-            if k not in stops:
-                low, high = max(0, -k), int(limit[i])
-                stops[k] = np.append(np.flatnonzero(a[low:high] != b[low + k : high + k]) + low, high)
-            at[i] = stops[k][np.searchsorted(stops[k], at[i])]
+            x, k, end, run = int(at[i]), int(d[i]), int(limit[i]), 16
+            while x < end:
+                upto = min(x + run, end)
+                differ = a[x:upto] != b[x + k : upto + k]
+                first = int(differ.argmax())
+                if differ[first]:
+                    x += first
+                    break
+                x, run = upto, min(run * 4, 1 << 14)
+            at[i] = x
         return at
 
     goal = m - n
@@ -184,14 +188,21 @@ def _texts(column: pa.Array):
     return [hashes[i:j] for i, j in zip(first[:-1], first[1:], strict=True)]
 
 
-def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts (key, text) are similar; many pairs may share b."""
-    each = pairs.groupBy("b").agg(F.count("*").alias("__c"))
-    salted = cut(pairs.join(each, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("__c") / 128))).select("a", "b", "salt"))
-    groups = max(64, salted.count() // 256)
+def verify(pairs: DataFrame, texts: DataFrame, least: float, words: int = 1 << 18) -> DataFrame:
+    """Those of the pairs (a, b) whose texts (key, n, text) are similar; many pairs may share b.
+
+    Pairs are dealt out by b, the pairs of a b that has many by a as well, into groups of about ``words`` words.
+    """
+    each = pairs.groupBy("b").agg(F.count("*").alias("__c")).filter("__c > 64")
+    hot = cut(each)  # written, so that the join below deals the pairs anew and can split those of a hot b
+    salt = F.coalesce(F.pmod(F.xxhash64("a"), F.ceil(F.col("__c") / 64)), F.lit(0).cast("long"))
+    salted = pairs.join(hot, "b", "left").select("a", "b", salt.alias("salt"))
+    # a pair's words are at most twice those of its longer text, which is at most a quarter longer than the other
+    total = pairs.join(texts.select(F.col("key").alias("a"), "n"), "a").agg(F.count("*"), F.sum("n")).first()
+    groups = max(64, (total[0] or 0) // 256, 2 * (total[1] or 0) // words)
     dealt = salted.select("a", "b", pmod(F.xxhash64("b", "salt"), groups).cast("int").alias("g"))
     needed = dealt.select("g", F.explode(F.array("a", "b")).alias("key")).distinct()
-    there = needed.join(texts, "key").select(F.col("g").alias("at"), "key", "text")
+    there = needed.join(texts.select("key", "text"), "key").select(F.col("g").alias("at"), "key", "text")
 
     def compare(some: pa.Table, texts: pa.Table) -> pa.Table:
         texts = texts.combine_chunks()
@@ -200,26 +211,28 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         good = [x in known and y in known and known[x].similar(known[y], least) for x, y in zip(a, b, strict=True)]
         return some.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return dealt.groupBy("g").cogroup(there.groupBy("at")).applyInArrow(compare, "a long, b long")
+    return cut(dealt.groupBy("g").cogroup(there.groupBy("at")).applyInArrow(compare, "a long, b long"), hot)
 
 
-def across(cast: DataFrame, texts: DataFrame, least: float, width: int, block: int = 512) -> DataFrame:
+def across(cast: DataFrame, texts: DataFrame, least: float, width: int, block: int = 512, words: int = 1 << 17) -> DataFrame:
     """Links (a, b) between components that meet in a bucket, enough to join those that are similar.
 
     cast: (host, key, owner, guest), for each bucket of several components its largest one as host, the bucket's texts and
     whether they are of another component. Guests are compared with all texts of a host that share an entry with them and
-    have another owner; both are dealt into blocks, so that a task gets one block of each whatever a host's size is.
-    texts: (key, text, entries); the first ``width`` entries are the sketch, compared place by place, the others a short text's.
+    have another owner; both are dealt into blocks of about ``block`` texts and ``words`` words, so that a task gets one block
+    of each whatever a host's size is. texts: (key, n, text, entries); the first ``width`` entries are the sketch, compared place by place, the others a short text's.
     """
-    tally = cast.groupBy("host").agg(F.ceil(F.sum(F.col("guest").cast("long")) / block).alias("gs"), F.ceil(F.count("*") / block).alias("ms"))
-    full = cast.join(tally, "host").join(texts, "key")
+    sized = cut(cast.join(texts.select("key", "n"), "key"))
+    load = 1 / block + F.col("n") / words
+    tally = cut(sized.groupBy("host").agg(F.ceil(F.sum(F.when(F.col("guest"), load).otherwise(0.0))).alias("gs"), F.ceil(F.sum(load)).alias("ms")))
+    full = sized.drop("n").join(tally, "host").join(texts.drop("n"), "key")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
     columns = ("host", "key", "owner", "guest", "text", "entries")
     members = full.select(*(F.col(c).alias(c) for c in columns), mine("ms").alias("m"), each("gs").alias("g"))
     guests = full.filter("guest").select(*(F.col(c).alias(c) for c in columns), mine("gs").alias("g"), each("ms").alias("m"))
     task = F.xxhash64("host", "g", "m")
-    groups = max(64, cast.count() // block)
+    groups = max(64, int(tally.agg(F.sum(F.col("gs") * F.col("ms"))).first()[0] or 0) // 2)
     members, guests = (x.withColumn("task", task).withColumn("at", pmod(F.col("task"), groups).cast("int")).drop("host", "g", "m") for x in (members, guests))
 
     def compare(lying: pa.Table, asking: pa.Table) -> pa.Table:
@@ -268,11 +281,15 @@ def across(cast: DataFrame, texts: DataFrame, least: float, width: int, block: i
                         root[x] = y
         return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    return members.groupBy("at").cogroup(guests.groupBy("at")).applyInArrow(compare, "a long, b long")
+    return cut(members.groupBy("at").cogroup(guests.groupBy("at")).applyInArrow(compare, "a long, b long"), sized, tally)
 
 
-def _components(docs: DataFrame, k: int, take: int, entries: int, least: float) -> DataFrame:
-    """(key, doc_id, n, component) of each different text of docs (doc_id, text, key); doc_id is its smallest."""
+def _components(docs: DataFrame, k: int, take: int, entries: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(key, check, doc_id, n, component) of each different text of docs (doc_id, text, key, check); doc_id is its smallest.
+
+    Also the keys that more than one text has; see ``_told_apart``. Both are written tables.
+    """
+    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketches(batches):
@@ -281,59 +298,81 @@ def _components(docs: DataFrame, k: int, take: int, entries: int, least: float)
                 part = batch.slice(i, j - i)
                 words = _texts(part.column("text"))
                 found = [np.concatenate([sketch(w, k, take, entries), remainders(w, least)]).view(np.int64) if len(w) else None for w in words]
-                yield pa.record_batch([part.column("doc_id"), part.column("key"), pa.array([len(w) for w in words], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "entries"])
+                yield pa.record_batch([*(part.column(c) for c in ("doc_id", "key", "check")), pa.array([len(w) for w in words], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "key", "check", "n", "entries"])
 
-    rows = docs.mapInArrow(sketches, f"doc_id {kind}, key long, n int, entries array<long>")
-    nodes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("entries").alias("entries")))
+    rows = docs.select("doc_id", "key", "check", "text").mapInArrow(sketches, f"doc_id {kind}, key long, check int, n int, entries array<long>")
+    sketched = cut(rows.groupBy("key", "check").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("entries").alias("entries")))
+    shared = cut(sketched.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
+    nodes = _told_apart(sketched, shared)
     entry = nodes.filter("n > 0").select("key", "n", F.explode("entries").alias("entry"))
     buckets = entry.groupBy("entry").agg(F.min(F.struct("key", "n")).alias("to"), F.count("*").alias("c")).filter("c > 1")
     members = cut(entry.join(buckets.select("entry", "to"), "entry"))
     near = lambda x, y: F.abs(x - y) <= F.floor((1 - least) * F.greatest(x, y) + 1e-9)
     first = cut(members.filter((F.col("key") != F.col("to.key")) & near(F.col("n"), F.col("to.n"))).select(F.col("key").alias("a"), F.col("to.key").alias("b")).distinct())
-    release(docs.sparkSession)
-    texts = cut(docs.join(members.select("key").distinct(), "key", "left_semi").select("key", "text").dropDuplicates(["key"]))
-    release(docs.sparkSession)
-    links = cut(verify(first, texts, least))
-    release(docs.sparkSession)
+    release(spark)
+    some = cut(members.groupBy("key").agg(F.first("n").alias("n")))
+    texts = cut(_told_apart(docs.select("key", "check", "text"), shared).join(some, "key").groupBy("key").agg(F.first("n").alias("n"), F.first("text").alias("text")), some)
+    release(spark)
+    links = verify(first, texts, least)
+    drop(first)
+    release(spark)
 
     # what the comparison with the smallest has left: pairs of a bucket that lie in different components
-    owned = members.join(components(links).toDF("key", "component"), "key", "left").select("entry", "key", F.coalesce("component", "key").alias("owner"))
+    near_first = components(links)
+    owned = members.join(near_first.toDF("key", "component"), "key", "left").select("entry", "key", F.coalesce("component", "key").alias("owner"))
     sizes = owned.groupBy("entry", "owner").agg(F.count("*").alias("c"))
     hosts = sizes.groupBy("entry").agg(F.max_by("owner", F.struct("c", "owner")).alias("host"), F.count("*").alias("owners")).filter("owners > 1")
-    cast = cut(owned.join(hosts.select("entry", "host"), "entry").select("host", "key", "owner", (F.col("owner") != F.col("host")).alias("guest")).distinct())
-    release(docs.sparkSession)
-    links = cut(links.union(across(cast, texts.join(nodes.select("key", "entries"), "key"), least, entries)))
-    return nodes.join(components(links).toDF("key", "component"), "key", "left").select("key", "doc_id", "n", F.coalesce("component", "key").alias("component"))
+    cast = cut(owned.join(hosts.select("entry", "host"), "entry").select("host", "key", "owner", (F.col("owner") != F.col("host")).alias("guest")).distinct(), members, near_first)
+    release(spark)
+    more = across(cast, texts.join(nodes.select("key", "entries"), "key"), least, entries)
+    drop(cast, texts)
+    found = components(links.union(more))
+    named = nodes.join(found.toDF("key", "component"), "key", "left").select("key", "check", "doc_id", "n", F.coalesce("component", "key").alias("component"))
+    return cut(named, sketched, links, more, found), shared
+
+
+def _told_apart(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rows whose ``key`` other texts have too get another, from the second hash; ``shared``: such keys, hardly ever any."""
+    hit = shared.select("key", F.lit(True).alias("__hit"))
+    other = F.xxhash64(F.lit("other"), "check", "key")
+    return rows.join(hit, "key", "left").withColumn("key", F.when(F.col("__hit"), other).otherwise(F.col("key"))).drop("__hit")
+
+
+def _hashes(text: Column) -> tuple[Column, Column]:
+    """Two hashes of a text, of 64 and 32 bits."""
+    return F.xxhash64(text).alias("key"), F.hash(text).alias("check")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), *_hashes(text))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, take: int = 3, entries: int = 48, least: float = 0.8) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, take: int = 2, entries: int = 64, least: float = 0.8) -> DataFrame:
     """doc_id, class_id (the smallest id of its class) and n_words for each row.
 
     k: words of a k-mer; take, entries: k-mers of a sketch entry and entries; least: edit similarity of a link.
     """
     docs = _keyed(docs, id_col, text_col)
-    named = _components(docs, k, take, entries, least)
-    # cut, so that the join deals both sides anew and can split a large class
-    named = cut(named)
+    named, shared = _components(docs, k, take, entries, least)
     least_id = cut(named.groupBy("component").agg(F.min("doc_id").alias("class_id")))
-    named = named.join(least_id, "component").select("key", "n", F.when(F.col("n") > 0, F.col("class_id")).alias("class_id"))
-    return docs.select("doc_id", "key").join(named, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n").cast("long").alias("n_words"))
+    named = cut(named.join(least_id, "component").select("key", "n", F.when(F.col("n") > 0, F.col("class_id")).alias("class_id")), named, least_id)
+    keys = _told_apart(docs.select("doc_id", "key", "check"), shared)
+    return keys.join(named, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n").cast("long").alias("n_words"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, take: int = 3, entries: int = 48, least: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, take: int = 2, entries: int = 64, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class the one with the smallest id.
 
-    Texts without a word all stay.
+    Texts without a word all stay. Of rows that agree in id and text the one with the smallest hash of all columns stays.
     """
-    named = cut(_components(_keyed(docs, id_col, text_col), k, take, entries, least))
+    named, shared = _components(_keyed(docs, id_col, text_col), k, take, entries, least)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("key").alias("key")))
-    chosen = named.filter("n > 0").groupBy("component").agg(first.alias("c")).select(F.col("c.key").alias("__key"), F.col("c.id").alias("__id"))
-    empty = named.filter("n = 0").select(F.col("key").alias("__key"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(text_col).cast("string")))
-    one = keyed.join(chosen, (keyed["__key"] == chosen["__key"]) & keyed[id_col].eqNullSafe(chosen["__id"]), "left_semi").dropDuplicates(["__key"])
-    return one.unionByName(keyed.join(empty, "__key", "left_semi")).drop("__key")
+    chosen = named.filter("n > 0").groupBy("component").agg(first.alias("c")).select(F.col("c.key").alias("key"), F.col("c.id").alias("id"), F.lit(True).alias("worded"))
+    stay = cut(chosen.union(named.filter("n = 0").select("key", F.lit(None).cast(chosen.schema["id"].dataType), F.lit(False))).toDF("__key", "__id", "__worded"), named)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
+    keyed = _told_apart(docs.select(row, *_hashes(F.col(f"`{text_col}`").cast("string"))), shared)
+    found = keyed.join(stay, keyed["key"] == stay["__key"]).filter(~F.col("__worded") | F.col("__row")[id_col].eqNullSafe(F.col("__id")))
+    one = found.filter("__worded").groupBy("key").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+    return one.select("__row").union(found.filter(~F.col("__worded")).select("__row")).select(*(F.col("__row")[c].alias(c) for c in docs.columns))

@@ -170,8 +170,9 @@ def test_alignment_equals_edit_distance():
 
 def test_sketch_keeps_order():
     a, b = np.arange(5, 200, dtype=np.uint64), np.arange(1005, 1200, dtype=np.uint64)
-    turned = neardup.sketch(np.concatenate([b, a])) == neardup.sketch(np.concatenate([a, b]))
-    assert turned.mean() < 0.5  # the same shingles but for the seam, in another order
+    for take, share in ((2, 0.7), (3, 0.45)):  # by chance, all of an entry's k-mers come from one half: 1/2, 1/4
+        turned = neardup.sketch(np.concatenate([b, a]), take=take) == neardup.sketch(np.concatenate([a, b]), take=take)
+        assert turned.mean() < share  # the same shingles but for the seam, in another order
     assert (neardup.sketch(a) == neardup.sketch(a.copy())).all()
     twice = neardup.labelled(np.tile(np.arange(9, dtype=np.uint64), 3), 5)
     assert len(set(twice.tolist())) == len(twice)
@@ -179,7 +180,7 @@ def test_sketch_keeps_order():
 
 def test_sketch_finds_near_copies():
     pick = np.random.default_rng(9)
-    for changed, share in ((16, 0.9), (20, 0.85), (30, 0.5)):  # of 200 words: edit similarity 0.92, 0.90, 0.85
+    for changed, share in ((10, 0.99), (20, 0.97), (30, 0.93), (40, 0.75)):  # of 200 words: edit similarity 0.95, 0.90, 0.85, 0.80
         met = 0
         for _ in range(100):
             a = pick.integers(0, 1 << 62, 200).astype(np.uint64)
