@@ -1,11 +1,17 @@
 """Words and window hashes of whole Arrow batches with NumPy.
 
-All arithmetic is modulo 2**64: a prefix sum over ``value * base**position``
-gives the hash of any range as a difference times a power of the inverse base.
+A word's hash is a chain over its bytes, eight at a time, with a bijection of 64
+bits between them, so no arrangement of its letters cancels out. A window's hash is
+a polynomial over its words' hashes modulo 2**64, taken from prefix sums: a prefix
+sum over ``value * base**position`` gives the hash of any range as a difference
+times a power of the inverse base. That is sound for windows of up to 512 words;
+far longer ones could cancel out in the power of two.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: White space that separates words: 0x20 and 0x09 to 0x0D.
@@ -15,9 +21,11 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F | 1))
-_BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+WIDEST = 512  # words of a window
+_LANES = 32  # of eight bytes; longer words are hashed by themselves
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -67,21 +75,28 @@ def split(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of each word, made in runs of about ``most`` bytes."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + most, side="right")))
-        part = data[starts[i] : ends[j - 1]]
-        lengths = (ends[i:j] - starts[i:j]).astype(np.uint64)
-        out[i:j] = mix(_ranges(_BYTE[part], starts[i:j] - starts[i], ends[i:j] - starts[i], _BASE) + lengths * _BASES[0])
-        i = j
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    lengths = ends - starts
+    out = mix(lengths.astype(np.uint64) + _STEP)
+    lanes = np.ndarray((len(data) + 1,), np.dtype("<u8"), np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    at, left = np.arange(len(starts)), lengths
+    for lane in range(_LANES):
+        if not len(at):
+            break
+        some = lanes[starts[at] + 8 * lane] & _MASKS[np.minimum(left, 8)]
+        out[at] = mix((out[at] + _STEP) ^ some)
+        more = left > 8
+        at, left = at[more], left[more] - 8
+    for i in at:
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
 def window_hashes(words: np.ndarray, width: int, which: int = 0, most: int = 1 << 19) -> np.ndarray:
     """The hash of ``words[p : p + width]`` for each p where it fits; ``which`` chooses one of two independent hashes."""
+    if width > WIDEST:
+        raise ValueError(f"a window has at most {WIDEST} words")
     count = len(words) - width + 1
     if count <= 0:
         return np.zeros(0, np.uint64)

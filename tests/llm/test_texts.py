@@ -4,11 +4,12 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
-from factorloom.llm import bpe, langid, licenses, substrings
+from factorloom.llm import bpe, langid, licenses, substrings, words
 
 CODEC = bpe.Codec.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -139,6 +140,52 @@ def test_repeats_equal_brute_force(spark, odd, empty):
     assert substrings.digests(empty).collect() == []
 
 
+def patterned(bits):
+    """The word of a and b that polynomial hashes modulo powers of two can't tell from its complement."""
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(1 << bits))
+
+
+def test_words_that_cancel_out_differ(spark, odd):
+    for bits in range(1, 13):
+        word = patterned(bits).encode()
+        pair = np.frombuffer(word + word.translate(bytes.maketrans(b"ab", b"ba")), np.uint8)
+        hashes = words.word_hashes(pair, np.array([0, len(word)]), np.array([len(word), 2 * len(word)]))
+        assert hashes[0] != hashes[1]
+    one, two = patterned(10), patterned(10).translate(str.maketrans("ab", "ba"))
+    texts = [" ".join([w] * 35) for w in (one, two)] + [" ".join([one] * 36)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, "k", 1, 0.0) for i, t in enumerate(texts)], odd.schema)
+    wanted = Counter((i, *x) for i, x in enumerate(removed_by_force(texts)))
+    assert Counter(map(tuple, substrings.digests(docs).collect())) == wanted
+
+
+def test_word_hashes_are_of_the_bytes_alone():
+    pick = random.Random(5)
+    found = {}
+    for _ in range(300):
+        parts = [bytes(pick.randrange(33, 36) for _ in range(pick.choice([1, 2, 7, 8, 9, 15, 16, 17, 255, 256, 257, 300]))) for _ in range(20)]
+        data = np.frombuffer(b" ".join(parts), np.uint8)
+        starts, ends, _ = words.split(data, np.array([0, len(data)]))
+        for part, h in zip(parts, words.word_hashes(data, starts, ends).tolist(), strict=True):
+            assert found.setdefault(part, h) == h
+    assert len(set(found.values())) == len(found)
+
+
+def test_hashes_are_compared_whole():
+    """Windows that agree in their first hash only aren't taken for repeats."""
+    known = np.array([[1, 5], [1, 7], [1, 9], [4, 1]], np.uint64)
+    asked = np.array([[1, 7], [1, 8], [4, 1], [4, 2], [9, 9], [0, 0], [1, 9]], np.uint64)
+    assert substrings._among(asked, known).tolist() == [True, False, True, False, False, False, True]
+    sent = substrings._send(3, [np.array([[1, 5], [1, 7], [1, 5]], np.uint64)], 1, 2)
+    assert (np.frombuffer(sent["ones"][0].as_py(), np.uint64).tolist(), np.frombuffer(sent["many"][0].as_py(), np.uint64).tolist()) == ([1, 7], [1, 5])
+
+
+def test_dealing_grows_with_the_input():
+    assert substrings._dealing(0, None) == (64, 64)
+    for size in (10**9, 10**12, 10**14):
+        blocks, buckets = substrings._dealing(size, None)
+        assert size / blocks <= 64 << 20 and buckets <= blocks
+
+
 # --- languages
 
 
