@@ -22,16 +22,19 @@ def components(links: DataFrame) -> DataFrame:
     """
     pairs = links.select("a", "b").filter("a <> b")
     edges = cut(pairs.union(pairs.select("b", "a")).distinct().toDF("u", "v"))
-    names = cut(edges.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("root")))
-    while not edges.isEmpty():
+    rows = edges.count()
+    # no table below has more rows than the first edges: one task for each 65,536 is enough to write it
+    write = lambda df, *spent: cut(df.coalesce(max(1, rows >> 16)), *spent)
+    names = write(edges.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("root")))
+    while edges.count():
         release(links.sparkSession)
         order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
-        parents = cut(edges.groupBy("u").agg(F.min(order("v")).alias("m")).select("u", F.least(F.col("m"), order("u"))["id"].alias("to")))
-        names = cut(names.join(parents.toDF("root", "to").hint("merge"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), names)
+        parents = write(edges.groupBy("u").agg(F.min(order("v")).alias("m")).select("u", F.least(F.col("m"), order("u"))["id"].alias("to")))
+        names = write(names.join(parents.toDF("root", "to").hint("merge"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), names)
         moved = edges.join(parents.toDF("u", "pu").hint("merge"), "u").join(parents.toDF("v", "pv").hint("merge"), "v")
-        edges = cut(moved.filter("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct(), edges, parents)
+        edges = write(moved.filter("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct(), edges, parents)
     # written, so that the join deals both sides anew and can split a component of very many nodes
-    least = cut(names.groupBy("root").agg(F.min("node").alias("component")))
-    out = cut(names.join(least.hint("merge"), "root").select("node", "component"), names, least)
+    least = write(names.groupBy("root").agg(F.min("node").alias("component")))
+    out = write(names.join(least.hint("merge"), "root").select("node", "component"), names, least)
     drop(edges)
     return out

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factorloom.llm import topk, vecdup
 from factorloom.llm.components import components
@@ -107,3 +108,13 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10} | dict.fromkeys(range(100, 141), 100) | dict.fromkeys(range(1000, 1050), 1000)
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_components_of_a_long_chain(spark):
+    """Estimates of written tables don't grow from round to round, so a chain of 100,000 nodes takes seconds."""
+    n = 100_000
+    links = spark.range(n - 1).select((F.col("id") * 7919 % n).alias("a"), ((F.col("id") + 1) * 7919 % n).alias("b"))
+    links = links.union(spark.createDataFrame([(n + 5, n + 7), (n + 7, n + 7), (n + 9, n + 5)], "a long, b long"))
+    got = components(links).groupBy("component").count().collect()
+    assert {(r.component, r["count"]) for r in got} == {(0, n), (n + 5, 3)}
+    assert components(links.limit(0)).collect() == []
