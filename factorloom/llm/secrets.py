@@ -1,7 +1,8 @@
 """Secret scans: patterns propose candidates, a random forest removes false positives.
 
-Candidates are values in an assignment to a telling name, keys of known form, and
-long runs of key characters. A forest trained from labelled findings decides on
+Candidates are values in an assignment to a telling name (quoted ones up to their
+quote, blanks included), passwords in addresses, private keys between their marks,
+keys of known form, and long runs of key characters; none has a greatest length. A forest trained from labelled findings decides on
 each by its length, character transitions, dictionary coverage, path and the
 words beside it. The trained trees are turned into one column expression, so a
 scan is a projection over the documents: nothing is shuffled, no row or candidate
@@ -24,26 +25,34 @@ from pyspark.sql import functions as F
 
 # Names that are given secrets, forms of keys, words that speak for and against a secret.
 NAMES = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|credential"
-FORMS = "(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[0-9A-Za-z-]{10,80}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{16,64}|eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]+"
+FORMS = "(?:AKIA|ASIA)[0-9A-Z]{16,}+|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[0-9A-Za-z-]{10,}+|AIza[0-9A-Za-z_-]{35,}+|sk_live_[0-9A-Za-z]{16,}+|eyJ[A-Za-z0-9_-]{10,}+\\.[A-Za-z0-9_-]{10,}+\\.[A-Za-z0-9_-]++"
 HARMLESS_NAMES = "commit|revision|sha1|sha256|sha512|md5|checksum|digest|hash|etag|uuid|guid|build|version|isbn|order|invoice|integrity"
-DICTIONARY = "access|account|admin|change|com|config|data|default|demo|dummy|else|env|example|false|file|foo|function|get|here|home|http|insert|java|key|lib|local|main|me|my|name|none|null|org|package|pass|password|path|placeholder|please|python|replace|return|sample|secret|self|set|should|site|some|src|string|test|the|this|token|true|user|usr|value|var|when|with|www|your"
+DICTIONARY = "again|cannot|empty|enter|error|expired|failed|forgot|forgotten|incorrect|invalid|missing|must|new|not|old|required|reset|wrong|access|account|admin|change|com|config|data|default|demo|dummy|else|env|example|false|file|foo|function|get|here|home|http|insert|java|key|lib|local|main|me|my|name|none|null|org|package|pass|password|path|placeholder|please|python|replace|return|sample|secret|self|set|should|site|some|src|string|test|the|this|token|true|user|usr|value|var|when|with|www|your"
 
+#: Each ASCII letter and digit and the kind it counts as in transitions; other characters are kinds of their own.
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+KINDS = "a" * 26 + "A" * 26 + "0" * 10
 #: An identifier of any length with a telling name in it, and the sign after it; each is read once, so a long one costs its length.
-_GIVEN = f"(?=[a-z0-9_-]*?(?:{NAMES}))[a-z0-9_-]++[\"']?\\s*+(?::=|=>|=|:)\\s*+[\"']?"
-_ASSIGNED = f"(?i:(?<![a-z0-9_-]){_GIVEN}[^\\s\"',;]{{6,}}+)"
-#: A whole candidate: an assignment or a run by itself, which ends where an assignment begins. The value is what VALUE leaves of it.
-CANDIDATE = f"{_ASSIGNED}[\"']?|(?<![A-Za-z0-9+/_=-])(?:{FORMS}|(?:(?!{_ASSIGNED})[A-Za-z0-9+/_=-]){{20,}}+)"
+_GIVEN = f"(?=[a-z0-9_-]*?(?:{NAMES}))[a-z0-9_-]++[\"']?\\s*+(?>:=|=>|=|:)\\s*+"
+_VALUE = "(?:\"[^\"\\r\\n]{6,}+\"|'[^'\\r\\n]{6,}+'|[\"']?[^\\s\"',;]{6,}+[\"']?)"
+_ASSIGNED = f"(?i:(?<![a-z0-9_-]){_GIVEN}(?![\"']?(?:-----BEGIN |=*+[\"']?(?:\\s|$))){_VALUE})"
+_ADDRESS = "://[^\\s/:@\"'<>]++:[^\\s/@\"'<>]{3,}+@"
+_KEY_BEGIN, _KEY_END = "-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----", "-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----"
+_KEY = f"{_KEY_BEGIN}[^-]*+(?:-(?!----)[^-]*+)*+{_KEY_END}"
+#: A whole candidate; a run by itself ends where an assignment begins. The value is what is left without LEAD and TAIL.
+CANDIDATE = f"{_ASSIGNED}|{_KEY}|{_ADDRESS}|(?<![A-Za-z0-9+/_=-])(?:{FORMS}|(?:(?!{_ASSIGNED})[A-Za-z0-9+/_=-]){{20,}}+)"
 NAMED = f"(?i)^{_GIVEN}(?!=*+[\"']?$)"  # a run that ends in = is no name
+LEAD = f"^(?:{_KEY_BEGIN}\\s*+|://[^:]++:|(?:(?i:{_GIVEN})(?!=*+[\"']?$))?[\"']?)"
+TAIL = f"(?:\\s*{_KEY_END}|[\"',;.])$"
 BESIDE = 48  # characters of context to either side
 
 
-def features(whole: Column, left: Column, right: Column, path: Column) -> dict[str, Column]:
-    """What the forest sees of a candidate, its neighbours and the path of its text."""
-    value = value_of(whole)
+def features(whole: Column, value: Column, left: Column, right: Column, path: Column) -> dict[str, Column]:
+    """What the forest sees of a candidate, its value, its neighbours and the path of its text."""
     size = F.length(value)
     share = lambda c: c / F.greatest(size, F.lit(1))
     gone = lambda pattern: size - F.length(F.regexp_replace(value, pattern, ""))
-    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"), "[^aA0]", "-")
+    kinds = F.translate(value, LETTERS, KINDS)
     beside = F.concat(F.lower(left), F.lit(" "), F.regexp_replace(F.lower(F.regexp_extract(whole, NAMED, 0)), "\\s++", " "))
     number = lambda c: c.cast("double")
     return {
@@ -54,9 +63,10 @@ def features(whole: Column, left: Column, right: Column, path: Column) -> dict[s
         "digits": share(number(gone("[0-9]"))),
         "hex": share(number(gone("[0-9a-f]"))),
         "upper": share(number(gone("[A-Z]"))),
-        "symbols": share(number(gone("[A-Za-z0-9]")) - size) * -1.0,
+        "symbols": share(number(size - gone("[A-Za-z0-9]"))),
+        "blanks": number(gone("\\s")),
         "dictionary": share(number(gone(f"(?i)(?:{DICTIONARY})"))),
-        "known_form": number(value.rlike(f"^(?:{FORMS})$")),
+        "known_form": number(value.rlike(f"^(?:{FORMS})$") | whole.startswith("-----BEGIN") | whole.startswith("://")),
         "named": number(whole.rlike(NAMED)),
         "harmless_name": number(beside.rlike(f"\\b(?:{HARMLESS_NAMES})\\b\\W{{0,12}}$") | beside.rlike(f"(?:{HARMLESS_NAMES})\\W{{1,3}}$")),
         "telling_name": number(beside.rlike(f"(?:{NAMES}|key|bearer|login)\\W{{0,12}}$")),
@@ -67,15 +77,16 @@ def features(whole: Column, left: Column, right: Column, path: Column) -> dict[s
 
 
 def value_of(whole: Column) -> Column:
-    """The candidate without the name it is given to and without quotes."""
-    return F.regexp_replace(F.regexp_replace(whole, NAMED, ""), "^[\"']|[\"',;.]$", "")
+    """The candidate without the name it is given to, quotes, the marks of a key or the rest of an address."""
+    led = F.regexp_replace(whole, LEAD, "")
+    return F.when(whole.startswith("://"), F.regexp_replace(led, "@$", "")).otherwise(F.regexp_replace(led, TAIL, ""))
 
 
 def sample_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     """Labelled findings (whole, left, right, path, label): n of them, from hashes and fixed wordings."""
     pick = lambda key, *values: F.element_at(F.array(*(F.lit(v) for v in values)), (F.pmod(F.xxhash64(F.lit(key), "id"), F.lit(len(values))) + 1).cast("int"))
     h = F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 512)
-    some = lambda lengths: F.expr(f"substring(h, 1, element_at(array({lengths}), cast(pmod(id div 24, size(array({lengths}))) + 1 as int)))")
+    some = lambda lengths: F.expr(f"substring(h, 1, element_at(array({lengths}), cast(pmod(id div 30, size(array({lengths}))) + 1 as int)))")
     base64 = F.regexp_replace(F.base64(F.unhex("h")), "[\\r\\n]", "")
     upper = F.translate("h", "0123456789abcdef", "Q2RXZ5TK7BMAW3UV")
     mixed = F.translate("h", "0123456789abcdef", "k7Rz!x9TqB#w4Lme")
@@ -89,7 +100,12 @@ def sample_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     place = F.concat(pick("c", "/usr/local/lib/python3/site-packages/", "src/main/java/com/example/", "home/user/data/", "www/static/"), pick("d", "module", "handler", "Config2", "index"), (F.col("id") % 89).cast("string"))
     prose = F.concat(pick("e", "thanther", "einunglich", "eauxmentre", "osmenteción"), pick("f", "heationing", "schkeiten", "ouquelle", "ciónesbota"), pick("g", "ableness", "verungheit", "trementeau", "mentellar"))
     assigned = F.concat(name, sign)
-    kind = F.col("id") % 24
+    phrase = F.concat_ws(" ", pick("p1", "correct", "purple", "seven", "Rainy"), pick("p2", "horse", "giraffe", "mountain", "teapot"), pick("p3", "battery", "window", "sparrow", "ladder"), pick("p4", "staple", "", "42", "river"))
+    told = F.concat_ws(" ", pick("t1", "please enter", "the", "your", "must not be", "invalid or missing", "forgot the"), pick("t2", "new", "old", "required", "expired", "wrong"), pick("t3", "password here", "token again", "account", "value of the user", "key"))
+    quoted = F.concat(pick("qn", "password", "DB_PASSWORD", "passphrase", "master_secret", "admin_pwd"), pick("qs", '="', ' = "', ': "'))
+    address = F.concat(F.lit("://"), pick("au", "admin", "root", "svc-user", "u1"), F.lit(":"))
+    begin, end = (F.concat(F.lit(f"-----{x} "), pick("pk", "", "RSA ", "EC ", "OPENSSH "), F.lit("PRIVATE KEY-----")) for x in ("BEGIN", "END"))
+    kind = F.col("id") % 30
     cases = [  # (whole, words on the left, secret)
         (F.concat(assigned, some("40, 32, 64, 48")), word, 1), (F.concat(assigned, some("18, 20, 16, 24")), word, 1), (F.concat(F.lit('token = "'), some("40, 40"), F.lit('"')), word, 1), (F.concat(F.lit("password="), some("18, 14, 12, 20")), word, 1),
         (F.concat(assigned, F.substring(base64, 1, 40)), word, 1), (F.concat(assigned, F.substring(mixed, 1, 14)), word, 1), (F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), word, 1), (F.concat(F.lit("AKIA"), F.substring(upper, 17, 16)), F.concat(word, F.lit(",")), 1),
@@ -97,6 +113,8 @@ def sample_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (some("40, 32, 64, 64"), harmless, 0), (some("40, 64"), F.concat(harmless, F.lit(" ")), 0), (F.concat(assigned, quiet), word, 0), (F.concat(assigned, quiet), word, 0),
         (long_name, word, 0), (place, word, 0), (prose, word, 0), (F.regexp_replace(some("36, 36"), "(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), pick("id", "uuid", "guid", "order", "id"), 0),
         (F.translate(some("24, 30"), "abcdef", "012345"), pick("n", "order", "invoice", "isbn", "number"), 0), (F.concat(assigned, long_name), word, 0), (F.regexp_replace(F.repeat(pick("rep", "ab", "=-", "x", "na", "--", "==", "__"), 24), "(.{30}).*", "$1"), word, 0), (F.concat(assigned, pick("w", "required", "unknown", "optional", "expired", "refreshed", "forgotten", "incorrect", "reset by mail")), word, 0),
+        (F.concat(quoted, phrase, F.lit('"')), word, 1), (F.concat(quoted, told, F.lit('"')), word, 0), (F.concat(address, F.substring(mixed, 1, 12), F.lit("@")), pick("as", "postgres", "https", "see amqp"), 1), (F.concat(address, some("10, 16, 24"), F.lit("@")), pick("as", "redis", "mysql", "ftp"), 1),
+        (F.concat(begin, F.lit("\n"), base64, F.lit("\n"), base64, F.lit("\n"), end), word, 1), (F.concat(quoted, F.substring(mixed, 1, 10), F.lit(";"), F.substring(mixed, 20, 4), F.lit('"')), word, 1),
     ]
     chosen = lambda i: F.element_at(F.array(*(F.lit(c[i]) if isinstance(c[i], int) else c[i] for c in cases)), (kind + 1).cast("int"))
     rows = spark.range(0, n, 1, 4).withColumn("h", h)
@@ -105,7 +123,8 @@ def sample_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
 
 def train(findings: DataFrame, trees: int = 16, depth: int = 6, seed: int = 7) -> RandomForestClassificationModel:
     """A forest from labelled findings (whole, left, right, path, label)."""
-    columns = features(*(F.coalesce(c, F.lit("")) for c in ("whole", "left", "right", "path")))
+    whole, left, right, path = (F.coalesce(c, F.lit("")) for c in ("whole", "left", "right", "path"))
+    columns = features(whole, value_of(whole), left, right, path)
     rows = findings.select("label", *(c.alias(n) for n, c in columns.items()))
     rows = VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows).select("label", "features")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8, featureSubsetStrategy="onethird").fit(rows)
@@ -128,19 +147,32 @@ def forest_score(model: RandomForestClassificationModel, seen: Column, names: li
 
 
 def _scanned(docs: DataFrame, text_col: str, path_col: str | None, model: RandomForestClassificationModel, threshold: float) -> DataFrame:
-    """The rows with a candidate, and __parts (the texts around candidates) and __found (whole, score, is_secret)."""
+    """All rows with __parts (the texts around candidates) and __found (whole, value, score, is_secret).
+
+    A text is searched once, and once more if it has a candidate.
+    """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    names = list(features(*[F.lit("")] * 4))
+    names = list(features(*[F.lit("")] * 5))
+    text = F.col(f"`{text_col}`")
+
+    def cut_out(whole: Column, i: Column) -> Column:
+        left, right = F.substring(F.get("__parts", i), -BESIDE, BESIDE), F.substring(F.get("__parts", i + 1), 1, BESIDE)
+        return F.struct(whole.alias("whole"), value_of(whole).alias("value"), left.alias("left"), right.alias("right"))
+
+    def seen(x: Column) -> Column:
+        columns = features(x["whole"], x["value"], x["left"], x["right"], path)
+        return F.struct(x["whole"].alias("whole"), x["value"].alias("value"), F.struct(*(c.alias(n) for n, c in columns.items())).alias("seen"))
 
-    def seen(whole: Column, i: Column) -> Column:
-        left = F.substring(F.get("__parts", i), -BESIDE, BESIDE)
-        columns = features(whole, left, F.substring(F.get("__parts", i + 1), 1, BESIDE), path)
-        return F.struct(whole.alias("whole"), F.struct(*(c.alias(n) for n, c in columns.items())).alias("seen"))
+    rows = docs.withColumn("__parts", F.split(text, CANDIDATE, -1))
+    rows = rows.withColumn("__found", F.transform(F.when(F.size("__parts") > 1, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))), cut_out))
+    rows = rows.withColumn("__found", F.transform("__found", seen))
+    rows = rows.withColumn("__found", F.transform("__found", lambda x: F.struct(x["whole"].alias("whole"), x["value"].alias("value"), forest_score(model, x["seen"], names).alias("score"))))
+    return rows.withColumn("__found", F.transform("__found", lambda x: F.struct(x["whole"].alias("whole"), x["value"].alias("value"), x["score"].alias("score"), (x["score"] >= threshold).alias("is_secret"))))
 
-    hits = docs.filter(F.col(text_col).rlike(CANDIDATE)).withColumn("__parts", F.split(text_col, CANDIDATE, -1))
-    hits = hits.withColumn("__found", F.transform(F.regexp_extract_all(text_col, F.lit(CANDIDATE), F.lit(0)), seen))
-    hits = hits.withColumn("__found", F.transform("__found", lambda x: F.struct(x["whole"].alias("whole"), forest_score(model, x["seen"], names).alias("score"))))
-    return hits.withColumn("__found", F.transform("__found", lambda x: F.struct(x["whole"].alias("whole"), x["score"].alias("score"), (x["score"] >= threshold).alias("is_secret"))))
+
+def _place(whole: Column, value: Column) -> Column:
+    """Where the value begins in its candidate, from 0: after what stands before it, not where its letters first occur."""
+    return F.length(whole) - F.length(F.regexp_replace(whole, LEAD, ""))
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, threshold: float = 0.5) -> DataFrame:
@@ -152,20 +184,23 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str =
         lambda a, x: F.struct((a["at"] + x["p"] + x["f"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["p"])).alias("starts")),
         lambda a: a["starts"],
     )
-    rows = hits.select(F.col(id_col).alias("doc_id"), F.posexplode(F.arrays_zip(F.col("__found").alias("x"), ends.alias("at"))).alias("nth", "c"))
-    whole = F.col("c.x.whole")
-    value = value_of(whole)
-    return rows.select("doc_id", F.col("nth").cast("long").alias("nth"), (F.col("c.at") + F.instr(whole, value) - 1).cast("long").alias("start"), F.length(value).cast("long").alias("length"), value.alias("value"), F.col("c.x.score").alias("score"), F.col("c.x.is_secret").alias("is_secret"))
+    rows = hits.select(F.col(f"`{id_col}`").alias("doc_id"), F.posexplode(F.arrays_zip(F.col("__found").alias("x"), ends.alias("at"))).alias("nth", "c"))
+    whole, value = F.col("c.x.whole"), F.col("c.x.value")
+    return rows.select("doc_id", F.col("nth").cast("long").alias("nth"), (F.col("c.at") + _place(whole, value)).cast("long").alias("start"), F.length(value).cast("long").alias("length"), value.alias("value"), F.col("c.x.score").alias("score"), F.col("c.x.is_secret").alias("is_secret"))
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel, text_col: str = "text", path_col: str | None = None, threshold: float = 0.5, mask: str = "[SECRET]") -> DataFrame:
     """The same rows with the secrets in the text replaced by ``mask``; everything else stays as it is."""
-    columns = docs.columns
-    masked = F.transform("__found", lambda x: F.when(x["is_secret"], F.replace(x["whole"], value_of(x["whole"]), F.lit(mask))).otherwise(x["whole"]))
-    pieces = F.flatten(F.zip_with("__parts", masked, lambda p, f: F.array(p, F.coalesce(f, F.lit("")))))
-    hits = _scanned(docs, text_col, path_col, model, threshold).withColumn(text_col, F.array_join(pieces, "")).select(*(F.col(f"`{c}`") for c in columns))
-    clean = docs.filter(~F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False)))
-    return clean.unionByName(hits)
+
+    def masked(x: Column) -> Column:
+        at = _place(x["whole"], x["value"])
+        rest = F.substring(x["whole"], at + 1 + F.length(x["value"]), F.length(x["whole"]))
+        return F.when(x["is_secret"], F.concat(F.substring(x["whole"], F.lit(1), at), F.lit(mask), rest)).otherwise(x["whole"])
+
+    rows = _scanned(docs, text_col, path_col, model, threshold)
+    pieces = F.flatten(F.zip_with("__parts", F.transform("__found", masked), lambda p, f: F.array(p, F.coalesce(f, F.lit("")))))
+    text = F.coalesce(F.array_join(pieces, ""), F.col(f"`{text_col}`"))
+    return rows.select(*((text if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def digests(docs: DataFrame) -> DataFrame:
