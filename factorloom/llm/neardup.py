@@ -214,13 +214,13 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float, words: int = 1 << 1
     return cut(dealt.groupBy("g").cogroup(there.groupBy("at")).applyInArrow(compare, "a long, b long"), hot)
 
 
-def across(cast: DataFrame, texts: DataFrame, least: float, width: int, block: int = 512, words: int = 1 << 17) -> DataFrame:
+def across(cast: DataFrame, texts: DataFrame, least: float, block: int = 512, words: int = 1 << 17) -> DataFrame:
     """Links (a, b) between components that meet in a bucket, enough to join those that are similar.
 
-    cast: (host, key, owner, guest), for each bucket of several components its largest one as host, the bucket's texts and
-    whether they are of another component. Guests are compared with all texts of a host that share an entry with them and
-    have another owner; both are dealt into blocks of about ``block`` texts and ``words`` words, so that a task gets one block
-    of each whatever a host's size is. texts: (key, n, text, entries); the first ``width`` entries are the sketch, compared place by place, the others a short text's.
+    cast: (host, key, owner, guest, entries), for each bucket of several components its largest one as host, the bucket's
+    texts, whether they are of another component and which of their entries are in such buckets. Guests are compared with
+    all texts of a host that share an entry with them and have another owner; both are dealt into blocks of about ``block``
+    texts and ``words`` words, so that a task gets one block of each whatever a host's size is. texts: (key, n, text).
     """
     sized = cut(cast.join(texts.select("key", "n"), "key"))
     load = 1 / block + F.col("n") / words
@@ -241,12 +241,7 @@ def across(cast: DataFrame, texts: DataFrame, least: float, width: int, block: i
         sides = []
         for rows in (lying, asking):
             rows = rows.combine_chunks().sort_by("task")
-            lists = rows.column("entries").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int64()))
-            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-            begins, flat = np.append(0, ends[:-1])[: len(ends)], lists.flatten().to_numpy()
-            entries = flat[begins[:, None] + np.arange(width)]
-            more = [flat[i + width : j].tolist() for i, j in zip(begins, ends, strict=True)]
-            sides.append((rows.column("task").to_numpy(), rows.column("key").to_numpy(), rows.column("owner").to_numpy(), rows.column("guest").to_numpy(zero_copy_only=False), entries, more, rows.column("text")))
+            sides.append((rows.column("task").to_numpy(), rows.column("key").to_numpy(), rows.column("owner").to_numpy(), rows.column("guest").to_numpy(zero_copy_only=False), rows.column("entries"), rows.column("text")))
 
         def text(key: int, column, i: int) -> _Text:
             if key not in known:
@@ -254,7 +249,7 @@ def across(cast: DataFrame, texts: DataFrame, least: float, width: int, block: i
             return known[key]
 
         for t in np.intersect1d(sides[0][0], sides[1][0]):
-            (m0, m1), (g0, g1) = ((np.searchsorted(x[0], t), np.searchsorted(x[0], t, side="right")) for x in sides)
+            (m0, m1), (g0, g1) = ((int(np.searchsorted(x[0], t)), int(np.searchsorted(x[0], t, side="right"))) for x in sides)
             root: dict[int, int] = {}
 
             def find(x: int, root=root) -> int:
@@ -262,19 +257,17 @@ def across(cast: DataFrame, texts: DataFrame, least: float, width: int, block: i
                     x = root[x]
                 return x
 
-            _, m_key, m_owner, m_guest, m_entries, m_more, m_text = sides[0]
-            _, g_key, g_owner, _, g_entries, g_more, g_text = sides[1]
+            _, m_key, m_owner, m_guest, m_entries, m_text = sides[0]
+            _, g_key, g_owner, _, g_entries, g_text = sides[1]
             having: dict[int, list[int]] = {}
-            for j in range(int(m0), int(m1)):
-                for entry in m_more[j]:
-                    having.setdefault(entry, []).append(j - int(m0))
-            for i in range(int(g0), int(g1)):
-                shared = (m_entries[m0:m1] == g_entries[i]).any(axis=1)
-                for entry in g_more[i]:
-                    shared[having.get(entry, [])] = True
-                shared &= m_owner[m0:m1] != g_owner[i]
-                shared &= ~m_guest[m0:m1] | (m_key[m0:m1] > g_key[i])  # two guests meet once
-                for j in (np.flatnonzero(shared) + m0).tolist():
+            for j in range(m0, m1):
+                for entry in m_entries[j].as_py():
+                    having.setdefault(entry, []).append(j)
+            for i in range(g0, g1):
+                shared = {j for entry in g_entries[i].as_py() for j in having.get(entry, ())}
+                for j in sorted(shared):
+                    if m_owner[j] == g_owner[i] or m_guest[j] and m_key[j] <= g_key[i]:  # two guests meet once
+                        continue
                     x, y = find(int(g_owner[i])), find(int(m_owner[j]))
                     if x != y and text(int(g_key[i]), g_text, i).similar(text(int(m_key[j]), m_text, j), least):
                         found.append((int(g_key[i]), int(m_key[j])))
@@ -311,7 +304,9 @@ def _components(docs: DataFrame, k: int, take: int, entries: int, least: float)
     first = cut(members.filter((F.col("key") != F.col("to.key")) & near(F.col("n"), F.col("to.n"))).select(F.col("key").alias("a"), F.col("to.key").alias("b")).distinct())
     release(spark)
     some = cut(members.groupBy("key").agg(F.first("n").alias("n")))
-    texts = cut(_told_apart(docs.select("key", "check", "text"), shared).join(some, "key").groupBy("key").agg(F.first("n").alias("n"), F.first("text").alias("text")), some)
+    # of each text one row, before the join: copies are merged where they lie
+    each = _told_apart(docs.select("key", "check", "text"), shared).groupBy("key").agg(F.first("text").alias("text"))
+    texts = cut(each.join(some, "key"), some)
     release(spark)
     links = verify(first, texts, least)
     drop(first)
@@ -322,9 +317,10 @@ def _components(docs: DataFrame, k: int, take: int, entries: int, least: float)
     owned = members.join(near_first.toDF("key", "component"), "key", "left").select("entry", "key", F.coalesce("component", "key").alias("owner"))
     sizes = owned.groupBy("entry", "owner").agg(F.count("*").alias("c"))
     hosts = sizes.groupBy("entry").agg(F.max_by("owner", F.struct("c", "owner")).alias("host"), F.count("*").alias("owners")).filter("owners > 1")
-    cast = cut(owned.join(hosts.select("entry", "host"), "entry").select("host", "key", "owner", (F.col("owner") != F.col("host")).alias("guest")).distinct(), members, near_first)
+    met = owned.join(hosts.select("entry", "host"), "entry").select("host", "key", "owner", (F.col("owner") != F.col("host")).alias("guest"), "entry")
+    cast = cut(met.groupBy("host", "key", "owner", "guest").agg(F.collect_list("entry").alias("entries")), members, near_first)  # a text's own entries at most
     release(spark)
-    more = across(cast, texts.join(nodes.select("key", "entries"), "key"), least, entries)
+    more = across(cast, texts, least)
     drop(cast, texts)
     found = components(links.union(more))
     named = nodes.join(found.toDF("key", "component"), "key", "left").select("key", "check", "doc_id", "n", F.coalesce("component", "key").alias("component"))
