@@ -27,9 +27,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import cut
+from factorloom.llm.common import cut, drop
 
-UNIT = 30  # rates are held as multiples of 2**-30
+UNIT = 24  # rates are held as multiples of 2**-24: sums of 2**38 documents of a source fit into 64 bits
 
 
 def word_count(text: Column) -> Column:
@@ -99,21 +99,23 @@ def multipliers(groups: DataFrame, sources: DataFrame, most: float = 2.0, steps:
         step = F.when(F.abs(off) <= close * F.col("target"), F.col("lambda")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
         # a few digits less than a double has, so that the last ones of exp() can't matter
         moved = moved.withColumn("lambda", F.when(F.col("target") >= most * F.col("source_size"), F.col("high")).otherwise(step)).withColumn("off", F.when(F.col("target") >= most * F.col("source_size"), 0.0).otherwise(F.abs(off) / F.col("target")))
-        state = cut(moved.select(*kept, "off"))
+        state = cut(moved.select(*kept, "off"), state)
         if (state.agg(F.max("off")).first()[0] or 0.0) <= close:
             break
-        state = state.drop("off")
     return state.select(*kept).withColumn("lambda", F.round("lambda", 12))
 
 
-def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, starts: int = 16, names: tuple[str, str, str, str] = ("size", "source_size", "target", "copies")) -> DataFrame:
-    """All columns of ``docs`` and size, source_size, target and copies (0 to ``most``).
+def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, starts: int = 16, names: tuple[str, str, str, str] = ("size", "source_size", "target", "copies"), keep: tuple[str, ...] | None = None) -> DataFrame:
+    """All columns of ``docs``, or those in ``keep``, and size, source_size, target and copies (0 to ``most``).
 
+    The rows are written once with their sizes and hashes, and everything that follows reads of that what it needs.
     starts: starting points that are tried for the running sum of a source's rates.
     names: of the four; a column of ``docs`` of one of these names gives way.
     """
     key = F.concat(F.when(F.col(source_col).isNull(), "n").otherwise("s"), F.coalesce(F.col(source_col), F.lit("")))
-    sized = docs.withColumns({"__key": key, "__size": word_count(F.col(text_col)), "__hash": F.xxhash64(id_col, text_col)})
+    keep = tuple(docs.columns) if keep is None else keep
+    made = {"__key": key, "__size": word_count(F.col(text_col)), "__hash": F.xxhash64(id_col, text_col)}
+    sized = cut(docs.select(*(F.col(f"`{c}`") for c in keep), *(c.alias(n) for n, c in made.items())))
     groups = cut(sized.groupBy("__key", "__size").agg(F.count("*").alias("n")))
     totals = groups.groupBy("__key").agg(F.sum(F.col("n") * F.col("__size")).alias("source_size"), F.sum(F.when(F.col("__size") > 0, F.col("n"))).alias("docs"), F.min(F.when(F.col("__size") > 0, F.col("__size"))).alias("least"))
     totals = totals.withColumn("source", F.when(F.substring("__key", 1, 1) == "s", F.expr("substring(__key, 2)")))
@@ -150,9 +152,9 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     done = placed.join(slots, ["__key", "__size", "__slot"]).withColumn("__place", place)
     copies = (F.col("__base") + F.when(F.col("__place") <= F.col("__gets"), 1).otherwise(0)).cast("long")
     made = F.col("__size"), F.col("__source_size"), F.col("__target"), copies
-    return done.select(*(F.col(f"`{c}`") for c in docs.columns if c not in names), *(c.alias(n) for c, n in zip(made, names, strict=True)))
+    return done.select(*(F.col(f"`{c}`") for c in keep if c not in names), *(c.alias(n) for c, n in zip(made, names, strict=True)))
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken, the words that the mix takes of each row."""
-    return mix(docs.select("doc_id", "source", "text")).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return mix(docs.select("doc_id", "source", "text"), keep=("doc_id",)).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).alias("taken"))
