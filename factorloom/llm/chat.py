@@ -21,6 +21,10 @@ messages meet in one task. Other columns are ignored.
 
 from __future__ import annotations
 
+import json as json_module
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,25 +49,80 @@ SCHEMAS = {
 }
 
 
+#: Keywords of a schema that say nothing about what is valid.
+NOTES = {"title", "description", "default", "examples", "$schema", "$id", "$comment"}
+
+
+def fits(value: Column, schema: dict | bool) -> Column:
+    """Whether a variant is valid under a JSON Schema, as one expression; a keyword that isn't known is an error.
+
+    Known are type (one or several), enum, const, properties, required, additionalProperties, items, the bounds of numbers,
+    lengths and list sizes, pattern (found anywhere in the string) and the notes. Keywords for another type don't apply.
+    """
+    if isinstance(schema, bool):
+        return F.lit(schema)
+    kind = F.schema_of_variant(value)
+    of = lambda *types: F.coalesce(kind.rlike("^(?:" + "|".join(TYPES[t] for t in types) + ")$"), F.lit(False))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    json = F.to_json(value)
+    number, text = F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
+    entries = F.try_variant_get(value, "$", "array<variant>")
+    keys = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
+    same = lambda x: json == F.lit(canonical_text(x))
+    compared = {"minimum": lambda x: number >= x, "maximum": lambda x: number <= x, "exclusiveMinimum": lambda x: number > x, "exclusiveMaximum": lambda x: number < x}
+    counted = {"minLength": lambda x: F.length(text) >= x, "maxLength": lambda x: F.length(text) <= x, "pattern": lambda x: F.regexp_like(text, x)}
+    listed = {"minItems": lambda x: F.size(entries) >= x, "maxItems": lambda x: F.size(entries) <= x}
+    known = schema.get("properties", {})
+    ok = value.isNotNull()
+    for word, rule in sorted(schema.items()):
+        if word == "type":
+            ok = ok & of(*([rule] if isinstance(rule, str) else rule))
+        elif word == "enum":
+            ok = ok & reduce(or_, map(same, rule), F.lit(False))
+        elif word == "const":
+            ok = ok & same(rule)
+        elif word in compared:
+            ok = ok & (~of("number") | sure(compared[word](F.lit(float(rule)))))
+        elif word in counted:
+            ok = ok & (~of("string") | sure(counted[word](F.lit(rule))))
+        elif word in listed:
+            ok = ok & (~of("array") | sure(listed[word](F.lit(rule))))
+        elif word == "items":
+            ok = ok & (~of("array") | sure(F.forall(entries, _all(rule))))
+        elif word == "properties":
+            for key, inner in sorted(rule.items()):
+                ok = ok & (~F.array_contains(keys, key) | fits(F.try_variant_get(value, _path(key), "variant"), inner))
+        elif word == "required":
+            ok = reduce(and_, (~of("object") | F.array_contains(keys, key) for key in rule), ok)
+        elif word == "additionalProperties" and rule is False:
+            ok = ok & (F.size(F.array_except(keys, F.array(*(F.lit(k) for k in known)).cast("array<string>"))) == 0)
+        elif not (word in NOTES or word == "additionalProperties" and rule is True):
+            raise ValueError(f"a schema's keyword isn't known: {word}")
+    return sure(ok)
+
+
+def _all(schema: dict | bool):
+    return lambda x: fits(x, schema)
+
+
+def _path(key: str) -> str:
+    """The path of a key; one with both kinds of quotes has none."""
+    quote = "'" if '"' in key else '"'
+    if quote in key:
+        raise ValueError(f"a property's name has both kinds of quotes: {key}")
+    return f"$[{quote}{key}{quote}]"
+
+
+def canonical_text(value) -> str:
+    return json_module.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
 def valid_arguments(name: Column, arguments: Column, schemas: dict[str, dict]) -> Column:
     """Whether the arguments are an object that fits the schema of the name."""
     parsed = F.try_parse_json(arguments)
-    keys = F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>"))
     ok = F.lit(False)
     for tool, schema in sorted(schemas.items()):
-        rules = [F.coalesce(F.schema_of_variant(parsed).rlike("^OBJECT<"), F.lit(False))]
-        known = schema.get("properties", {})
-        for key, rule in sorted(known.items()):
-            kind = F.schema_of_variant(F.try_variant_get(parsed, f'$["{key}"]', "variant"))
-            here = F.array_contains(keys, key)
-            rules.append(~here | F.coalesce(kind.rlike(f"^(?:{TYPES[rule['type']]})$"), F.lit(False)) if "type" in rule else F.lit(True))
-        rules += [F.array_contains(keys, key) for key in schema.get("required", [])]
-        if schema.get("additionalProperties", True) is False:
-            rules.append(F.size(F.array_except(keys, F.array(*(F.lit(k) for k in known)).cast("array<string>"))) == 0)
-        fits = rules[0]
-        for rule in rules[1:]:
-            fits = fits & rule
-        ok = F.when(name == tool, fits).otherwise(ok)
+        ok = F.when(name == tool, fits(parsed, {"type": "object"}) & fits(parsed, schema)).otherwise(ok)
     return F.coalesce(ok, F.lit(False))
 
 

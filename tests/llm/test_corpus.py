@@ -406,6 +406,29 @@ def test_calls_are_linked_ordered_and_checked(spark):
                 assert c["arguments"] == json.dumps(json.loads(c["arguments"]), sort_keys=True, separators=(",", ":")) if c["arguments"].startswith("{") else True
 
 
+def test_schemas(spark):
+    schema = {
+        "type": "object", "title": "a note", "required": ["unit", "at"], "additionalProperties": False,
+        "properties": {
+            "unit": {"enum": ["m", "km", None]}, "tags": {"type": "array", "items": {"type": "string", "minLength": 2, "maxLength": 4, "pattern": "^[a-z]"}, "minItems": 1, "maxItems": 3},
+            "at": {"type": "object", "properties": {"lat": {"type": "number", "minimum": -90, "maximum": 90}, "n": {"type": ["integer", "null"], "exclusiveMinimum": 0}}, "required": ["lat"]}, "version": {"const": 2}, "it's": True,
+        },
+    }
+    good = {"unit": "m", "at": {"lat": 1.5, "n": 3}}
+    cases = [
+        (good, True), (good | {"tags": ["ab", "abcd"], "version": 2, "it's": [1]}, True), (good | {"unit": None, "at": {"lat": -90, "n": None, "free": 1}}, True), ({"unit": "m"}, False), (good | {"unit": "mm"}, False), (good | {"more": 1}, False),
+        (good | {"tags": []}, False), (good | {"tags": ["ab"] * 4}, False), (good | {"tags": ["a"]}, False), (good | {"tags": ["abcde"]}, False), (good | {"tags": ["1b"]}, False), (good | {"tags": "ab"}, False), (good | {"tags": ["ab", 5]}, False),
+        (good | {"at": {"lat": 90.5}}, False), (good | {"at": {"n": 1}}, False), (good | {"at": {"lat": 1, "n": 0}}, False), (good | {"at": {"lat": "1"}}, False), (good | {"at": []}, False), (good | {"version": 3}, False), ([], False), ("x", False), (None, False),
+    ]
+    rows = spark.createDataFrame([(i, json.dumps(c)) for i, (c, _) in enumerate(cases)], "i int, a string")
+    got = {r.i: r.ok for r in rows.select("i", chat.valid_arguments(F.lit("t"), F.col("a"), {"t": schema}).alias("ok")).collect()}
+    assert got == {i: ok for i, (_, ok) in enumerate(cases)}
+    with pytest.raises(ValueError):
+        chat.fits(F.lit(None), {"oneOf": []})
+    with pytest.raises(ValueError):
+        chat.fits(F.lit(None), {"properties": {"a": {"format": "date"}}})
+
+
 def test_chat_odd(spark):
     rows = [(1, 0, None, None), (1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "user", "no turn"), (None, 0, "user", "x"), (None, 0, "user", "x"), (None, 1, "user", "y"), (2, 0, "assistant", "{broken"), (2, 1, "assistant", "{}"), (3, 0, "tool", "not json"), (4, 0, "user", "z" * 300_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
