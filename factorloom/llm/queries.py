@@ -51,4 +51,4 @@ def op10_vecdup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_licenses, op2_byte_bpe, op3_substrings, op4_topk, op5_language, op6_mixing, op7_secrets, op8_neardup, op9_chat, op10_vecdup)}
-ORACLES = {"op9_chat": chat.ORACLE}
+ORACLES = {"op3_substrings": substrings.ORACLE, "op4_topk": topk.ORACLE, "op9_chat": chat.ORACLE, "op10_vecdup": vecdup.ORACLE}

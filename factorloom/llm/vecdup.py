@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import cut
+from factorloom.llm.common import cut, drop
 from factorloom.llm.components import components
 from factorloom.llm.topk import usable
 
@@ -54,15 +54,14 @@ class Grid:
     def __init__(self, sample: np.ndarray, codewords: int, threshold: float, recall: float, seed: int = 10):
         self.half = sample.shape[1] // 2
         self.books = kmeans(sample[:, : self.half], codewords), kmeans(sample[:, self.half :], codewords)
+        sample = sample[:4096]  # for the number of visits
         random = np.random.Generator(np.random.PCG64(seed))
         noise = random.standard_normal(sample.shape)
         noise -= (noise * sample).sum(axis=1, keepdims=True) * sample
         noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-300)
         cosine = random.uniform(threshold, 1, (len(sample), 1))
         home = self.homes(cosine * sample + np.sqrt(1 - cosine**2) * noise)
-        order = self.order(sample)
-        rank = (order == home[:, None]).argmax(axis=1)
-        self.visits = int(np.quantile(rank, recall, method="higher")) + 1
+        self.visits = int(np.quantile(self.ranks(sample, home), recall, method="higher")) + 1
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return squared(x[:, : self.half], self.books[0]), squared(x[:, self.half :], self.books[1])
@@ -71,7 +70,15 @@ class Grid:
         a, b = self.distances(x)
         return a.argmin(axis=1) * len(self.books[1]) + b.argmin(axis=1)
 
-    def order(self, x: np.ndarray, visits: int | None = None) -> np.ndarray:
+    def ranks(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How many cells a vector visits before the given one."""
+        a, b = self.distances(x)
+        each = np.arange(len(x))
+        upto = a[each, cells // b.shape[1]] + b[each, cells % b.shape[1]]
+        near_b = np.sort(b, axis=1)
+        return np.array([np.searchsorted(near_b[i], upto[i] - a[i]).sum() for i in each])
+
+    def order(self, x: np.ndarray, visits: int) -> np.ndarray:
         """The first cells of each vector's multi-sequence, the nearest first.
 
         A cell whose codewords are i-th and j-th nearest comes after the i * j cells that are nearer in both halves,
@@ -79,8 +86,7 @@ class Grid:
         """
         a, b = self.distances(x)
         near_a, near_b = np.argsort(a, axis=1, kind="stable"), np.argsort(b, axis=1, kind="stable")
-        visits = visits or a.shape[1] * b.shape[1]
-        ranks = np.array([(i, j) for i in range(a.shape[1]) for j in range(b.shape[1]) if (i + 1) * (j + 1) <= visits])
+        ranks = np.array([(i, j) for i in range(min(a.shape[1], visits)) for j in range(min(b.shape[1], visits // (i + 1)))])
         i, j = near_a[:, ranks[:, 0]], near_b[:, ranks[:, 1]]
         total = np.take_along_axis(a, i, 1) + np.take_along_axis(b, j, 1)
         best = np.argsort(total, axis=1, kind="stable")[:, :visits]
@@ -167,7 +173,7 @@ def links(nodes: DataFrame, grid_of: dict[int, Grid], threshold: float, block: i
         node, count, root = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (node, count, root))
         return pa.table([pa.array(node), pa.array(count), pa.array(root)], names=["node", "links", "root"])
 
-    found = cut(members.groupBy("g").cogroup(askers.groupBy("g")).applyInArrow(compare, "node long, links long, root long"))
+    found = cut(members.groupBy("g").cogroup(askers.groupBy("g")).applyInArrow(compare, "node long, links long, root long"), placed, cells)
     return found.groupBy("node").agg(F.sum("links").alias("links")), found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
 
 
@@ -180,21 +186,37 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
     nodes = rows.filter("good").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("v").alias("v"))
     nodes = cut(nodes.withColumn("node", F.col("k1")))  # not the id: rows of one id may hold different vectors
     total = nodes.count()
+    # cells of about 256 vectors: codewords grow with the root of the table, and with them the sample (131,072 rows at most)
+    codewords = int(min(4096, max(4, np.ceil(np.sqrt(total / 256)))))
     picked: dict[int, list] = {}
-    for r in nodes.select("v").orderBy("k2").limit(sample).collect():
+    for r in nodes.select("v").orderBy("k2").limit(max(sample, 32 * codewords)).collect():
         picked.setdefault(len(r["v"]), []).append(r["v"])
     for r in nodes.groupBy(F.size("v").alias("n")).agg(F.first("v").alias("v")).collect():
         picked.setdefault(r["n"], [r["v"]])  # a rare length has a grid too
-    codewords = int(min(128, max(4, np.ceil(np.sqrt(total / 256)))))
     grids = {n: Grid(_unit(np.asarray(v, np.float64)), codewords, threshold, recall) for n, v in picked.items()}
     if not grids:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     sums, spanning = links(nodes, grids, threshold, groups=max(64, total // 2048))
     joined = nodes.join(sums, "node", "left").join(components(spanning), "node", "left")
     joined = joined.select("k1", "k2", F.lit(True).alias("good"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "node").alias("component"), "least")
-    joined = cut(joined)
+    joined = cut(joined, nodes)
     names = cut(joined.groupBy("component").agg(F.min("least").alias("component_id")))
     joined = joined.join(names, "component").select("k1", "k2", "good", "n", "component_id")
     out = rows.join(joined, ["k1", "k2", "good"], "left")
     component = F.when(F.col("good"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+
+
+#: DuckDB SQL for ``near_duplicates`` if it finds every link: all pairs of a label, and what can be reached by links.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.r AS a, b.r AS b, b.vec_id FROM v AS a JOIN v AS b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT r, r AS at FROM v UNION SELECT reach.r, link.b FROM reach JOIN link ON link.a = reach.at),
+named AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.at GROUP BY reach.r),
+sums AS (SELECT a AS r, count(*) AS n_links FROM link GROUP BY a),
+found AS (SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id FROM v JOIN named USING (r) LEFT JOIN sums USING (r)),
+other AS (SELECT vec_id, 0 AS n_links, vec_id AS component_id FROM embeddings
+          WHERE label IS NULL OR embedding IS NULL OR len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0 OR len(list_filter(embedding, lambda x: x <> 0)) = 0)
+SELECT vec_id, CAST(n_links AS BIGINT) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM (SELECT * FROM found UNION ALL SELECT * FROM other)
+"""
