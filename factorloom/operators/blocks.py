@@ -47,7 +47,10 @@ def out_links(ratings: DataFrame, src: str, dst: str, blocks: int) -> DataFrame:
 
 
 def local_indices(ratings: DataFrame, src: str, dst: str, blocks: int) -> DataFrame:
-    """(block, id, local_index): places of a block's distinct other-side ids in their order, from 0."""
+    """(block, id, local_index): places of a block's distinct other-side ids in their order, from 0.
+
+    A block is one task's work by definition; ``blocks`` is what bounds its size.
+    """
     pairs = ratings.select(block_of(src, blocks).alias("block"), F.col(dst).alias("id")).distinct()
     return pairs.withColumn("local_index", (F.dense_rank().over(Window.partitionBy("block").orderBy("id")) - 1).cast("long"))
 

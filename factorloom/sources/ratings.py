@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorloom.operators.numbering import ordinals
+
 COLUMNS = ("user", "item", "rating")
 
 
@@ -45,9 +47,9 @@ def user_cutoff(ratings: DataFrame, last: int) -> DataFrame:
 def with_ids(df: DataFrame, column: str, name: str) -> DataFrame:
     """Adds whole-number ids (1, 2, ..) for the values of a column, in their order.
 
-    Only the distinct values are numbered, and they are joined back.
+    Only the distinct values are numbered, range by range, and they are joined back; nulls get none and go.
     """
-    values = df.select(column).distinct().withColumn(name, F.dense_rank().over(Window.orderBy(column)).cast("long"))
+    values = ordinals(df.select(column).distinct(), column, name).withColumn(name, F.col(name) + 1)
     return df.join(values, column)
 
 
