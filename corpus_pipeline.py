@@ -7,21 +7,20 @@ of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm import bpe, langid, mixing, neardup, secrets
-from factorloom.llm.common import shared_folder, table
+from factorloom.llm.common import scratch, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and those that no learned language codes in under 8 bits a byte."""
+    """Drops texts without a letter and those that no learned language codes in under 8 bits a byte; a null lang is filled in."""
     model = langid.train(docs.filter(~langid.held_out()))
     found = langid.predict(docs, model, keep=tuple(docs.columns), names=("__lang", "__score", "__bits"))
-    return found.filter((F.col("__lang") != langid.UNKNOWN) & (F.col("__bits") < 8)).select(*docs.columns)
+    known = found.filter((F.col("__lang") != langid.UNKNOWN) & (F.col("__bits") < 8))
+    return known.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over documents."""
     docs = table(spark, sf_dir, "documents")
-    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    at = scratch(spark)
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
