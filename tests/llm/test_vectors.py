@@ -111,7 +111,7 @@ def test_components(spark):
 
 
 def test_components_of_a_long_chain(spark):
-    """Estimates of written tables don't grow from round to round, so a chain of 100,000 nodes takes seconds."""
+    """Estimates of written tables don't grow from round to round, so a long chain takes seconds a round."""
     n = 100_000
     links = spark.range(n - 1).select((F.col("id") * 7919 % n).alias("a"), ((F.col("id") + 1) * 7919 % n).alias("b"))
     links = links.union(spark.createDataFrame([(n + 5, n + 7), (n + 7, n + 7), (n + 9, n + 5)], "a long, b long"))
