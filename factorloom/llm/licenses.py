@@ -1,18 +1,23 @@
 """Licence scans: templates with markup, compiled into one token automaton.
 
 A template is wording with two marks. ``<<beginOptional>> .. <<endOptional>>``
-may be absent as a whole; ``<<var;name=..;words=a-b>>`` stands for any a to b
-words (0 to 20 if not said). Everything else is mandatory and must match word
-for word. Optional parts may nest; a template begins with mandatory wording.
+may be absent as a whole; ``<<var;name=..;original=..;match=..>>`` stands for any
+words: a to b of them with ``words=a-b``, what ``.{a,b}`` characters can hold with a
+``match`` of that form (b up to 200), and any number otherwise. Everything else is
+mandatory and must match word for word. Optional parts may nest. Marks before the
+first mandatory word ask for nothing and are passed over, so published templates
+with their optional titles and copyright lines can be loaded as they are.
 
 All templates become one non-deterministic automaton over words, which is run as
 a deterministic one whose states are made as they are met. A scan starts it at
 every word that can begin a template, so a text costs its length plus, for each
-such word, the words the automaton accepts from there (a template at most).
+such word, the words the automaton accepts from there (a template at most, or up to
+the text's end after a replaceable region without a greatest length).
 
 Words are runs of digits, ASCII letters (lower-cased) and any other character
 beyond ASCII. Defined cases: null and empty texts have no words and no places;
-long texts are scanned in runs that overlap by the longest template; repeated
+long texts are scanned in runs that overlap by the longest template (in one run, if
+a template has no greatest length); repeated
 rows give repeated results; null ids are kept; other columns are ignored.
 """
 
@@ -76,7 +81,41 @@ specific prior written permission."""
     + _DISCLAIMER
 )
 _GPL = "GNU <<beginOptional>>Lesser<<endOptional>> General Public License <<beginOptional>>as published by the Free Software Foundation;<<endOptional>> <<beginOptional>>either<<endOptional>> version "
+_WARRANTY = """ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+<<var;name=holder;words=1-20>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_UNLICENSE = (
+    """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software
+dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the
+public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this software under copyright law."""
+    + _WARRANTY
+    + " <<beginOptional>>For more information, please refer to <<var;name=url;words=1-6>><<endOptional>>"
+)
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will
+<<var;name=holder;words=1-20>> be held liable for any damages arising from the use of this software. Permission is granted to
+anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely,
+subject to the following restrictions: <<beginOptional>>1.<<endOptional>> The origin of this software must not be
+misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an
+acknowledgment in the product documentation would be appreciated but is not required. <<beginOptional>>2.<<endOptional>>
+Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+<<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source distribution."""
+_GPL_NOTICE = """<<var;name=program;words=1-6>> is free software<<beginOptional>>;<<endOptional>> you can redistribute it and/or modify
+it under the terms of the GNU <<beginOptional>>Lesser<<endOptional>> <<beginOptional>>Affero<<endOptional>> General Public
+License as published by the Free Software Foundation; either version <<var;name=version;words=1-2>> of the License, or (at your
+option) any later version. <<var;name=program;words=1-6>> is distributed in the hope that it will be useful, but WITHOUT ANY
+WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+<<beginOptional>>Lesser<<endOptional>> <<beginOptional>>Affero<<endOptional>> General Public License for more details."""
+_MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at <<var;name=url;words=1-8>>"""
 TEMPLATES = {
+    "unlicense-text": _UNLICENSE,
+    "zlib-text": _ZLIB,
+    "gpl-notice": _GPL_NOTICE,
+    "mpl-2.0-notice": _MPL_NOTICE,
     "mit-notice": "released under the MIT License",
     "mit-text": _MIT,
     "isc-text": _ISC,
@@ -94,13 +133,37 @@ TEMPLATES = {
 
 #: Bytes to words: A-Z to a-z, every other ASCII character but digits and letters to a space.
 _TABLE = bytes(i + 32 if 65 <= i < 91 else i if i > 127 or 48 <= i < 58 or 97 <= i < 123 else 32 for i in range(256))
-MARK = re.compile(r"<<\s*(beginOptional|endOptional|var)([^>]*)>>")
+MARK = re.compile(r"<<\s*(beginOptional|endOptional|var)((?:\"[^\"]*\"|[^>\"])*)>>")
+
+
+def region(rules: str) -> tuple[int, int | None]:
+    """The fewest and most words (None: any number) that a replaceable region stands for."""
+    if found := re.search(r"words=(\d+)-(\d+)", rules):
+        return int(found[1]), int(found[2])
+    if found := re.search(r"match=\"?\.\{(\d+),(\d+)\}", rules):
+        least, most = int(found[1]), int(found[2])
+        if most <= 200:  # a word and what parts it from the next take two characters
+            return min(least, 1), (most + 1) // 2
+        return min(least, 1), None
+    return (1 if re.search(r"match=\"?\.\+", rules) else 0), None
+
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
+def _begun(parts: list[str]) -> list[str]:
+    """A template's parts from its first mandatory word on; marks before it go."""
+    depth = 0
+    for k, part in enumerate(parts):
+        if k % 3 == 1:
+            depth += (part == "beginOptional") - (part == "endOptional")
+        elif k % 3 == 0 and depth == 0 and words_of(part.encode()):
+            return parts[k:]
+    return parts
+
+
 class Place(NamedTuple):
     label: str
     start: int
@@ -116,7 +179,7 @@ class Automaton:
         self.skips: list[list[int]] = [[]]
         self.any: list[list[int]] = [[]]
         self.accepts: list[int] = [-1]
-        self.reach = 1
+        self.reach: int | None = 1
         for i, (label, markup) in enumerate(templates.items()):
             self._add(i, label, markup)
         self._made: dict[frozenset[int], int] = {}
@@ -137,8 +200,8 @@ class Automaton:
         return len(self.moves) - 1
 
     def _add(self, i: int, label: str, markup: str) -> None:
-        at, open_, length, last = 0, [], 0, 0
-        parts = MARK.split(markup)
+        at, open_, length, last, endless = 0, [], 0, 0, False
+        parts = _begun(MARK.split(markup))
         for k, part in enumerate(parts):
             if k % 3 == 0:
                 for word in words_of(part.encode()):
@@ -158,10 +221,19 @@ class Automaton:
                 self.skips[open_.pop()].append(new)
                 at = new
             elif k % 3 == 1:
-                found = re.search(r"words=(\d+)-(\d+)", parts[k + 1])
-                least, most = (int(found[1]), int(found[2])) if found else (0, 20)
+                least, most = region(parts[k + 1])
                 end = self._node()
-                for n in range(most + 1):
+                if most is None:
+                    loop, endless = self._node(), True
+                    self.any[loop].append(loop)
+                    self.skips[loop].append(end)
+                    if least == 0:
+                        self.skips[at].append(loop)
+                    for n in range(least):
+                        new = loop if n == least - 1 else self._node()
+                        self.any[at].append(new)
+                        at = new
+                for n in range(-1 if most is None else most + 1):
                     if n >= least:
                         self.skips[at].append(end)
                     if n < most:
@@ -173,7 +245,7 @@ class Automaton:
         if open_ or not length:
             raise ValueError(f"{label}: open optional region or no wording")
         self.accepts[last] = i
-        self.reach = max(self.reach, length)
+        self.reach = None if endless or self.reach is None else max(self.reach, length)
 
     def _closed(self, states: set[int]) -> frozenset[int]:
         todo, found = list(states), set(states)
@@ -215,6 +287,7 @@ class Automaton:
     def scan(self, text: bytes, run: int = 1 << 20) -> tuple[int, list[Place]]:
         """The number of words and every place where a template matches."""
         places, words, done, at = [], [], 0, 0
+        run = run if self.reach else max(1, len(text))
         while at < len(text) or at == 0:
             cut = at + run
             while cut < len(text) and _TABLE[text[cut]] != 32:
@@ -222,7 +295,7 @@ class Automaton:
             words += words_of(text[at:cut])
             at = cut
             ends = at >= len(text)
-            upto = len(words) if ends else max(0, len(words) - self.reach)
+            upto = len(words) if ends else max(0, len(words) - (self.reach or 0))
             firsts = self.firsts
             for i in [i for i, w in enumerate(words) if w in firsts]:
                 if i < upto:
