@@ -81,15 +81,18 @@ def _scores(rows: np.ndarray, query: np.ndarray, exact) -> np.ndarray:
 
 
 def _best(query: np.ndarray, query_id: int, bound: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, exact, least, step: int = 64):
-    """The k best (score, id) of one block for one query, but for scores under ``least``; and how many were evaluated."""
+    """The k best (score, id) of one block for one query, but for scores under ``least``; and how many were evaluated.
+
+    The first ``step`` candidates are evaluated together, then twice as many, and so on.
+    """
     order = np.argsort(-bound, kind="stable")
     order = order[ids[order] != query_id]
     scores, found, seen = np.zeros(0, object if exact is object else np.int64), np.zeros(0, np.int64), 0
-    for i in range(0, len(order), step):
-        top = bound[order[i]]
+    while len(order):
+        top = bound[order[0]]
         if least is not None and top < least or len(scores) >= k and scores[-1] > top:
             break
-        at = order[i : i + step]
+        at, order, step = order[:step], order[step:], 2 * step
         seen += len(at)
         scores, found = np.concatenate([scores, _scores(rows[at], query, exact)]), np.concatenate([found, ids[at]])
         keep = np.lexsort((found, np.array([-s for s in scores], dtype=scores.dtype)))[:k] if exact is not object else np.array(sorted(range(len(found)), key=lambda j: (-scores[j], found[j]))[:k])
@@ -113,14 +116,15 @@ def _search(rows: DataFrame, queries: DataFrame, k: int, n_pivots: int, sample:
     blocks, q_blocks = max(1, -(-n_rows // block)), max(1, -(-n_queries // query_block))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     size = F.size("v").alias("dim")
-    left = rows.select("id", "v", size, pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), each(q_blocks).alias("q_block"))
-    right = queries.select("id", "v").distinct().select("id", "v", size, pmod(F.xxhash64("id"), q_blocks).cast("int").alias("q_block"), each(blocks).alias("block"))
+    # the sides' columns are named apart, for queries may come from the same table
+    left = rows.select(F.col("id").alias("x_id"), F.col("v").alias("x"), size, pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), each(q_blocks).alias("q_block"))
+    right = queries.select("id", "v").distinct().select(F.col("id").alias("q_id"), F.col("v").alias("q"), size, pmod(F.xxhash64("id"), q_blocks).cast("int").alias("q_block"), each(blocks).alias("block"))
 
     def compare(candidates: pa.Table, asked: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "query": [], "vec_id": [], "score": []}
         if candidates.num_rows and asked.num_rows:
-            ids, x = candidates.column("id").to_numpy(), _matrix(candidates.column("v"), np.int64)
-            q_ids, q = asked.column("id").to_numpy(), _matrix(asked.column("v"), np.int64)
+            ids, x = candidates.column("x_id").to_numpy(), _matrix(candidates.column("x"), np.int64)
+            q_ids, q = asked.column("q_id").to_numpy(), _matrix(asked.column("q"), np.int64)
             dim = x.shape[1] if x.size else 0
             pivots, s_ids, s = sent.value.get(dim, (np.zeros((0, dim)), np.zeros(0, np.int64), np.zeros((0, dim), np.int64)))
             x, q = x.reshape(len(ids), dim), q.reshape(len(q_ids), dim)

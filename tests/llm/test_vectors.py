@@ -118,3 +118,26 @@ def test_components_of_a_long_chain(spark):
     got = components(links).groupBy("component").count().collect()
     assert {(r.component, r["count"]) for r in got} == {(0, n), (n + 5, 3)}
     assert components(links.limit(0)).collect() == []
+
+
+def test_pivots_eliminate(spark):
+    """In few dimensions most candidates are never evaluated; the result is the same as with no pivots."""
+    random = np.random.Generator(np.random.PCG64(6))
+    centres = random.uniform(-1, 1, (40, 3))
+    x = (centres[random.integers(0, 40, 3000)] + 0.01 * random.standard_normal((3000, 3))) * 4096
+    x *= 4096 / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, [int(c) for c in v]) for i, v in enumerate(x)], "id long, v array<long>")
+    queries = rows.filter("id % 100 = 0")
+    done = topk.elimination(rows, queries, sample=256, block=1000).first()
+    assert done.n_candidates == 30 * 3000 and done.n_evaluated < 0.3 * done.n_candidates
+    with_pivots, without = (sorted(map(tuple, topk.search(rows, queries, sample=256, n_pivots=n, block=1000).collect())) for n in (64, 0))
+    assert with_pivots == without
+
+
+def test_clashing_columns(spark):
+    """Columns of the names that the operators use themselves are ignored."""
+    plain = table(spark, 5).select("vec_id", "embedding", "label")
+    clash = plain.selectExpr("*", "'a' AS id", "1 AS v", "2 AS node", "'b' AS rank", "3.0 AS score", "'c' AS component_id", "4 AS k1", "true AS good", "'d' AS query_id")
+    order = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert order(topk.nearest(clash)) == order(topk.nearest(plain))
+    assert order(vecdup.near_duplicates(clash)) == order(vecdup.near_duplicates(plain))
