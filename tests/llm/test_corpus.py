@@ -1,6 +1,7 @@
 import json
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -370,6 +371,60 @@ def test_classes_of_short_texts(spark, odd):
     assert {r.class_id for r in neardup.classes(docs).collect()} == {0}
 
 
+def test_classes_against_all_pairs(spark, odd):
+    """All pairs compared by plain edit distance: no class joins texts that links don't, and few links are missed."""
+    pick = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts = []
+    for _ in range(110):
+        base = [pick.choice(vocabulary) for _ in range(pick.choice([8, 12, 14, 16, 20, 30, 60, 110]))]
+        other = list(base)
+        for _ in range(int(pick.choice([0.02, 0.05, 0.08, 0.1, 0.12, 0.15]) * len(base))):
+            at = pick.randrange(len(other))
+            other[at : at + pick.choice([0, 1, 1])] = [pick.choice(vocabulary)] * pick.choice([0, 1, 1])
+        texts += [base, other]
+    linked = []
+    for i, a in enumerate(texts):
+        for j in range(i + 1, len(texts)):
+            b = texts[j]
+            if sum((Counter(a) & Counter(b)).values()) >= 0.8 * max(len(a), len(b)) and distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+                linked.append((i, j))
+    truth = list(range(len(texts)))
+    for i, j in linked:
+        low, high = sorted((truth[i], truth[j]))
+        truth = [low if t == high else t for t in truth]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "a", 1, "k", 1, 0.0) for i, t in enumerate(texts)], odd.schema)
+    found = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert all(truth[found[i]] == truth[i] for i in found)  # classes are unions of links
+    met = sum(found[i] == found[j] for i, j in linked)
+    assert len(linked) > 90 and met >= 0.95 * len(linked), (met, len(linked))
+
+
+def test_long_near_copies_and_bounded_memory():
+    pick = np.random.default_rng(4)
+    a = pick.integers(0, 1 << 62, 60_000).astype(np.uint64)
+    b = a.copy()
+    b[pick.choice(60_000, 300, replace=False)] += np.uint64(1)
+    b = np.delete(b, pick.choice(60_000, 40, replace=False))
+    tracemalloc.start()
+    assert neardup._Text(a).similar(neardup._Text(b), 0.8) and not neardup.aligned(a, b, 200)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def test_texts_of_one_key_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 10, "a"), (1, 11, "b"), (2, 10, "c")], "key long, check int, text string")
+    apart = neardup._told_apart(rows, spark.createDataFrame([(1,)], "key long")).collect()
+    assert len({r.key for r in apart}) == 3 and {r.text: r.key for r in apart}["c"] == 2
+
+
+def test_keep_one_is_defined(spark, odd):
+    """Of rows that agree in id and text the same one stays whatever their order is."""
+    rows = [(1, "a text of some words that repeats", "en", s, 1, k, c, 0.5) for s, k, c in (("x", "k", 1), ("y", "k", 2), ("z", None, 3), (None, "m", 4))]
+    one = [neardup.keep_one(spark.createDataFrame(some, odd.schema)).collect() for some in (rows, rows[::-1], rows[2:] + rows[:2])]
+    assert len(one[0]) == 1 and one[0] == one[1] == one[2]
+
+
 # --- chats
 
 
