@@ -122,15 +122,17 @@ def gram_ray(factors: DataFrame, rank: int, x: str = "x", p: str = "p") -> tuple
     return gram(factors, rank, x, x), mixed + mixed.T, gram(factors, rank, p, p)
 
 
-def solve(sums: DataFrame, rank: int, ridge: float, nonnegative: bool = False, everywhere: np.ndarray | None = None, state: Column | None = None) -> DataFrame:
+def solve(sums: DataFrame, rank: int, ridge: float, nonnegative: bool = False, everywhere: np.ndarray | None = None, state: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, n, solved, loss) of the sums; with ``state``, a vector column of them, also the gradient ``grad`` and ``was`` there.
 
+    keep: vector columns of the sums that stay.
+
     The system of an entity is (g + everywhere + ridge n I) x = b. loss and was: its squared errors and its own ridge at the
     solution and at the state (for explicit ratings).
     """
     graded = state is not None
-    wide = "id long, n double, solved array<double>, loss double" + ", grad array<double>, was double" * graded
-    rows = sums.select("id", "n", "s", "g", "b", *([state.alias("x")] if graded else []))
+    wide = "id long, n double, solved array<double>, loss double" + ", grad array<double>, was double" * graded + "".join(f", {c} array<double>" for c in keep)
+    rows = sums.select("id", "n", "s", "g", "b", *([state.alias("__x")] if graded else []), *keep)
     solver = nnls if nonnegative else cholesky
 
     def run(batches):
@@ -149,9 +151,9 @@ def solve(sums: DataFrame, rank: int, ridge: float, nonnegative: bool = False, e
             solved = solver(g, b, ridge * n)
             out = [batch.column("id"), batch.column("n"), _listed(solved), pa.array(at(solved)[1])]
             if graded:
-                pull, was = at(_matrix(batch.column("x"), rank))
+                pull, was = at(_matrix(batch.column("__x"), rank))
                 out += [_listed(2 * pull), pa.array(was)]
-            yield pa.record_batch(out, names=["id", "n", "solved", "loss", *(["grad", "was"] if graded else [])])
+            yield pa.record_batch([*out, *(batch.column(c) for c in keep)], names=["id", "n", "solved", "loss", *(["grad", "was"] if graded else []), *keep])
 
     return rows.mapInArrow(run, wide)
 

@@ -37,7 +37,8 @@ def scratch(spark: SparkSession) -> str:
 def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
     """The same rows, written and read back; ``spent``: tables that ``cut`` gave and that nothing needs any more."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    # no mark of success: nobody looks for one, and the write has ended before the path is known to anyone
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     drop(*spent)

@@ -102,8 +102,9 @@ class _Run:
 
     def both(self, key: str, own: DataFrame, factors: DataFrame) -> DataFrame:
         """own with the half-step against factors (solved, loss) and grad and was at own's factor, from one pass."""
-        sums = normal_equations(self.by[key], key, factors, self.s.rank).join(own.select("id", "factor"), "id")
-        return own.join(solve(sums, self.s.rank, self.s.ridge, self.s.nonnegative, state=F.col("factor")).drop("n"), "id")
+        keep = tuple(c for c in own.columns if c not in ("id", "n"))
+        sums = normal_equations(self.by[key], key, factors, self.s.rank).join(own.select("id", *keep), "id")
+        return solve(sums, self.s.rank, self.s.ridge, self.s.nonnegative, state=F.col("factor"), keep=keep)
 
     def sums(self, **columns: Column) -> dict[str, float]:
         """Sums over the rows of both sides, in one job."""

@@ -252,3 +252,37 @@ def test_command_line(spark, tmp_path, sparse, flags):
     assert FactorModel.load(spark, out["model"]).item_factors.count() == model.item_factors.count()
     assert spark.read.parquet(out["used"]).count() == sparse.filter("user <= 20").count()
     assert spark.read.csv(out["history"], header=True).count() == 3 and spark.read.csv(out["errors"], header=True).count() == 101
+
+
+def test_written_tables(spark):
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    from factorloom.plans.lineage import cut, drop, scratch, shared_folder
+
+    one = cut(spark.createDataFrame([(1, [0.5], None), (2, None, "x")], "id long, v array<double>, s string"))
+    two = cut(one.withColumn("id", F.col("id") + 1), one)  # the first is gone, the second is whole
+    assert sorted((r.id, r.v, r.s) for r in two.collect()) == [(2, [0.5], None), (3, None, "x")]
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        one.collect()
+    assert cut(two.limit(0)).collect() == [] and cut(two.limit(0)).schema.names == ["id", "v", "s"]
+    drop(two)
+    assert scratch(spark).startswith(shared_folder(spark)) and scratch(spark) != scratch(spark)
+
+
+def test_estimates_stay_small(spark):
+    """The size a plan is thought to have doesn't grow with the rounds of a loop."""
+    from factorloom.plans.lineage import cut
+
+    df = cut(spark.range(100).select("id", F.lit(1.0).alias("x")))
+    for _ in range(4):
+        df = cut(df.join(df.withColumnRenamed("x", "y"), "id").join(df.withColumnRenamed("x", "z"), "id").select("id", "x"), df)
+    assert int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1 << 20
+
+
+def test_numbering(spark):
+    from factorloom.operators.numbering import ordinals
+
+    values = spark.createDataFrame([(f"k{i:03}",) for i in range(200)] + [(None,)], "k string").repartition(7)
+    got = {r.k: r.n for r in ordinals(values, "k", "n").collect()}
+    assert got == {f"k{i:03}": i for i in range(200)} | {None: 200}

@@ -5,11 +5,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from factorloom import queries as core
 
 SF_DIR = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
 QUERIES = entry.queries()
-CORE = [n for n in QUERIES if not n.startswith("op") and n != "pipeline"]
+CORE = list(core.QUERIES)
 
 
 @pytest.fixture(scope="module")
