@@ -10,7 +10,8 @@ the costs of all languages lie in one hash table per order, and a text is scored
 by table look-ups. A text's language is the one that codes it shortest.
 
 Training takes a documented, bounded sample: about ``per_lang`` documents of each
-language chosen by a hash of id and text, each whole; repeated rows count once.
+language, ``most`` in all, chosen by a hash of id and text, each whole; repeated rows
+count once.
 Scoring reads every byte of every text.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import small_batches, text_bytes
+from factorloom.llm.common import cut, drop, small_batches, text_bytes
 
 UNKNOWN = "und"
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -87,7 +88,7 @@ class Model:
                 counts.append(np.unique(grams, return_counts=True))
             keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in counts)]))
             contexts = np.unique(keys >> np.uint64(8))
-            costs, leave = np.zeros((len(keys), n_langs), np.float32), np.zeros((len(contexts), n_langs), np.float32)
+            costs, leave = np.zeros((len(keys), n_langs)), np.zeros((len(contexts), n_langs))
             low = np.uint64((1 << 8 * (n - 1)) - 1)
             for i, (grams, seen) in enumerate(counts):
                 inside = np.searchsorted(contexts, grams >> np.uint64(8))
@@ -96,7 +97,7 @@ class Model:
                 known = kinds > 0
                 leave[known, i] = np.log2((total[known] + kinds[known]) / kinds[known])
                 # what this language hasn't seen here costs the escape and then the shorter context
-                backed = shorter.costs[shorter.find(keys & low), i] if shorter else np.float32(8)
+                backed = shorter.costs[shorter.find(keys & low), i] if shorter else 8.0
                 costs[:, i] = leave[np.searchsorted(contexts, keys >> np.uint64(8)), i] + backed
                 costs[np.searchsorted(keys, grams), i] = np.log2((total + kinds)[inside] / seen)
             shorter = _Table(keys, costs)
@@ -105,7 +106,7 @@ class Model:
 
     def costs(self, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Bits of each byte in each language; ``begin``: place of each byte in its document."""
-        n, out = len(data), np.zeros((len(data), len(self.langs)), np.float32)
+        n, out = len(data), np.zeros((len(data), len(self.langs)))
         grams = np.zeros(n, np.uint64)
         for k in range(min(self.order, n - 1), -1, -1):
             grams[k:] = (grams[k:] << np.uint64(8)) | data[: n - k].astype(np.uint64)
@@ -134,27 +135,33 @@ class Model:
             bits = self.costs(data[back:j], np.arange(back, j) - offsets[owner])[i - back :]
             owner = owner[i - back :]
             first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            out[owner[first]] += np.add.reduceat(bits.astype(np.float64), first, axis=0)
+            out[owner[first]] += np.add.reduceat(bits, first, axis=0)
         return out
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = 4, per_lang: int = 150) -> Model:
-    """A model of all languages that occur, from about ``per_lang`` different rows of each (all, if fewer), whole."""
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = 4, per_lang: int = 150, most: int = 6000) -> Model:
+    """A model of all languages that occur, from about ``per_lang`` different rows of each (all, if fewer), whole.
+
+    most: rows in all; with many languages each has as many fewer (but one).
+    """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     rows = rows.withColumn("h", F.xxhash64("id", "text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.countDistinct("h").alias("n")).collect()}
-    if not counts:
+    counts = cut(rows.groupBy("lang").agg(F.countDistinct("h").alias("n")))
+    n_langs = counts.count()
+    if not n_langs:
         return Model({}, order)
     # a row is taken if its hash falls into the share of its language; rows of one hash are taken once
-    space = 1 << 30
-    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, -(-space * per_lang // n)))), F.col("lang"))
-    taken = rows.filter(F.pmod("h", F.lit(space)) < share).dropDuplicates(["lang", "h"]).select("lang", "text")
-    samples: dict[str, list[bytes]] = {lang: [] for lang in counts}
+    space, each = 1 << 30, max(1, min(per_lang, most // n_langs))
+    shares = counts.select("lang", F.ceil(F.lit(space * each) / F.col("n")).alias("share"))
+    taken = rows.join(shares, "lang").filter(F.pmod("h", F.lit(space)) < F.col("share")).dropDuplicates(["lang", "h"]).select("lang", "text")
+    samples: dict[str, list[bytes]] = {}
     for r in taken.collect():
-        samples[r["lang"]].append(r["text"].encode())
+        samples.setdefault(r["lang"], []).append(r["text"].encode())
+    drop(counts)
     for lang in samples:
         samples[lang].sort()
-    return Model({k: v for k, v in samples.items() if v}, order)
+    return Model(samples, order)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
