@@ -218,3 +218,36 @@ SELECT conv_id, count(*) AS n_turns,
               ORDER BY turn, concat_ws(chr(1), role, text)) || ']') AS chat_sha256
 FROM conversations GROUP BY conv_id
 """
+
+
+def with_tools(turns: DataFrame) -> DataFrame:
+    """Conversations (conv_id, turn, role, text) in which each user's turn is also looked up by a tool.
+
+    Each user's row gets a call ``c<turn>`` of ``search`` with its text and turn; where the turn is 2 modulo 4 the query is
+    the result of the call two turns before instead, which the schema doesn't allow. Calls are answered by the text unless the
+    turn is divisible by 3, and one divisible by 5 gets a result that no call asked for.
+    """
+    asked = turns.filter("role = 'user'")
+    turn = F.col("turn").cast("string")
+    before = F.format_string('{"query":{"$result":"c%d"},"limit":%d}', F.col("turn") - 2, F.col("turn"))
+    arguments = F.when(F.col("turn") % 4 == 2, before).otherwise(F.to_json(F.struct(F.col("text").alias("query"), F.col("turn").alias("limit"))))
+    call = F.concat(F.lit('{"tool_calls":[{"id":"c'), turn, F.lit('","name":"search","arguments":'), arguments, F.lit("}]}"))
+    result = lambda name, content: F.to_json(F.struct(F.concat(F.lit(name), turn).alias("tool_call_id"), content.alias("content")))
+    row = lambda role, text: ("conv_id", "turn", F.lit(role).alias("role"), text.alias("text"))
+    rows = turns.select("conv_id", "turn", "role", "text").unionByName(asked.select(*row("assistant", call)))
+    rows = rows.unionByName(asked.filter("turn % 3 <> 0").select(*row("tool", result("c", F.col("text")))))
+    return rows.unionByName(asked.filter("turn % 5 = 0").select(*row("tool", result("x", F.lit("?")))))
+
+
+#: DuckDB SQL for the digests of ``with_tools`` over conversations without tool calls of their own and with one row a turn.
+TOOLS_ORACLE = """
+WITH u AS (SELECT conv_id, turn, text, CASE WHEN turn % 4 = 2 THEN '{"limit":' || turn || ',"query":{"$result":"c' || (turn - 2) || '"}}'
+                  ELSE '{"limit":' || turn || ',"query":' || CAST(to_json(text) AS VARCHAR) || '}' END AS arguments FROM conversations WHERE role = 'user'),
+m AS (SELECT conv_id, turn, 0 AS kind, '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' AS json, 0 AS calls, 0 AS linked, 0 AS invalid, 0 AS unlinked FROM conversations
+      UNION ALL SELECT conv_id, turn, 1, '{"role":"assistant","tool_calls":[{"arguments":' || CAST(to_json(arguments) AS VARCHAR) || ',"id":"c' || turn || '","name":"search"}]}', 1, 0, CASE WHEN turn % 4 = 2 THEN 1 ELSE 0 END, 0 FROM u
+      UNION ALL SELECT conv_id, turn, 2, '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"tool","tool_call_id":"c' || turn || '"}', 0, 1, 0, 0 FROM u WHERE turn % 3 <> 0
+      UNION ALL SELECT conv_id, turn, 3, '{"content":"?","role":"tool","tool_call_id":"x' || turn || '"}', 0, 0, 0, 1 FROM u WHERE turn % 5 = 0)
+SELECT conv_id, count(*) AS n_turns, CAST(sum(calls) AS BIGINT) AS n_calls, CAST(sum(linked) AS BIGINT) AS n_linked, CAST(sum(invalid) AS BIGINT) AS n_invalid,
+       CAST(0 AS BIGINT) AS n_cyclic, CAST(sum(unlinked) AS BIGINT) AS n_unlinked, sha256('[' || string_agg(json, ',' ORDER BY turn, kind) || ']') AS chat_sha256
+FROM m GROUP BY conv_id
+"""

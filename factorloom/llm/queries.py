@@ -46,9 +46,14 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations"))
 
 
+def chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linking, order and schemas on every conversation: the table itself holds no tool calls, so each user's turn gets one."""
+    return chat.digests(chat.with_tools(table(spark, sf_dir, "conversations")))
+
+
 def op10_vecdup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_byte_bpe, op3_substrings, op4_topk, op5_language, op6_mixing, op7_secrets, op8_neardup, op9_chat, op10_vecdup)}
-ORACLES = {"op3_substrings": substrings.ORACLE, "op4_topk": topk.ORACLE, "op9_chat": chat.ORACLE, "op10_vecdup": vecdup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_byte_bpe, op3_substrings, op4_topk, op5_language, op6_mixing, op7_secrets, op8_neardup, op9_chat, op10_vecdup, chat_tool_calls)}
+ORACLES = {"op3_substrings": substrings.ORACLE, "op4_topk": topk.ORACLE, "op9_chat": chat.ORACLE, "chat_tool_calls": chat.TOOLS_ORACLE, "op10_vecdup": vecdup.ORACLE}
