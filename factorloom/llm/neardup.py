@@ -303,10 +303,10 @@ def _components(docs: DataFrame, k: int, take: int, entries: int, least: float)
     near = lambda x, y: F.abs(x - y) <= F.floor((1 - least) * F.greatest(x, y) + 1e-9)
     first = cut(members.filter((F.col("key") != F.col("to.key")) & near(F.col("n"), F.col("to.n"))).select(F.col("key").alias("a"), F.col("to.key").alias("b")).distinct())
     release(spark)
-    some = cut(members.groupBy("key").agg(F.first("n").alias("n")))
+    some = members.groupBy("key").agg(F.first("n").alias("n"))
     # of each text one row, before the join: copies are merged where they lie
     each = _told_apart(docs.select("key", "check", "text"), shared).groupBy("key").agg(F.first("text").alias("text"))
-    texts = cut(each.join(some, "key"), some)
+    texts = cut(each.join(some, "key"))
     release(spark)
     links = verify(first, texts, least)
     drop(first)
@@ -353,7 +353,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     docs = _keyed(docs, id_col, text_col)
     named, shared = _components(docs, k, take, entries, least)
     least_id = cut(named.groupBy("component").agg(F.min("doc_id").alias("class_id")))
-    named = cut(named.join(least_id, "component").select("key", "n", F.when(F.col("n") > 0, F.col("class_id")).alias("class_id")), named, least_id)
+    named = named.join(least_id, "component").select("key", "n", F.when(F.col("n") > 0, F.col("class_id")).alias("class_id"))
     keys = _told_apart(docs.select("doc_id", "key", "check"), shared)
     return keys.join(named, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n").cast("long").alias("n_words"))
 
