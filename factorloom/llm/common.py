@@ -28,14 +28,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, most: str = "4MB") -> None:
-    """Bounds the bytes of an Arrow batch, so that a Python worker holds a few long texts or many short ones.
+def small_batches(spark: SparkSession, most: str = "4MB", rows: int = 512) -> None:
+    """Bounds the bytes of an Arrow batch and the rows of a Parquet vector.
 
-    A bound that the session already lowers stays.
+    So a Python worker holds a few long texts or many short ones, and a reader's vector of texts stays small. A bound that
+    the session has changed stays.
     """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, "67108864b") == "67108864b":  # Spark's own default
-        spark.conf.set(name, most)
+    for name, usual, new in (("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", most), ("spark.sql.parquet.columnarReaderBatchSize", "4096", str(rows))):
+        if spark.conf.get(name, usual) == usual:  # Spark's own default
+            spark.conf.set(name, new)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

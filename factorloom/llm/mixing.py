@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import cut
+from factorloom.llm.common import cut, small_batches
 from factorloom.operators.numbering import ordinals
 
 UNIT = 24  # rates are held as multiples of 2**-24: sums of 2**38 documents of a source fit into 64 bits
@@ -105,6 +105,7 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     names: of the four; a column of ``docs`` of one of these names gives way.
     """
     key = F.concat(F.when(F.col(source_col).isNull(), "n").otherwise("s"), F.coalesce(F.col(source_col), F.lit("")))
+    small_batches(docs.sparkSession)
     keep = tuple(docs.columns) if keep is None else keep
     made = {"__key": key, "__size": word_count(F.col(text_col)), "__hash": F.xxhash64(id_col, text_col)}
     sized = cut(docs.select(*(F.col(f"`{c}`") for c in keep), *(c.alias(n) for n, c in made.items())))

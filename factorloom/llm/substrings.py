@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm import words as W
-from factorloom.llm.common import pmod, slices, text_bytes
+from factorloom.llm.common import pmod, slices, small_batches, text_bytes
 
 SENT = "bucket int, block int, ones binary, many binary"
 REPLY = "block int, hashes binary"
@@ -186,6 +186,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     width: words of a window, up to 512; period: of the difference cover (anchors have width - period + 1 words);
     block_bytes: text of a block of documents, about (4 to 64 MB by the size of the input, if not given).
     """
+    small_batches(docs.sparkSession)
     cover = np.zeros(period, bool)
     cover[list(difference_cover(period))] = True
     anchor = width - period + 1
