@@ -369,6 +369,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     stay = cut(chosen.union(named.filter("n = 0").select("key", F.lit(None).cast(chosen.schema["id"].dataType), F.lit(False))).toDF("__key", "__id", "__worded"), named)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
     keyed = _told_apart(docs.select(row, *_hashes(F.col(f"`{text_col}`").cast("string"))), shared)
-    found = keyed.join(stay, keyed["key"] == stay["__key"]).filter(~F.col("__worded") | F.col("__row")[id_col].eqNullSafe(F.col("__id")))
-    one = found.filter("__worded").groupBy("key").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
-    return one.select("__row").union(found.filter(~F.col("__worded")).select("__row")).select(*(F.col("__row")[c].alias(c) for c in docs.columns))
+    # by key and id, so that the rows of a text with very many copies are dealt out
+    its_id = F.col("__row").getField(id_col).eqNullSafe(F.col("__id"))
+    found = keyed.join(stay.filter("__worded"), (keyed["key"] == stay["__key"]) & its_id)
+    one = found.groupBy("key").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row")).select("__row")
+    empty = keyed.join(stay.filter("not __worded").select("__key"), keyed["key"] == F.col("__key"), "left_semi").select("__row")
+    return one.union(empty).select(*(F.col("__row").getField(c).alias(c) for c in docs.columns))
