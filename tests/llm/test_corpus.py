@@ -522,3 +522,13 @@ def test_pipeline(spark, tmp_path, forest):
     assert Counter(r["doc_id"] for r in encoded) == copies
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter((r.doc_id, r.ids_sha256) for r in whole.collect()) == Counter((r["doc_id"], r["ids_sha256"]) for r in encoded)
+
+
+def test_pipeline_of_nothing_and_of_odd_rows(spark, tmp_path, odd, empty):
+    for name, docs in (("empty", empty), ("odd", odd.unionByName(odd.withColumn("key", F.lit("other"))))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        rows = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        again = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        digest = lambda found: Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in found)
+        assert digest(rows) == digest(again)
+        assert {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()} and bool(rows) == (name == "odd")
