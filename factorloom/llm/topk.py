@@ -60,17 +60,22 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
 
 
 def _distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """The pivot table: Euclidean distances of rows (double) to all pivots."""
-    squares = (rows**2).sum(axis=1)[:, None] - 2 * rows @ pivots.T + (pivots**2).sum(axis=1)[None, :]
-    return np.sqrt(np.maximum(squares, 0))
+    """The pivot table: a row for each pivot with its Euclidean distances to all rows (double), in single precision."""
+    squares = (rows**2).sum(axis=1)[None, :] - 2 * pivots @ rows.T + (pivots**2).sum(axis=1)[:, None]
+    return np.sqrt(np.maximum(squares, 0)).astype(np.float32)
 
 
 def bounds(query: np.ndarray, q_far: np.ndarray, far: np.ndarray, norms: np.ndarray) -> np.ndarray:
     """No candidate's score is above its bound. far, q_far: distances to the pivots; norms: squared lengths."""
     norm = float((query.astype(np.float64) ** 2).sum())
-    # rounding: squared distances are off by a few ulps of the squared lengths, their roots by the root of that at most
-    slack = 1e-7 * np.sqrt(norm + norms)
-    apart = np.maximum(np.abs(far - q_far).max(axis=1) - slack, 0) if far.shape[1] else np.zeros(len(norms))
+    apart, gap = np.zeros(len(norms), np.float32), np.empty(len(norms), np.float32)
+    for to_all, to_query in zip(far, q_far, strict=True):
+        np.subtract(to_all, to_query, out=gap)
+        np.abs(gap, out=gap)
+        np.maximum(apart, gap, out=apart)
+    # rounding to single precision, and the root of what cancellation leaves of squares in double precision
+    slack = 1e-6 * (far.max(initial=0) + q_far.max(initial=0)) + 1e-7 * np.sqrt(norm + norms)
+    apart = np.maximum(apart.astype(np.float64) - slack, 0)
     return (norm + norms - apart**2) / 2 + 1e-9 * (norm + norms) + 1
 
 
@@ -139,7 +144,7 @@ def _search(rows: DataFrame, queries: DataFrame, k: int, n_pivots: int, sample:
                 if exact is not object:
                     others = _scores(s, q[i], exact)[s_ids != q_ids[i]]
                     start = int(np.partition(others, -k)[-k]) if len(others) >= k else None
-                scores, found, seen = _best(q[i], q_ids[i], bounds(q[i], q_far[i], far, norms), ids, x, k, exact, start)
+                scores, found, seen = _best(q[i], q_ids[i], bounds(q[i], q_far[:, i], far, norms), ids, x, k, exact, start)
                 key = np.asarray(q[i], np.int64).tobytes()
                 out["query_id"] += [int(q_ids[i])] * (len(found) + 1)
                 out["query"] += [key] * (len(found) + 1)

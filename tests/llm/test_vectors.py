@@ -141,3 +141,17 @@ def test_clashing_columns(spark):
     order = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert order(topk.nearest(clash)) == order(topk.nearest(plain))
     assert order(vecdup.near_duplicates(clash)) == order(vecdup.near_duplicates(plain))
+
+
+def test_bounds_hold():
+    """No score is above its bound, whatever the scale and however near the vectors are."""
+    random = np.random.Generator(np.random.PCG64(11))
+    for scale in (1, 40, 1024, 10**6, 10**12):
+        x = np.floor(random.standard_normal((300, 9)) * scale)
+        x[:100] = x[0] + np.floor(random.standard_normal((100, 9)) * scale * 1e-4)
+        pivots = topk.choose_pivots(x[::3], 40)
+        far, norms = topk._distances(x, pivots), (x**2).sum(axis=1)
+        for q in x[:40]:
+            bound = topk.bounds(q, topk._distances(q[None, :], pivots)[:, 0], far, norms)
+            exact = np.array([sum(int(a) * int(b) for a, b in zip(v, q, strict=True)) for v in x], float)
+            assert (bound >= exact * (1 - 1e-15)).all()
