@@ -298,10 +298,10 @@ def _components(docs: DataFrame, k: int, take: int, entries: int, least: float)
     shared = cut(sketched.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
     nodes = _told_apart(sketched, shared)
     entry = nodes.filter("n > 0").select("key", "n", F.explode("entries").alias("entry"))
-    buckets = entry.groupBy("entry").agg(F.min(F.struct("key", "n")).alias("to"), F.count("*").alias("c")).filter("c > 1")
-    members = cut(entry.join(buckets.select("entry", "to"), "entry"))
+    buckets = entry.groupBy("entry").agg(F.min("key").alias("to"), F.min_by("n", "key").alias("to_n"), F.count("*").alias("c")).filter("c > 1")
+    members = cut(entry.join(buckets.drop("c"), "entry"))
     near = lambda x, y: F.abs(x - y) <= F.floor((1 - least) * F.greatest(x, y) + 1e-9)
-    first = cut(members.filter((F.col("key") != F.col("to.key")) & near(F.col("n"), F.col("to.n"))).select(F.col("key").alias("a"), F.col("to.key").alias("b")).distinct())
+    first = cut(members.filter((F.col("key") != F.col("to")) & near(F.col("n"), F.col("to_n"))).select(F.col("key").alias("a"), F.col("to").alias("b")).distinct())
     release(spark)
     some = members.groupBy("key").agg(F.first("n").alias("n"))
     # of each text one row, before the join: copies are merged where they lie
