@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factorloom.llm import bpe, chat, langid, licenses, mixing, neardup, secrets, substrings, topk, vecdup
+from factorloom.llm import bpe, chat, fim, langid, licenses, mixing, neardup, secrets, sharding, substrings, topk, trie, vecdup
 from factorloom.llm.common import table
 
 
@@ -55,5 +55,17 @@ def op10_vecdup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_byte_bpe, op3_substrings, op4_topk, op5_language, op6_mixing, op7_secrets, op8_neardup, op9_chat, op10_vecdup, chat_tool_calls)}
-ORACLES = {"op3_substrings": substrings.ORACLE, "op4_topk": topk.ORACLE, "op9_chat": chat.ORACLE, "chat_tool_calls": chat.TOOLS_ORACLE, "op10_vecdup": vecdup.ORACLE}
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.digests(table(spark, sf_dir, "conversations"))
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_byte_bpe, op3_substrings, op4_topk, op5_language, op6_mixing, op7_secrets, op8_neardup, op9_chat, op10_vecdup, op11_fim, op12_trie, op13_shards, chat_tool_calls)}
+ORACLES = {"op3_substrings": substrings.ORACLE, "op4_topk": topk.ORACLE, "op9_chat": chat.ORACLE, "chat_tool_calls": chat.TOOLS_ORACLE, "op10_vecdup": vecdup.ORACLE, "op11_fim": fim.ORACLE, "op12_trie": trie.ORACLE, "op13_shards": sharding.ORACLE}
