@@ -28,7 +28,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--items", "-m", type=int, help="only items with an id up to this")
     p.add_argument("--sample", "-S", type=float, help="share of the ratings, chosen by a hash of user and item")
     p.add_argument("--checkpoint", "-C", help="folder for checkpoints, shared by the cluster")
-    p.add_argument("--implicitAlpha", "-a", type=float, help="implicit ratings with this confidence (with --als)")
+    p.add_argument("--progress", help="folder in which the training is kept, and from which it goes on")
+    p.add_argument("--interval", type=int, default=1, help="iterations between two such states")
+    p.add_argument("--implicitAlpha", "-a", type=float, help="implicit ratings with this confidence")
     p.add_argument("--output", "-o", help="folder for the model")
     p.add_argument("--saveRatings", help="folder for the ratings that were used, as Parquet")
     p.add_argument("--hist", "-H", help="folder for the history, as CSV")
@@ -64,7 +66,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None):
         ratings.write.mode("overwrite").parquet(args.saveRatings)
     implicit = {"implicit": True, "alpha": args.implicitAlpha} if args.implicitAlpha is not None else {}
     name = "als" if args.als else "ncg" if args.ncg else "pncg"
-    model = TRAINERS[name](ratings, rank=args.rank, iterations=args.maxit, ridge=args.ridge, seed=args.seed, user_blocks=args.userBlocks, item_blocks=args.itemBlocks, **implicit)
+    model = TRAINERS[name](ratings, rank=args.rank, iterations=args.maxit, ridge=args.ridge, seed=args.seed, user_blocks=args.userBlocks, item_blocks=args.itemBlocks, progress=args.progress, interval=args.interval, **implicit)
     last = model.history.orderBy(F.desc("iter")).first()
     for limit, column in ((args.obj, "loss"), (args.tol, "grad_norm")):
         if limit is not None and last[column] is not None:

@@ -28,6 +28,15 @@ def axpy(alpha: float | Column, a: Column, b: Column, k: int) -> Column:
     return F.array(*(a[i] * alpha + b[i] for i in range(k)))
 
 
+def mixed(alpha: float, a: Column, beta: float, b: Column) -> Column:
+    """alpha a + beta b by higher-order functions: new numbers make no new generated code, which suits a loop's steps."""
+    return F.zip_with(a, b, lambda x, y: x * alpha + y * beta)
+
+
+def scaled(alpha: float, a: Column) -> Column:
+    return F.transform(a, lambda x: x * alpha)
+
+
 def total_dot(df: DataFrame, a: str, b: str, k: int) -> float:
     """The sum over all rows of the inner products of two vector columns."""
     return df.agg(F.sum(dot(F.col(a), F.col(b), k))).first()[0] or 0.0

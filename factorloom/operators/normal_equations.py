@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factorloom.functions.exact import COUNTERS, counters, totals
 from factorloom.operators.solvers import cholesky, nnls, pack, unpack
 
 SUMS = "id long, n double, s double, g array<double>, b array<double>"
@@ -99,27 +100,30 @@ def normal_sums(ratings: DataFrame, key: str, factors: DataFrame, rank: int) ->
 
 
 def gram(factors: DataFrame, rank: int, left: str = "factor", right: str = "factor") -> np.ndarray:
-    """The sum over all rows of left right': one matrix from each partition, added up entry by entry."""
+    """The sum over all rows of left right', each entry an exact sum of the products, whatever the partitions are."""
+    return grams(factors, rank, (left, right))[0]
+
+
+def grams(factors: DataFrame, rank: int, *pairs: tuple[str, str]) -> list[np.ndarray]:
+    """The sums over all rows of left right' for several pairs of vector columns, from one job."""
+    columns = [F.col(c).cast("array<double>").alias(f"v{n}") for n, c in enumerate(c for pair in pairs for c in pair)]
 
     def run(batches):
-        total = np.zeros((rank, rank))
         for batch in batches:
-            if batch.num_rows:
-                total += _matrix(batch.column(0), rank).T @ _matrix(batch.column(1), rank)
-        yield pa.record_batch([_listed(total.reshape(1, -1))], names=["m"])
+            step = max(1, (1 << 20) // (rank * rank))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                v = [_matrix(c, rank) for c in part.columns]
+                yield counters(np.concatenate([(v[2 * n][:, :, None] * v[2 * n + 1][:, None, :]).reshape(part.num_rows, -1) for n in range(len(pairs))], axis=1))
 
-    pair = factors.select(*(F.col(c).cast("array<double>").alias(n) for n, c in (("l", left), ("r", right))))
-    sums = pair.mapInArrow(run, "m array<double>").select(F.posexplode("m").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(rank * rank)
-    for row in sums:
-        out[row["at"]] = row["v"]
-    return out.reshape(rank, rank)
+    sums = totals(factors.select(*columns).mapInArrow(run, COUNTERS), len(pairs) * rank * rank)
+    return list(np.array(sums).reshape(len(pairs), rank, rank))
 
 
 def gram_ray(factors: DataFrame, rank: int, x: str = "x", p: str = "p") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gram matrices along x + t p: of x, the mixed terms, of p."""
-    mixed = gram(factors, rank, x, p)
-    return gram(factors, rank, x, x), mixed + mixed.T, gram(factors, rank, p, p)
+    xx, mixed, pp = grams(factors, rank, (x, x), (x, p), (p, p))
+    return xx, mixed + mixed.T, pp
 
 
 def solve(sums: DataFrame, rank: int, ridge: float, nonnegative: bool = False, everywhere: np.ndarray | None = None, state: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -5,11 +5,12 @@ f = sum over ratings of (x.y - r)^2 + ridge * (sum over users of n |x|^2 + the s
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions.vectors import dot
-from factorloom.operators.normal_equations import gram
+from factorloom.operators.normal_equations import gram, gram_ray
 
 
 def observed(ratings: DataFrame, users: DataFrame, items: DataFrame, columns: tuple[str, ...] = ("factor",)) -> DataFrame:
@@ -84,3 +85,53 @@ def implicit_gradient(ratings: DataFrame, key: str, own: DataFrame, other: DataF
     x = F.col("factor")
     pulled = [dot(F.array(*(F.lit(float(v)) for v in whole[j])), x, rank) for j in range(rank)]
     return sums.join(own.select("id", "factor"), "id").select("id", F.array(*(2.0 * (F.col(f"s_{j}") + F.lit(float(ridge)) * x[j] + pulled[j]) for j in range(rank))).alias("grad"))
+
+
+def implicit_parts(ratings: DataFrame, users: DataFrame, items: DataFrame, rank: int, alpha: float) -> DataFrame:
+    """One row: what the seen preferences add to the sum of (x.y)^2 over all pairs, and their number.
+
+    A rating over 0 is a preference of 1 with confidence c = 1 + alpha r, all other pairs are preferences of 0 with
+    confidence 1: the sum of c (x.y - 1)^2 - (x.y)^2.
+    """
+    z, c = dot(F.col("u_factor"), F.col("i_factor"), rank), 1 + F.lit(float(alpha)) * F.col("rating")
+    return observed(ratings.filter("rating > 0"), users, items).agg(F.sum(c * (z - 1) * (z - 1) - z * z).alias("correction"), F.count("*").alias("n"))
+
+
+def implicit_cost(ratings: DataFrame, users: DataFrame, items: DataFrame, rank: int, ridge: float, alpha: float) -> float:
+    """The implicit objective over all pairs of users and items, rated or not, without listing them.
+
+    The sum of (x.y)^2 over all pairs is the trace of the product of both sides' Gram matrices; only rated pairs are joined.
+    users, items: (id, n, factor) with n the ratings over 0, of all that count as known.
+    """
+    seen = implicit_parts(ratings, users, items, rank, alpha).select(F.col("correction").alias("part"))
+    for side in (users, items):
+        seen = seen.union(weighted_norm(side, rank, ridge))
+    return float((gram(users, rank) * gram(items, rank)).sum()) + (seen.agg(F.sum("part")).first()[0] or 0.0)
+
+
+def whole_ray(users: DataFrame, items: DataFrame, rank: int) -> list[float]:
+    """c0 .. c4 of the sum of ((x + t p).(y + t q))^2 over all pairs: products of the Gram matrices along the ray.
+
+    users, items: (id, factor, p).
+    """
+    a, b = ([np.asarray(m) for m in gram_ray(side, rank, "factor", "p")] for side in (users, items))
+    c = [0.0] * 5
+    for i in range(3):
+        for j in range(3):
+            c[i + j] += float((a[i] * b[j]).sum())
+    return c
+
+
+def implicit_ray(ratings: DataFrame, users: DataFrame, items: DataFrame, rank: int, ridge: float, alpha: float) -> list[float]:
+    """Coefficients of the implicit objective along a ray; users, items: (id, n, factor, p)."""
+    x, p, y, q = (F.col(c) for c in ("u_factor", "u_p", "i_factor", "i_p"))
+    met = observed(ratings.filter("rating > 0"), users, items, ("factor", "p")).select(
+        (1 + F.lit(float(alpha)) * F.col("rating")).alias("c"), dot(x, y, rank).alias("z0"), (dot(x, q, rank) + dot(p, y, rank)).alias("z1"), dot(p, q, rank).alias("z2")
+    )
+    c, more, z0, z1, z2 = F.col("c"), F.col("c") - 1, F.col("z0"), F.col("z1"), F.col("z2")
+    terms = [more * z0 * z0 - 2 * c * z0 + c, 2 * more * z0 * z1 - 2 * c * z1, more * (z1 * z1 + 2 * z0 * z2) - 2 * c * z2, 2 * more * z1 * z2, more * z2 * z2]
+    parts, zero = met.agg(*(F.sum(t).alias(f"c{i}") for i, t in enumerate(terms))), F.lit(0.0)
+    for side in (users, items):
+        parts = parts.union(ray_norms(side, rank, ridge).select("xx", 2 * F.col("xp"), "pp", zero, zero))
+    row = parts.agg(*(F.sum(f"c{i}") for i in range(5))).first()
+    return [w + (v or 0.0) for w, v in zip(whole_ray(users, items, rank), row, strict=True)]

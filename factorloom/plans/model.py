@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.functions.vectors import dot
+from factorloom.plans.lineage import Tables
 
 
 def predict(pairs: DataFrame, users: DataFrame, items: DataFrame, rank: int, cold_start: str = "drop") -> DataFrame:
@@ -39,12 +40,29 @@ def weighted_rmse(predicted: DataFrame) -> DataFrame:
 
 @dataclass
 class FactorModel:
-    """user_factors and item_factors (id, features array<float>), history (iter, alpha, beta, grad_norm, loss)."""
+    """user_factors and item_factors (id, features array<float>), history (iter, alpha, beta, grad_norm, loss).
+
+    tables: the written tables that the factors are read from; ``close``, or the end of a ``with`` block, deletes them and
+    unpersists the factors. An unclosed model's go with the session.
+    """
 
     rank: int
     user_factors: DataFrame
     item_factors: DataFrame
     history: DataFrame
+    tables: Tables | None = None
+
+    def close(self) -> None:
+        self.user_factors.unpersist()
+        self.item_factors.unpersist()
+        if self.tables is not None:
+            self.tables.close()
+
+    def __enter__(self) -> "FactorModel":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def predict(self, pairs: DataFrame, cold_start: str = "drop") -> DataFrame:
         return predict(pairs, self.user_factors, self.item_factors, self.rank, cold_start)

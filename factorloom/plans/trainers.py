@@ -1,40 +1,46 @@
 """The three trainers: alternating least squares, conjugate gradient, and conjugate gradient preconditioned by the first.
 
 Each side's state is one table, so vectors of one entity meet in a row and never in a
-join. An iteration is a few DataFrame jobs; only scalars come to the driver.
+join. Ratings stay in their blocks; a pass sends the other side's vectors to them. Only
+scalars come to the driver, and they are exact sums, so partitions don't change a bit.
 """
 
 from __future__ import annotations
 
 import logging
 import math
-import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.functions.vectors import axpby, axpy, dot, lattice, random_unit, scale
+from factorloom.functions.exact import counted, exact_sums, totals
+from factorloom.functions.vectors import dot, lattice, mixed, random_unit, scaled
+from factorloom.operators import exchange as X
 from factorloom.operators import objective as O
-from factorloom.operators.blocks import counts, layout
-from factorloom.operators.normal_equations import half_step, normal_equations, solve
+from factorloom.operators.normal_equations import gram
 from factorloom.operators.solvers import minimize
-from factorloom.plans.lineage import cut, drop
+from factorloom.plans import progress
+from factorloom.plans.lineage import Tables, cut, drop
 from factorloom.plans.model import FactorModel
 
 log = logging.getLogger("factorloom")
 SIDES = ("user", "item")
 HISTORY = "iter int, alpha double, beta double, grad_norm double, loss double"
+SAME = ("rank", "ridge", "implicit", "alpha", "nonnegative", "seed", "init", "line_search")
 
 
 @dataclass
 class Settings:
     """What all trainers share.
 
-    Every iteration's factors are written to the session's shared folder and the ones before deleted, so there is no interval
-    to choose.
+    user_blocks, item_blocks: into which the ratings are dealt; by default one for each million, or shuffle partitions.
     intermediate_level: of the two layouts of the ratings; final_level: of the factors, NONE leaves them unpersisted.
+    progress: a folder in which every ``interval`` iterations the training's state is kept; a training that finds one of the
+    same settings there goes on from it. implicit: ratings over 0 are preferences seen with confidence 1 + alpha r, all other
+    pairs are preferences of 0 seen with confidence 1.
     """
 
     rank: int = 10
@@ -50,6 +56,9 @@ class Settings:
     seed: int = 0
     init: str = "random"
     line_search: str = "exact"
+    progress: str | None = None
+    interval: int = 1
+    part: int = X.PART
     history: list[tuple] = field(default_factory=list)
 
     def check(self, trainer: str) -> None:
@@ -59,12 +68,12 @@ class Settings:
             raise ValueError("line_search is exact or doubled")
         if self.init not in ("random", "lattice"):
             raise ValueError("init is random or lattice")
-        if trainer != "als" and self.implicit:
-            raise NotImplementedError("implicit ratings: only alternating least squares has a coherent objective")
+        if self.interval < 1 or self.part < 1:
+            raise ValueError("interval and part are positive")
         if trainer == "ncg" and self.nonnegative:
             raise NotImplementedError("plain conjugate gradient has no non-negative form")
-        if trainer == "pncg" and self.nonnegative:
-            warnings.warn("only the preconditioner is non-negative; a step along the direction may leave the orthant", stacklevel=3)
+        if self.intermediate_level == StorageLevel.NONE:
+            raise ValueError("the ratings need a storage level")
 
     def note(self, iteration: int, alpha: float | None, beta: float | None, grad: float | None, loss: float | None) -> None:
         self.history.append((iteration, alpha, beta, grad, loss))
@@ -74,43 +83,50 @@ class Settings:
 def initial(sizes: DataFrame, s: Settings, side: int) -> DataFrame:
     """(id, n, factor) of the entities that have ratings."""
     vector = lattice(F.col("id"), s.rank, 101 * side) if s.init == "lattice" else random_unit(F.col("id"), s.rank, s.seed, side)
-    return sizes.select("id", F.col("n").cast("double").alias("n"), vector.alias("factor"))
+    return sizes.select("id", F.col("seen" if s.implicit else "n").cast("double").alias("n"), vector.alias("factor"))
+
+
+def other(key: str) -> str:
+    return SIDES[key == "user"]
 
 
 class _Run:
     """Both layouts of the ratings, the sides' states and the loop's helpers."""
 
     def __init__(self, ratings: DataFrame, s: Settings):
-        if s.intermediate_level == StorageLevel.NONE:
-            raise ValueError("the ratings need a storage level")
-        self.s = s
-        ratings = ratings.select("user", "item", "rating")
-        self.by = {key: layout(ratings, key, n).persist(s.intermediate_level) for key, n in zip(SIDES, (s.user_blocks, s.item_blocks), strict=True)}
-        seen = {key: counts(self.by[key].filter("rating > 0") if s.implicit else self.by[key], key) for key in SIDES}
-        everyone = {key: counts(self.by[key], key).select("id") for key in SIDES}
-        self.sizes = {key: everyone[key].join(seen[key], "id", "left").na.fill(0, ["n"]) if s.implicit else seen[key] for key in SIDES}
+        self.s, spark = s, ratings.sparkSession
+        # held until both layouts are made, so that what makes the ratings runs once
+        ratings = ratings.select("user", "item", "rating").persist(s.intermediate_level)
+        sizes = {key: cut(ratings.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("n"), F.count_if(F.col("rating") > 0).alias("seen"))) for key in SIDES}
+        tally = [F.sum("n"), F.count_if(F.col("n") > s.part)]
+        rows, *many = (v or 0 for row in sizes["user"].agg(*tally).union(sizes["item"].agg(*tally)).collect() for v in row)
+        usual = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows >> 20)
+        self.by = {key: X.deal(ratings, key, sizes[key], n or usual, s.intermediate_level, s.part, many[2 * i]) for i, (key, n) in enumerate(zip(SIDES, (s.user_blocks, s.item_blocks), strict=True))}
+        self.by["user"].theirs.union(self.by["item"].theirs).count()
+        ratings.unpersist()
         self.written: dict[str, DataFrame] = {}
-        self.state: dict[str, DataFrame] = {}
-        self.replace(**{key: initial(self.sizes[key], s, i) for i, key in enumerate(SIDES)})
+        self.state: dict[str, DataFrame] = {key: initial(sizes[key], s, i) for i, key in enumerate(SIDES)}
 
-    def other(self, key: str) -> str:
-        return SIDES[key == "user"]
+    def solve(self, key: str, own: DataFrame | None, theirs: DataFrame, by: str = "factor", graded: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+        """One side solved against the other's vectors ``by``; with ``own`` its gradient and value at its factor too."""
+        s = self.s
+        whole = gram(theirs, s.rank, by, by) if s.implicit else None
+        more = gram(theirs, s.rank, graded, graded) if s.implicit and graded else None
+        p = X.solving(s.rank, s.ridge, s.nonnegative, s.implicit, s.alpha, whole, None if own is None else "factor", by, graded, more)
+        return X.run(self.by[key], p, theirs, own, keep)
 
-    def half(self, key: str, factors: DataFrame) -> DataFrame:
+    def grade(self, key: str, own: DataFrame, theirs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         s = self.s
-        return half_step(self.by[key], key, factors, s.rank, s.ridge, s.nonnegative, s.implicit, s.alpha)
+        return X.run(self.by[key], X.grading(s.rank, s.ridge, s.implicit, s.alpha, gram(theirs, s.rank) if s.implicit else None), theirs, own, keep)
 
-    def both(self, key: str, own: DataFrame, factors: DataFrame) -> DataFrame:
-        """own with the half-step against factors (solved, loss) and grad and was at own's factor, from one pass."""
-        keep = tuple(c for c in own.columns if c not in ("id", "n"))
-        sums = normal_equations(self.by[key], key, factors, self.s.rank).join(own.select("id", *keep), "id")
-        return solve(sums, self.s.rank, self.s.ridge, self.s.nonnegative, state=F.col("factor"), keep=keep)
+    def norm(self) -> Column:
+        return F.lit(float(self.s.ridge)) * F.col("n") * dot(F.col("factor"), F.col("factor"), self.s.rank)
 
-    def sums(self, **columns: Column) -> dict[str, float]:
-        """Sums over the rows of both sides, in one job."""
-        rows = self.state["user"].select(*(c.alias(n) for n, c in columns.items())).unionByName(self.state["item"].select(*(c.alias(n) for n, c in columns.items())))
-        row = rows.agg(*(F.sum(n).alias(n) for n in columns)).first()
-        return {n: row[n] or 0.0 for n in columns}
+    def sums(self, *columns: Column) -> list[float]:
+        """Exact sums over the rows of both sides, in one job."""
+        named = [c.alias(f"s{n}") for n, c in enumerate(columns)]
+        both = self.state["user"].select(*named).union(self.state["item"].select(*named))
+        return exact_sums(both, *(F.col(f"s{n}") for n in range(len(columns))))
 
     def replace(self, **new: DataFrame) -> None:
         """New states, written one after the other; what they were made from is dropped when all are there."""
@@ -120,19 +136,52 @@ class _Run:
         drop(*spent)
 
     def line(self, starts: list[float]) -> tuple[float, float]:
+        """The lowest point along p from the factors of both sides, and the value there."""
+        s, x, p = self.s, F.col("factor"), F.col("p")
+        weight = F.lit(float(s.ridge)) * F.col("n")
+        norms = [weight * dot(x, x, s.rank), 2.0 * weight * dot(x, p, s.rank), (2.0 if s.line_search == "doubled" else 1.0) * weight * dot(p, p, s.rank)]
+        counts = X.scalars(self.by["user"], X.along(s.rank, s.implicit, s.alpha), self.state["item"], self.state["user"])
+        for key in SIDES:
+            counts = counts.union(counted(self.state[key], norms))
+        c = totals(counts, 5)
+        if s.implicit:
+            c = [a + b for a, b in zip(c, O.whole_ray(self.state["user"], self.state["item"], s.rank), strict=True)]
+        return minimize(c, starts)
+
+    def model(self, tables: Tables) -> FactorModel:
         s = self.s
-        return minimize(O.ray(self.by["user"], self.state["user"], self.state["item"], s.rank, s.ridge, s.line_search == "doubled"), starts)
-
-    def model(self) -> FactorModel:
-        s = self.s
+        tables.keep(*self.written.values())
         out = [self.state[key].select("id", F.col("factor").cast("array<float>").alias("features")) for key in SIDES]
         if s.final_level != StorageLevel.NONE:
             for df in out:
                 df.persist(s.final_level).count()
-        for df in self.by.values():  # the states are written tables and need them no more
-            df.unpersist()
+        for blocks in self.by.values():  # the states are written tables and need them no more
+            blocks.unpersist()
         spark = out[0].sparkSession
-        return FactorModel(s.rank, *out, spark.createDataFrame(s.history, HISTORY))
+        return FactorModel(s.rank, *out, spark.createDataFrame(s.history, HISTORY), tables)
+
+
+def _train(name: str, ratings: DataFrame, settings: dict, start: Callable, step: Callable) -> FactorModel:
+    """start(run) and step(run, iteration, scalars) give the scalars that the next step needs; None ends the training."""
+    s = Settings(**settings)
+    s.check(name)
+    spark = ratings.sparkSession
+    same = {"trainer": name} | {key: getattr(s, key) for key in SAME}
+    with Tables() as tables:
+        run = _Run(ratings, s)
+        found = progress.latest(spark, s.progress, same, s.iterations) if s.progress else None
+        if found:
+            done, scalars, run.state = found.iteration, found.scalars, found.states
+            s.history[:] = found.history
+        else:
+            done, scalars = 0, start(run)
+        for i in range(done + 1, s.iterations + 1):
+            scalars = step(run, i, scalars)
+            if scalars is None:
+                break
+            if s.progress and i % s.interval == 0:
+                progress.save(spark, s.progress, progress.Progress(i, scalars, run.state, s.history), same)
+        return run.model(tables)
 
 
 def train_als(ratings: DataFrame, **settings) -> FactorModel:
@@ -140,102 +189,104 @@ def train_als(ratings: DataFrame, **settings) -> FactorModel:
 
     A pass over the ratings by item gives the items' gradient and the next items; the loss is in the users' sums.
     """
-    s = Settings(**settings)
-    s.check("als")
-    run = _Run(ratings, s)
-    if s.implicit:
-        s.note(0, None, None, None, None)
-        for i in range(1, s.iterations + 1):
-            for key in ("item", "user"):
-                run.replace(**{key: run.half(key, run.state[run.other(key)])})
-            s.note(i, None, None, None, None)
-        return run.model()
-    x, grad = F.col("factor"), F.col("grad")
-    norm = F.lit(float(s.ridge)) * F.col("n") * dot(x, x, s.rank)
-    run.replace(item=run.both("item", run.state["item"], run.state["user"]))
-    start = run.state["item"].agg(F.sum("was")).first()[0] or 0.0
-    s.note(0, None, None, None, start + (run.state["user"].agg(F.sum(norm)).first()[0] or 0.0))
-    for i in range(1, s.iterations + 1):
+
+    def start(run: _Run) -> dict:
+        run.replace(item=run.solve("item", run.state["item"], run.state["user"]))
+        value = exact_sums(run.state["user"].select(run.norm().alias("v")).union(run.state["item"].select("was")), F.col("v"))
+        run.s.note(0, None, None, None, value[0])
+        return {}
+
+    def step(run: _Run, i: int, scalars: dict) -> dict:
+        grad = F.col("grad")
         items = run.state["item"].select("id", "n", F.col("solved").alias("factor"))
-        users = normal_equations(run.by["user"], "user", items, s.rank)
-        run.replace(user=solve(users, s.rank, s.ridge, s.nonnegative).select("id", "n", F.col("solved").alias("factor"), "loss", F.lit(0.0).alias("square")))
-        run.replace(item=run.both("item", items, run.state["user"]))
+        run.replace(user=run.solve("user", None, items).select("id", "n", F.col("solved").alias("factor"), "loss"))
+        run.replace(item=run.solve("item", items, run.state["user"]))
         # the users' gradient is zero after their own step
-        ends = run.state["user"].select("loss", "square").union(run.state["item"].select(norm, dot(grad, grad, s.rank)))
-        loss, square = ends.agg(F.sum("loss"), F.sum("square")).first()
-        s.note(i, None, None, math.sqrt(square or 0.0), loss or 0.0)
-    return run.model()
+        ends = run.state["user"].select(F.col("loss").alias("v"), F.lit(0.0).alias("g")).union(run.state["item"].select(run.norm(), dot(grad, grad, run.s.rank)))
+        loss, square = exact_sums(ends, F.col("v"), F.col("g"))
+        run.s.note(i, None, None, math.sqrt(square), loss)
+        return {}
+
+    return _train("als", ratings, settings, start, step)
 
 
 def train_ncg(ratings: DataFrame, **settings) -> FactorModel:
     """Nonlinear conjugate gradient (Polak and Ribiere, restarted where beta is negative)."""
-    s = Settings(**settings)
-    s.check("ncg")
-    run, k = _Run(ratings, s), s.rank
     g, p, old = F.col("grad"), F.col("p"), F.col("old")
 
-    def graded() -> dict[str, DataFrame]:
-        return {key: run.state[key].join(O.gradient(run.by[key], key, run.state[key], run.state[run.other(key)], k, s.ridge), "id") for key in SIDES}
-
-    run.replace(**graded())
-    gg = run.sums(gg=dot(g, g, k))["gg"]
-    run.state = {key: df.withColumn("p", scale(-1.0, g, k)) for key, df in run.state.items()}
-    s.note(0, None, None, math.sqrt(gg), O.cost(run.by["user"], run.state["user"], run.state["item"], k, s.ridge))
-    alpha, pp = 1.0, gg
-    for i in range(1, s.iterations + 1):
+    def graded(run: _Run, *keep: str) -> None:
+        was = dict(run.state)
+        run.replace(**{key: run.grade(key, was[key], was[other(key)], keep) for key in SIDES})
+
+    def start(run: _Run) -> dict:
+        k = run.s.rank
+        graded(run)
+        gg, users, norms = run.sums(dot(g, g, k), F.col("error"), run.norm())
+        error = users / 2  # each rating is in both sides' sums
+        if run.s.implicit:
+            error += float((gram(run.state["user"], k) * gram(run.state["item"], k)).sum())
+        run.state = {key: df.withColumn("p", scaled(-1.0, g)) for key, df in run.state.items()}
+        run.s.note(0, None, None, math.sqrt(gg), error + norms)
+        return {"alpha": 1.0, "pp": gg}
+
+    def step(run: _Run, i: int, scalars: dict) -> dict | None:
+        k, pp = run.s.rank, scalars["pp"]
         if pp <= 0:
-            break
+            return None
         # the step is searched along the direction at length 1, the recurrence keeps it as it was
         raw, length = run.state, math.sqrt(pp)
-        run.state = {key: df.withColumn("raw", p).withColumn("p", scale(1 / length, p, k)) for key, df in raw.items()}
-        alpha, loss = run.line([2 * abs(alpha), 500.0])
-        run.state = {key: df.select("id", "n", axpy(alpha, p, F.col("factor"), k).alias("factor"), g.alias("old"), F.col("raw").alias("p")) for key, df in run.state.items()}
-        run.replace(**graded())
-        t = run.sums(gg=dot(g, g, k), go=dot(g, old, k), oo=dot(old, old, k), gp=dot(g, p, k), pp=dot(p, p, k))
-        beta = (t["gg"] - t["go"]) / t["oo"] if t["oo"] else 0.0
+        run.state = {key: df.withColumn("raw", p).withColumn("p", scaled(1 / length, p)) for key, df in raw.items()}
+        alpha, loss = run.line([2 * abs(scalars["alpha"]), 500.0])
+        run.state = {key: df.select("id", "n", mixed(alpha, p, 1.0, F.col("factor")).alias("factor"), g.alias("old"), F.col("raw").alias("p")) for key, df in run.state.items()}
+        graded(run, "old", "p")
+        gg, go, oo, gp, dd = run.sums(dot(g, g, k), dot(g, old, k), dot(old, old, k), dot(g, p, k), dot(p, p, k))
+        beta = (gg - go) / oo if oo else 0.0
         restart = beta < 0 or alpha == 0
-        run.state = {key: df.withColumn("p", scale(-1.0, g, k) if restart else axpby(-1.0, g, beta, p, k)) for key, df in run.state.items()}
-        pp = t["gg"] if restart else t["gg"] - 2 * beta * t["gp"] + beta**2 * t["pp"]
-        s.note(i, alpha, beta, math.sqrt(t["gg"]), loss)
-    return run.model()
+        run.state = {key: df.withColumn("p", scaled(-1.0, g) if restart else mixed(-1.0, g, beta, p)) for key, df in run.state.items()}
+        run.s.note(i, alpha, beta, math.sqrt(gg), loss)
+        return {"alpha": alpha, "pp": gg if restart else gg - 2 * beta * gp + beta**2 * dd}
+
+    return _train("ncg", ratings, settings, start, step)
 
 
 def train_pncg(ratings: DataFrame, **settings) -> FactorModel:
     """Conjugate gradient preconditioned by a round of alternating least squares: users, then items from the new users."""
-    s = Settings(**settings)
-    s.check("pncg")
-    run, k = _Run(ratings, s), s.rank
     x, g, pre, p = (F.col(c) for c in ("factor", "grad", "pre", "p"))
 
-    def advance() -> None:
-        """States with the gradient and the preconditioned one, x minus the round's result; columns beside stay."""
-        step = axpby(1.0, x, -1.0, F.col("solved"), k)
-        was, old = run.state, list(run.written.values())
-        users = cut(run.both("user", was["user"], was["item"]).drop("loss", "was"))
-        solved = run.half("item", users.select("id", F.col("solved").alias("factor"))).select("id", F.col("factor").alias("solved"))
-        items = was["item"].join(solved, "id").join(O.gradient(run.by["item"], "item", was["item"], was["user"], k, s.ridge), "id")
-        items = cut(items.withColumn("pre", step).drop("solved"))
+    def advance(run: _Run, *keep: str) -> None:
+        """States with the gradient and the preconditioned one, x minus the round's result; two passes over the ratings."""
+        step = mixed(1.0, x, -1.0, F.col("solved"))
+        was, spent = run.state, list(run.written.values())
+        users = cut(run.solve("user", was["user"], was["item"], keep=keep))
+        items = cut(run.solve("item", was["item"], users, "solved", "factor", keep))
         run.written = {"user": users, "item": items}
-        run.state = {"user": users.withColumn("pre", step).drop("solved"), "item": items}
-        drop(*old)
-
-    advance()
-    t = run.sums(gg=dot(g, g, k), gp=dot(g, pre, k))
-    run.state = {key: df.withColumn("p", scale(-1.0, pre, k)) for key, df in run.state.items()}
-    s.note(0, None, None, math.sqrt(t["gg"]), O.cost(run.by["user"], run.state["user"], run.state["item"], k, s.ridge))
-    for i in range(1, s.iterations + 1):
-        if t["gp"] == 0:
-            break
+        run.state = {key: df.withColumn("pre", step).drop("solved", "loss") for key, df in run.written.items()}
+        drop(*spent)
+
+    def start(run: _Run) -> dict:
+        k = run.s.rank
+        advance(run)
+        gg, gp = run.sums(dot(g, g, k), dot(g, pre, k))
+        value = exact_sums(run.state["item"].select(run.norm().alias("v")).union(run.state["user"].select("was")), F.col("v"))
+        run.state = {key: df.withColumn("p", scaled(-1.0, pre)) for key, df in run.state.items()}
+        run.s.note(0, None, None, math.sqrt(gg), value[0])
+        return {"gp": gp}
+
+    def step(run: _Run, i: int, scalars: dict) -> dict | None:
+        k, before = run.s.rank, scalars["gp"]
+        if before == 0:
+            return None
         alpha, loss = run.line([0.0, 2.0])
-        run.state = {key: df.select("id", "n", axpy(alpha, p, x, k).alias("factor"), pre.alias("old"), "p") for key, df in run.state.items()}
-        advance()
-        before = t["gp"]
-        t = run.sums(gg=dot(g, g, k), gp=dot(g, pre, k), go=dot(g, F.col("old"), k))
-        beta = (t["gp"] - t["go"]) / before
+        run.state = {key: df.select("id", "n", mixed(alpha, p, 1.0, x).alias("factor"), pre.alias("old"), "p") for key, df in run.state.items()}
+        advance(run, "old", "p")
+        gg, gp, go = run.sums(dot(g, g, k), dot(g, pre, k), dot(g, F.col("old"), k))
+        beta = (gp - go) / before
         restart = beta < 0 or alpha == 0
-        run.state = {key: df.withColumn("p", scale(-1.0, pre, k) if restart else axpby(-1.0, pre, beta, p, k)) for key, df in run.state.items()}
-        s.note(i, alpha, beta, math.sqrt(t["gg"]), loss)
-    return run.model()
+        run.state = {key: df.withColumn("p", scaled(-1.0, pre) if restart else mixed(-1.0, pre, beta, p)) for key, df in run.state.items()}
+        run.s.note(i, alpha, beta, math.sqrt(gg), loss)
+        return {"gp": gp}
+
+    return _train("pncg", ratings, settings, start, step)
 
 
 TRAINERS = {"als": train_als, "ncg": train_ncg, "pncg": train_pncg}

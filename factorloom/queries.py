@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.vectors import axpby, axpy, dot, lattice, lattice_sql, random_unit, scale
 from factorloom.operators import blocks as B
+from factorloom.operators import exchange as X
 from factorloom.operators import normal_equations as N
 from factorloom.operators import objective as O
 from factorloom.operators.solvers import minimize
 from factorloom.plans import model as M
-from factorloom.plans.lineage import scratch
+from factorloom.plans.lineage import cut, scratch
 from factorloom.plans.trainers import train_als, train_ncg, train_pncg
 from factorloom.sources import ratings as S
 
@@ -251,16 +252,24 @@ def newton_minimize(spark, d):
     return spark.createDataFrame([(alpha,)], "alpha double").select(r("alpha", 1e6).alias("alpha"))
 
 
+def _routed_half(ratings: DataFrame, key: str, factors: DataFrame) -> DataFrame:
+    """(id, factor): a half-step in which factors go to the blocks of ratings that need them."""
+    partitions = int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = X.deal(ratings, key, B.counts(ratings, key), partitions)
+    out = cut(X.run(dealt, X.solving(2, RIDGE), factors).select("id", F.col("solved").alias("factor")))
+    dealt.unpersist()
+    return out
+
+
 def als_half_step(spark, d):
     ratings = S.customer_part(spark, d)
-    return entries(N.half_step(ratings, "user", side(ratings, "item", 2), 2, RIDGE), "factor")
+    return entries(_routed_half(ratings, "user", side(ratings, "item", 2)), "factor")
 
 
 def als_one_iter(spark, d):
     """Items from the lattice users, then users from those items."""
     ratings = S.customer_part(spark, d)
-    items = N.half_step(ratings, "item", side(ratings, "user", 2), 2, RIDGE)
-    return entries(N.half_step(ratings, "user", items, 2, RIDGE), "factor")
+    return entries(_routed_half(ratings, "user", _routed_half(ratings, "item", side(ratings, "user", 2))), "factor")
 
 
 def als_implicit_half_step(spark, d):
@@ -304,6 +313,24 @@ def implicit_gradient_item(spark, d):
     return _implicit_gradient(spark, d, "item")
 
 
+def _preferences(spark, d):
+    """R1 less 10: what is over 0 is a preference; and both sides with the numbers of their preferences."""
+    ratings = S.customer_part(spark, d).withColumn("rating", F.col("rating") - 10)
+    seen = {key: ratings.groupBy(F.col(key).alias("id")).agg(F.count_if(F.col("rating") > 0).alias("seen")) for key in ("user", "item")}
+    return ratings, *(side(ratings, key, 2).join(n, "id").withColumn("n", F.col("seen").cast("double")).drop("seen") for key, n in seen.items())
+
+
+def implicit_cost(spark, d):
+    """The implicit objective, over all pairs of users and items."""
+    cost = O.implicit_cost(*_preferences(spark, d), 2, RIDGE, ALPHA)
+    return spark.createDataFrame([(cost,)], "cost double").select(r("cost", 10.0).alias("cost"))
+
+
+def implicit_ray_coefficients(spark, d):
+    c = O.implicit_ray(*_preferences(spark, d), 2, RIDGE, ALPHA)
+    return spark.createDataFrame([tuple(c)], ", ".join(f"c{i} double" for i in range(5))).select(*(r(f"c{i}", 10.0).alias(f"c{i}") for i in range(5)))
+
+
 def _steps(trainer, spark, d, steps=1):
     model = trainer(S.customer_part(spark, d), rank=2, iterations=steps, ridge=RIDGE, init="lattice")
     rows = model.user_factors.select("id", F.posexplode("features").alias("j", "v"))
@@ -314,6 +341,13 @@ def pncg_one_step(spark, d):
     return _steps(train_pncg, spark, d)
 
 
+def pncg_implicit_one_step(spark, d):
+    ratings = S.customer_part(spark, d).withColumn("rating", F.col("rating") - 10)
+    model = train_pncg(ratings, rank=2, iterations=1, ridge=RIDGE, init="lattice", implicit=True, alpha=ALPHA)
+    rows = model.user_factors.select("id", F.posexplode("features").alias("j", "v"))
+    return rows.select("id", F.col("j").cast("long").alias("j"), r("v", 100.0).alias("value"))
+
+
 def ncg_one_step(spark, d):
     return _steps(train_ncg, spark, d)
 
@@ -351,6 +385,11 @@ def train_nonnegative_history(spark, d):
     return _history(train_als, spark, d, nonnegative=True)
 
 
+def train_implicit_history(spark, d):
+    """Rows only: the implicit objective under conjugate gradients."""
+    return train_pncg(S.user_key(spark, d), rank=4, iterations=3, ridge=RIDGE, implicit=True, alpha=ALPHA).history
+
+
 def train_implicit_factors(spark, d):
     """Rows only."""
     model = train_als(S.user_key(spark, d), rank=4, iterations=3, ridge=RIDGE, implicit=True, alpha=ALPHA)
@@ -384,7 +423,8 @@ QUERIES = {
         factor_norm2, embedding_norm2, gram_matrix, gram_ray, normal_equations, normal_equations_batched, squared_error,
         tikhonov_norm, mf_cost, ray_norms, ray_coefficients, gradient_user, gradient_item, gradient_norm, newton_minimize,
         als_half_step, als_one_iter, als_implicit_half_step, nnls_half_step, preconditioned_gradient,
-        preconditioned_gradient_item, implicit_gradient_user, implicit_gradient_item, pncg_one_step, ncg_one_step,
+        preconditioned_gradient_item, implicit_gradient_user, implicit_gradient_item, implicit_cost,
+        implicit_ray_coefficients, pncg_one_step, pncg_implicit_one_step, train_implicit_history, ncg_one_step,
         pncg_two_steps, ncg_two_steps, train_als_history, train_ncg_history, train_pncg_history, train_nonnegative_history,
         train_implicit_factors, predict, rmse, weighted_rmse,
     )
@@ -543,6 +583,30 @@ def oracles() -> dict[str, str]:
         f"sys AS (SELECT u, sum(m * y0 * y0) + any_value(a) + {RIDGE} * count(*) FILTER (seen) AS a00, sum(m * y0 * y1) + any_value(b) AS a01, sum(m * y1 * y1) + any_value(c) + {RIDGE} * count(*) FILTER (seen) AS a11, "
         f"sum(CASE WHEN seen THEN (1 + m) * y0 ELSE 0 END) AS b0, sum(CASE WHEN seen THEN (1 + m) * y1 ELSE 0 END) AS b1 FROM part, yy GROUP BY u), new AS ({_solved('sys', 'u')}) " + _rows("new", values)
     )
+    # the implicit objective over all pairs; n counts preferences
+    liked = _base(2, signed).replace("count(*) AS n", "count(*) FILTER (v > 0) AS n")
+    all_pairs = lambda users, items: (
+        f"wide_pairs AS (SELECT {_dot('x', 'y', 2)} AS e, {_dot('x', 'q', 2)} + {_dot('p', 'y', 2)} AS s, {_dot('p', 'q', 2)} AS t FROM {users}, {items}), "
+        f"rated AS (SELECT 1 + {ALPHA}e0 * v AS c, {_dot('x', 'y', 2)} AS e, {_dot('x', 'q', 2)} + {_dot('p', 'y', 2)} AS s, {_dot('p', 'q', 2)} AS t FROM r JOIN {users} USING (u) JOIN {items} USING (i) WHERE v > 0), "
+        "wide AS (SELECT sum(e * e) AS w0, sum(2 * e * s) AS w1, sum(s * s + 2 * e * t) AS w2, sum(2 * s * t) AS w3, sum(t * t) AS w4 FROM wide_pairs), "
+        "part AS (SELECT sum(c * (e - 1) * (e - 1) - e * e) AS d0, sum(2 * c * (e - 1) * s - 2 * e * s) AS d1, sum(c * (s * s + 2 * (e - 1) * t) - s * s - 2 * e * t) AS d2, sum(2 * (c - 1) * s * t) AS d3, sum((c - 1) * t * t) AS d4 FROM rated), "
+        f"c AS (SELECT w0 + d0 + {norm(users, 'x', 'x')} + {norm(items, 'y', 'y')} AS c0, w1 + d1 + 2 * ({norm(users, 'x', 'p')} + {norm(items, 'y', 'q')}) AS c1, "
+        f"w2 + d2 + {norm(users, 'p', 'p')} + {norm(items, 'q', 'q')} AS c2, w3 + d3 AS c3, w4 + d4 AS c4 FROM wide, part)"
+    )
+    norm = lambda table, a, b: f"(SELECT {RIDGE} * sum(n * {_dot(a, b, 2)}) FROM {table})"
+    out["implicit_cost"] = f"{liked}, {all_pairs('us', 'it')} SELECT {q('c0', '10e0')} AS cost FROM c"
+    out["implicit_ray_coefficients"] = f"{liked}, {all_pairs('us', 'it')} SELECT {', '.join(f'{q(f"c{j}", "10e0")} AS c{j}' for j in range(5))} FROM c"
+    sure = f"CASE WHEN v > 0 THEN {ALPHA}e0 * v ELSE 0 END"
+    wants = lambda key, table, a, b, gram: (
+        f"SELECT r.{key}, sum({sure} * {a} * {a}) + any_value(ya) + {RIDGE} * count(*) FILTER (v > 0) AS a00, sum({sure} * {a} * {b}) + any_value(yb) AS a01, sum({sure} * {b} * {b}) + any_value(yc) + {RIDGE} * count(*) FILTER (v > 0) AS a11, "
+        f"sum(CASE WHEN v > 0 THEN (1 + {sure}) * {a} ELSE 0 END) AS b0, sum(CASE WHEN v > 0 THEN (1 + {sure}) * {b} ELSE 0 END) AS b1 FROM r JOIN {table} USING ({'i' if key == 'u' else 'u'}), {gram} GROUP BY r.{key}"
+    )
+    all_of = lambda name, table, a, b: f"{name} AS (SELECT sum({a} * {a}) AS ya, sum({a} * {b}) AS yb, sum({b} * {b}) AS yc FROM {table})"
+    out["pncg_implicit_one_step"] = (
+        f"{liked}, {all_of('yy', 'it', 'y0', 'y1')}, usys AS ({wants('u', 'it', 'y0', 'y1', 'yy')}), unew AS ({_solved('usys', 'u')}), {all_of('xx', 'unew', 's0', 's1')}, isys AS ({wants('i', 'unew', 's0', 's1', 'xx')}), inew AS ({_solved('isys', 'i')}), "
+        "ud AS (SELECT u, n, x0, x1, s0 - x0 AS p0, s1 - x1 AS p1 FROM us JOIN unew USING (u)), id AS (SELECT i, n, y0, y1, s0 - y0 AS q0, s1 - y1 AS q1 FROM it JOIN inew USING (i)), "
+        f"{all_pairs('ud', 'id')}, {_minimum(['0', '2'])}, done AS (SELECT * FROM ud, best) " + _rows("done", ["CAST(CAST(x0 + alpha * p0 AS FLOAT) AS DOUBLE)", "CAST(CAST(x1 + alpha * p1 AS FLOAT) AS DOUBLE)"], digits="100e0")
+    )
     low = R1.replace("l_quantity AS v", "l_quantity - 25 AS v")
     # of the four sets of components that may be above 0, the one whose solution is feasible and lowest
     value = "(a00 * z0 * z0 + 2 * a01 * z0 * z1 + a11 * z1 * z1) / 2 - b0 * z0 - b1 * z1"

@@ -177,14 +177,12 @@ def test_minimize():
 
 
 def test_trainer_arguments(sparse):
-    with pytest.raises(NotImplementedError):
-        train_pncg(sparse, implicit=True)
     with pytest.raises(NotImplementedError):
         train_ncg(sparse, nonnegative=True)
     with pytest.raises(ValueError):
         train_als(sparse, rank=0)
-    with pytest.warns(UserWarning):
-        train_pncg(sparse, rank=2, iterations=0, nonnegative=True)
+    with pytest.raises(ValueError):
+        train_als(sparse, interval=0)
 
 
 def test_implicit_and_predictions(spark, sparse, tmp_path):
