@@ -14,17 +14,21 @@ sends each of its hashes once, with a mark if it has it several times, so that a
 passage that a third of all documents share costs each block one entry; what
 gathers the hashes answers each block with those of its hashes that occur twice.
 Neither step ever puts the documents of a passage together, and no block, bucket
-or passage has a cap. Windows count as equal if two independent 64-bit hashes of their
-words are, anchors, which only nominate windows, if one is.
+or passage has a cap. Anchors, and a first hash of 64 bits, only nominate windows; these
+count as equal if a digest of their words themselves is, under a key that each run
+draws anew, so that no text can be made to collide.
 
 Defined cases: null and empty texts have no words; documents shorter than a
 window keep all words; repeated rows are separate documents and so remove each
-other's passages; null ids are kept as they are; other columns are ignored.
+other's passages; null ids are kept as they are; an empty table gives an empty
+table; a text of any length is one row of its block; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -59,12 +63,24 @@ class _Documents:
         self.at = np.arange(len(self.hash)) - np.repeat(self.first[:-1], counts)  # place in the document
         self.left = np.repeat(self.first[1:], counts) - np.arange(len(self.hash))  # words from here to its end
 
-    def windows(self, width: int, hashes: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """Places where a window fits into its document, and their hashes, a column for each."""
-        found = np.stack([W.window_hashes(self.hash, width, which) for which in range(hashes)], axis=1)
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places where a window fits into its document, and their hashes as one column."""
+        found = W.window_hashes(self.hash, width)[:, None]
         places = np.flatnonzero(self.left[: len(found)] >= width)
         return places, found[places]
 
+    def told(self, places: np.ndarray, hashes: np.ndarray, width: int, key: bytes) -> np.ndarray:
+        """The hashes and beside them a keyed digest of each window's words, joined by one space."""
+        lengths = self.ends - self.starts
+        begin = np.concatenate([[0], np.cumsum(lengths + 1)])
+        joined, inside = np.full(int(begin[-1]), 0x20, np.uint8), np.ones(int(begin[-1]), bool)
+        inside[begin[1:] - 1] = False
+        joined[inside] = self.data[~W.SPACE[self.data]]
+        text = memoryview(joined.tobytes())
+        ranges = zip(begin[places].tolist(), (begin[places + width] - 1).tolist(), strict=True)
+        digests = b"".join(hashlib.blake2b(text[a:b], digest_size=8, key=key).digest() for a, b in ranges)
+        return np.concatenate([hashes, np.frombuffer(digests, np.uint64)[:, None]], axis=1)
+
 
 def _runs(rows: pa.Table, most: int = 1 << 21):
     """The block's rows in runs of about ``most`` bytes."""
@@ -194,6 +210,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n, buckets = _dealing(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, block_bytes)
     dealt = docs.withColumn("block", pmod(F.xxhash64("doc_id", "text"), n).cast("int"))
     schema = dealt.schema["doc_id"].dataType.simpleString()
+    key = os.urandom(16)
 
     def anchors(found: _Documents):
         places, hashes = found.windows(anchor)
@@ -209,15 +226,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for _, found in _runs(rows):
             places, hashes = anchors(found)
             near = _spread(places[_among(hashes, known)], period - 1, 0, len(found.hash))
-            places, hashes = found.windows(width, 2)
-            keys.append(hashes[near[places]])
+            places, hashes = found.windows(width)
+            near = near[places]
+            keys.append(found.told(places[near], hashes[near], width, key))
         block = (rows if rows.num_rows else replies).column("block")[0].as_py()
         return _send(block, keys, buckets, 2)
 
     def keep(rows: pa.Table, replies: pa.Table) -> pa.Table:
         known, out = _answers(replies, 2), []
+        first = known[_begins(known[:, :1])][:, :1]
         for part, found in _runs(rows):
-            places, hashes = found.windows(width, 2)
+            places, hashes = found.windows(width)
+            maybe = _among(hashes, first)
+            places, hashes = places[maybe], found.told(places[maybe], hashes[maybe], width, key)
             gone = _spread(places[_among(hashes, known)], 0, width - 1, len(found.hash))
             total = np.concatenate([[0], np.cumsum(gone)])
             removed = total[found.first[1:]] - total[found.first[:-1]]

@@ -207,6 +207,18 @@ def test_words_that_cancel_out_differ(spark, odd):
     assert Counter(map(tuple, substrings.digests(docs).collect())) == wanted
 
 
+def test_words_of_one_hash_differ(spark):
+    """Two words that the first hash can't tell apart; windows of them are told apart by their words."""
+    one, other = "DFU6ciZ6pt1AqZpz", "WQKA9FU7+ageToVp"
+    data = np.frombuffer(f"{one} {other}".encode(), np.uint8)
+    hashes = words.word_hashes(data, np.array([0, 17]), np.array([16, 33]))
+    assert hashes[0] == hashes[1]
+    mixed = [one if i % 3 else other for i in range(40)]
+    texts = [" ".join([one] * 35), " ".join([other] * 35), " ".join(mixed), " \t".join(mixed), " ".join(one if i % 3 else one for i in range(34))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.digests(docs).collect()) == [(0, 35, 0), (1, 35, 0), (2, 40, 40), (3, 40, 40), (4, 34, 0)]
+
+
 def test_word_hashes_are_of_the_bytes_alone():
     pick = random.Random(5)
     found = {}
