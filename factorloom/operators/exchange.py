@@ -376,3 +376,22 @@ def along(rank: int, implicit: bool = False, alpha: float = 1.0) -> Pass:
         return s.add(np.stack(c, axis=1))
 
     return Pass(rank, ("factor", "p"), ("factor", "p"), "c double", sums, lambda sums, x: [sums[:, 0]])
+
+
+def trying(rank: int, steps: list[tuple[float, str]], implicit: bool = False, alpha: float = 1.0) -> Pass:
+    """The ratings' part of the objective at each of some points of the orthant: max(0, factor + t d) on both sides.
+
+    steps: (t, the vector d).
+    """
+    vectors = ("factor", *dict.fromkeys(d for _, d in steps))
+
+    def sums(s: Slice) -> np.ndarray:
+        n, weight, right = weights(s.r, implicit, alpha)
+        out = []
+        for t, d in steps:
+            x, y = (np.maximum(v["factor"] + t * v[d], 0.0) for v in (s.x, s.y))
+            z = (x[s.of] * y).sum(axis=1)
+            out.append(weight * z * z - 2 * right * z + right if implicit else (z - right) ** 2)
+        return s.add(np.stack(out, axis=1))
+
+    return Pass(rank, vectors, vectors, "value double", sums, lambda sums, x: [sums[:, 0]])

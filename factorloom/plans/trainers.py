@@ -20,7 +20,7 @@ from factorloom.functions.exact import counted, exact_sums, totals
 from factorloom.functions.vectors import dot, lattice, mixed, random_unit, scaled
 from factorloom.operators import exchange as X
 from factorloom.operators import objective as O
-from factorloom.operators.normal_equations import gram
+from factorloom.operators.normal_equations import gram, grams
 from factorloom.operators.solvers import minimize
 from factorloom.plans import progress
 from factorloom.plans.lineage import Tables, cut, drop
@@ -148,6 +148,22 @@ class _Run:
             c = [a + b for a, b in zip(c, O.whole_ray(self.state["user"], self.state["item"], s.rank), strict=True)]
         return minimize(c, starts)
 
+    def tried(self, steps: list[tuple[float, str]]) -> tuple[float, str, float]:
+        """Of the steps (t, vector d) the one whose point max(0, factor + t d) is lowest, and the value there, from one pass."""
+        s = self.s
+        point = lambda t, d: F.zip_with(F.col("factor"), F.col(d), lambda x, y: F.greatest(x + y * t, F.lit(0.0)))
+        norms = [F.lit(float(s.ridge)) * F.col("n") * F.aggregate(point(t, d), F.lit(0.0), lambda a, v: a + v * v) for t, d in steps]
+        counts = X.scalars(self.by["user"], X.trying(s.rank, steps, s.implicit, s.alpha), self.state["item"], self.state["user"])
+        for key in SIDES:
+            counts = counts.union(counted(self.state[key], norms))
+        values = totals(counts, len(steps))
+        if s.implicit:
+            names = [(f"t{n}", f"t{n}") for n in range(len(steps))]
+            sides = [grams(self.state[key].select(*(point(t, d).alias(f"t{n}") for n, (t, d) in enumerate(steps))), s.rank, *names) for key in SIDES]
+            values = [v + float((a * b).sum()) for v, a, b in zip(values, *sides, strict=True)]
+        value, n = min((v, n) for n, v in enumerate(values))
+        return *steps[n], value
+
     def model(self, tables: Tables) -> FactorModel:
         s = self.s
         tables.keep(*self.written.values())
@@ -250,7 +266,12 @@ def train_ncg(ratings: DataFrame, **settings) -> FactorModel:
 
 
 def train_pncg(ratings: DataFrame, **settings) -> FactorModel:
-    """Conjugate gradient preconditioned by a round of alternating least squares: users, then items from the new users."""
+    """Conjugate gradient preconditioned by a round of alternating least squares: users, then items from the new users.
+
+    nonnegative: components at 0 that the direction would take below are held, and the step is searched along the path that
+    is cut off at 0: around the lowest point of the direction's own quartic, and on the way to the round's result, whose end
+    is never higher than the start. So the loss doesn't rise, and no iteration gains less than the round alone.
+    """
     x, g, pre, p = (F.col(c) for c in ("factor", "grad", "pre", "p"))
 
     def advance(run: _Run, *keep: str) -> None:
@@ -277,12 +298,21 @@ def train_pncg(ratings: DataFrame, **settings) -> FactorModel:
         if before == 0:
             return None
         alpha, loss = run.line([0.0, 2.0])
-        run.state = {key: df.select("id", "n", mixed(alpha, p, 1.0, x).alias("factor"), pre.alias("old"), "p") for key, df in run.state.items()}
+        if run.s.nonnegative:
+            run.state = {key: df.withColumn("back", scaled(-1.0, pre)) for key, df in run.state.items()}
+            alpha, along, loss = run.tried([*((alpha * f, "p") for f in (1.0, 0.5, 0.2, 2.0)), (1.0, "back"), (1.5, "back"), (2.0, "back")])
+            moved = F.transform(mixed(alpha, F.col(along), 1.0, x), lambda v: F.greatest(v, F.lit(0.0)))
+            run.state = {key: df.select("id", "n", moved.alias("factor"), pre.alias("old"), F.col(along).alias("p")) for key, df in run.state.items()}
+        else:
+            run.state = {key: df.select("id", "n", mixed(alpha, p, 1.0, x).alias("factor"), pre.alias("old"), "p") for key, df in run.state.items()}
         advance(run, "old", "p")
         gg, gp, go = run.sums(dot(g, g, k), dot(g, pre, k), dot(g, F.col("old"), k))
         beta = (gp - go) / before
         restart = beta < 0 or alpha == 0
-        run.state = {key: df.withColumn("p", scaled(-1.0, pre) if restart else mixed(-1.0, pre, beta, p)) for key, df in run.state.items()}
+        new = scaled(-1.0, pre) if restart else mixed(-1.0, pre, beta, p)
+        if run.s.nonnegative:
+            new = F.zip_with(x, new, lambda a, d: F.when((a <= 0) & (d < 0), 0.0).otherwise(d))
+        run.state = {key: df.withColumn("p", new) for key, df in run.state.items()}
         run.s.note(i, alpha, beta, math.sqrt(gg), loss)
         return {"gp": gp}
 

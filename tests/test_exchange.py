@@ -151,6 +151,23 @@ def test_implicit_training_descends(sparse, name):
         assert history[-1].grad_norm < history[0].grad_norm * 10 and history[1].alpha > 0
 
 
+@pytest.mark.parametrize("implicit", [False, True])
+def test_nonnegative_conjugate_gradients(spark, implicit):
+    """No factor below 0, a loss that never rises, and the minimum that more alternating steps go to."""
+    pick = random.Random(3)
+    u, v = ([[max(0.0, pick.gauss(0.3, 1)) for _ in range(2)] for _ in range(n)] for n in (20, 25))
+    rows = [(i, j, sum(a * b for a, b in zip(u[i], v[j], strict=True)) + pick.gauss(-0.2, 0.3)) for i in range(20) for j in range(25) if pick.random() < 0.6]
+    ratings = spark.createDataFrame(rows, SCHEMA)
+    same = {"rank": 2, "ridge": 0.01, "nonnegative": True, "seed": 4, "implicit": implicit, "alpha": 2.0}
+    model = train_pncg(ratings, iterations=12, **same)
+    losses = [r.loss for r in model.history.orderBy("iter").collect()]
+    assert all(b <= a * (1 + 1e-12) for a, b in zip(losses, losses[1:], strict=False))
+    factors = [np.array(r.features) for df in (model.user_factors, model.item_factors) for r in df.collect()]
+    assert min(f.min() for f in factors) >= 0 and any((f == 0).any() for f in factors)
+    alternating = train_als(ratings, iterations=18, **same).history.orderBy(F.desc("iter")).first().loss
+    assert losses[-1] <= alternating * 1.005
+
+
 def test_explicit_history_is_the_objective(sparse):
     rows = [tuple(r) for r in sparse.collect()]
     for train in (train_als, train_ncg, train_pncg):
