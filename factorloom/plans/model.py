@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.functions.vectors import dot
+from factorloom.operators.recommend import recommend
 from factorloom.plans.lineage import Tables
 
 
@@ -70,6 +71,18 @@ class FactorModel:
     def errors(self, ratings: DataFrame) -> DataFrame:
         return errors(self.predict(ratings))
 
+    def recommend_items(self, n: int, users: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
+        """(user, item, rank, prediction): the n best items of each user, or of those in ``users`` (id), but for pairs in ``seen``."""
+        mine = self.user_factors if users is None else self.user_factors.join(users.select("id").distinct(), "id", "left_semi")
+        return recommend(mine, self.item_factors, self.rank, n, seen)
+
+    def recommend_users(self, n: int, items: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
+        """(item, user, rank, prediction): the n best users of each item, or of those in ``items`` (id), but for pairs in ``seen``."""
+        mine = self.item_factors if items is None else self.item_factors.join(items.select("id").distinct(), "id", "left_semi")
+        seen = None if seen is None else seen.select(F.col("item").alias("user"), F.col("user").alias("item"))
+        found = recommend(mine, self.user_factors, self.rank, n, seen)
+        return found.select(F.col("user").alias("item"), F.col("item").alias("user"), "rank", "prediction")
+
     def save(self, path: str) -> None:
         spark = self.user_factors.sparkSession
         spark.createDataFrame([(json.dumps({"rank": self.rank}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")

@@ -15,6 +15,7 @@ from factorloom.operators import blocks as B
 from factorloom.operators import exchange as X
 from factorloom.operators import normal_equations as N
 from factorloom.operators import objective as O
+from factorloom.operators.recommend import recommend
 from factorloom.operators.solvers import minimize
 from factorloom.plans import model as M
 from factorloom.plans.lineage import cut, scratch
@@ -414,6 +415,25 @@ def weighted_rmse(spark, d):
     return M.weighted_rmse(_predicted(spark, d)).select(r("weighted_rmse").alias("weighted_rmse"))
 
 
+def _best(mine: DataFrame, others: DataFrame, seen: DataFrame) -> DataFrame:
+    features = [side.select("id", F.col("factor").alias("features")) for side in (mine, others)]
+    return recommend(*features, 3, 5, seen, block=64).select("user", "item", "rank", r("prediction").alias("prediction"))
+
+
+def recommend_items(spark, d):
+    """The five best parts of each customer that they haven't ordered."""
+    ratings = S.customer_part(spark, d)
+    return _best(*sides(ratings, 3), ratings)
+
+
+def recommend_users(spark, d):
+    """The five best customers of each part who haven't ordered it."""
+    ratings = S.customer_part(spark, d)
+    users, items = sides(ratings, 3)
+    seen = B.transposed(ratings).select(F.col("src").alias("user"), F.col("dst").alias("item"))
+    return _best(items, users, seen).select(F.col("item").alias("user"), F.col("user").alias("item"), "rank", "prediction")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -426,7 +446,7 @@ QUERIES = {
         preconditioned_gradient_item, implicit_gradient_user, implicit_gradient_item, implicit_cost,
         implicit_ray_coefficients, pncg_one_step, pncg_implicit_one_step, train_implicit_history, ncg_one_step,
         pncg_two_steps, ncg_two_steps, train_als_history, train_ncg_history, train_pncg_history, train_nonnegative_history,
-        train_implicit_factors, predict, rmse, weighted_rmse,
+        train_implicit_factors, predict, rmse, weighted_rmse, recommend_items, recommend_users,
     )
 }
 QUERIES["train_als"] = QUERIES.pop("train_als_history")
@@ -660,4 +680,7 @@ def oracles() -> dict[str, str]:
     out["rmse"] = f"{base} SELECT {q(f'sqrt(avg({off} * {off}))')} AS rmse, {q(f'max(abs({off}))')} AS max_error, count(*) AS n FROM {met}"
     miss = f"((CASE WHEN v > 0 THEN 1e0 ELSE 0e0 END) - {value})"
     out["weighted_rmse"] = f"{base} SELECT {q(f'sqrt(sum((1 + abs(v)) * {miss} * {miss}) / sum(1 + abs(v)))')} AS weighted_rmse FROM {met}"
+    for name, key, other in (("recommend_items", "u", "i"), ("recommend_users", "i", "u")):
+        pairs = f"SELECT u, i, {value} AS s, row_number() OVER (PARTITION BY {key} ORDER BY {value} DESC, {other}) AS place FROM us, it WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.u = us.u AND r.i = it.i)"
+        out[name] = f"{base}, best AS ({pairs} QUALIFY place <= 5) SELECT u AS user, i AS item, CAST(place AS INTEGER) AS rank, {q('s')} AS prediction FROM best"
     return out
