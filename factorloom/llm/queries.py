@@ -51,6 +51,11 @@ def chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_tools(table(spark, sf_dir, "conversations")))
 
 
+def chat_tool_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order across messages on every conversation: calls that wait for the results of later turns."""
+    return chat.digests(chat.with_waiting(table(spark, sf_dir, "conversations")))
+
+
 def op10_vecdup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -67,5 +72,5 @@ def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_byte_bpe, op3_substrings, op4_topk, op5_language, op6_mixing, op7_secrets, op8_neardup, op9_chat, op10_vecdup, op11_fim, op12_trie, op13_shards, chat_tool_calls)}
-ORACLES = {"op3_substrings": substrings.ORACLE, "op4_topk": topk.ORACLE, "op9_chat": chat.ORACLE, "chat_tool_calls": chat.TOOLS_ORACLE, "op10_vecdup": vecdup.ORACLE, "op11_fim": fim.ORACLE, "op12_trie": trie.ORACLE, "op13_shards": sharding.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_byte_bpe, op3_substrings, op4_topk, op5_language, op6_mixing, op7_secrets, op8_neardup, op9_chat, op10_vecdup, op11_fim, op12_trie, op13_shards, chat_tool_calls, chat_tool_order)}
+ORACLES = {"op3_substrings": substrings.ORACLE, "op4_topk": topk.ORACLE, "op9_chat": chat.ORACLE, "chat_tool_calls": chat.TOOLS_ORACLE, "chat_tool_order": chat.WAITING_ORACLE, "op10_vecdup": vecdup.ORACLE, "op11_fim": fim.ORACLE, "op12_trie": trie.ORACLE, "op13_shards": sharding.ORACLE}

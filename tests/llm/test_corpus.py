@@ -461,6 +461,28 @@ def test_calls_are_linked_ordered_and_checked(spark):
                 assert c["arguments"] == json.dumps(json.loads(c["arguments"]), sort_keys=True, separators=(",", ":")) if c["arguments"].startswith("{") else True
 
 
+def test_messages_wait_for_results_of_later_turns(spark):
+    call = lambda name, *needs: (name, "search", {"query": [{"$result": n} for n in needs]} if needs else {"query": name})
+    told = lambda name: json.dumps({"tool_call_id": name, "content": name.upper()})
+    rows = [
+        # a waits for b of a later turn, which waits for c of a still later one; d shares a message with a
+        (1, 1, "assistant", tools(call("a", "b"), call("d"))), (1, 2, "user", "two"), (1, 3, "assistant", tools(call("b", "c"))), (1, 4, "assistant", tools(call("e", "d"))),
+        (1, 5, "assistant", tools(call("c"))), (1, 5, "user", "five"), (1, 6, "user", "six"), *((1, 7, "tool", told(n)) for n in "abcd"),
+        # a ring across two messages, and one that waits for it; another message of the conversation still moves
+        (2, 1, "assistant", tools(call("x", "y"))), (2, 2, "assistant", tools(call("y", "x"))), (2, 3, "assistant", tools(call("z", "x"))), (2, 4, "assistant", tools(call("v", "w"))), (2, 5, "assistant", tools(call("w"))),
+        # of one turn, against the order of their texts; and without a turn
+        (3, 1, "assistant", tools(call("a", "b"))), (3, 1, "assistant", tools(call("b"))), (3, None, "assistant", tools(call("n", "b"))), (3, 0, "user", "first"),
+        # earlier results move nothing
+        (4, 1, "assistant", tools(call("a"))), (4, 2, "user", "u"), (4, 3, "assistant", tools(call("b", "a"))), (None, 1, "assistant", tools(call("a", "zz"))),
+    ]
+    got = chats(spark, rows)
+    said = lambda k: ["".join(c["id"] for c in m["tool_calls"]) if "tool_calls" in m else m["content"] for m in json.loads(got[k].messages)]
+    assert said(1) == ["two", "five", "c", "C", "b", "B", "da", "D", "A", "e", "six"]
+    assert said(2) == ["x", "y", "z", "w", "v"] and got[2].n_cyclic == 3
+    assert said(3)[:2] == ["first", "b"] and sorted(said(3)[2:]) == ["a", "n"]
+    assert said(4) == ["a", "u", "b"]
+
+
 def test_schemas(spark):
     schema = {
         "type": "object", "title": "a note", "required": ["unit", "at"], "additionalProperties": False,
