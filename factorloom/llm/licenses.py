@@ -2,8 +2,10 @@
 
 A template is wording with two marks. ``<<beginOptional>> .. <<endOptional>>``
 may be absent as a whole; ``<<var;name=..;original=..;match=..>>`` stands for any
-words: a to b of them with ``words=a-b``, what ``.{a,b}`` characters can hold with a
-``match`` of that form (b up to 200), and any number otherwise. Everything else is
+words: a to b of them with ``words=a-b``, as many as ``.{a,b}`` characters can hold with a
+``match`` of that form whatever b is (characters themselves aren't counted), one of the
+wordings with a ``match`` of wordings parted by ``|``, and any number with ``.+``, ``.*``,
+``.{a,}`` or no ``match``. Any other ``match`` is an error. Everything else is
 mandatory and must match word for word. Optional parts may nest. Marks before the
 first mandatory word ask for nothing and are passed over, so published templates
 with their optional titles and copyright lines can be loaded as they are.
@@ -15,7 +17,8 @@ such word, the words the automaton accepts from there (a template at most, or up
 the text's end after a replaceable region without a greatest length).
 
 Words are runs of digits, ASCII letters (lower-cased) and any other character
-beyond ASCII. Defined cases: null and empty texts have no words and no places;
+beyond ASCII. Defined cases: null and empty texts have no words and no places; an
+empty table gives no rows;
 long texts are scanned in runs that overlap by the longest template (in one run, if
 a template has no greatest length); repeated
 rows give repeated results; null ids are kept; other columns are ignored.
@@ -136,17 +139,30 @@ _TABLE = bytes(i + 32 if 65 <= i < 91 else i if i > 127 or 48 <= i < 58 or 97 <=
 MARK = re.compile(r"<<\s*(beginOptional|endOptional|var)((?:\"[^\"]*\"|[^>\"])*)>>")
 
 
-def region(rules: str) -> tuple[int, int | None]:
-    """The fewest and most words (None: any number) that a replaceable region stands for."""
-    if found := re.search(r"words=(\d+)-(\d+)", rules):
-        return int(found[1]), int(found[2])
-    if found := re.search(r"match=\"?\.\{(\d+),(\d+)\}", rules):
-        least, most = int(found[1]), int(found[2])
-        if most <= 200:  # a word and what parts it from the next take two characters
-            return min(least, 1), (most + 1) // 2
-        return min(least, 1), None
-    return (1 if re.search(r"match=\"?\.\+", rules) else 0), None
+class Region(NamedTuple):
+    """What a replaceable region stands for: ``least`` to ``most`` words (None: any number), or one of the wordings."""
+
+    least: int
+    most: int | None
+    wordings: tuple[tuple[bytes, ...], ...] = ()
+
 
+def region(rules: str) -> Region:
+    if found := re.search(r"words=(\d+)-(\d+)", rules):
+        return Region(int(found[1]), int(found[2]))
+    given = re.search(r"match=(?:\"([^\"]*)\"|([^;]*))", rules)
+    match = ".*" if given is None else (given[1] if given[1] is not None else given[2]).strip()
+    if match in (".*", ".+"):
+        return Region(int(match == ".+"), None)
+    if found := re.fullmatch(r"\.\{(\d*),(\d*)\}", match):
+        least = min(int(found[1] or 0), 1)
+        # a word and what parts it from the next take two characters
+        return Region(least, (int(found[2]) + 1) // 2 if found[2] else None)
+    if found := re.fullmatch(r"\((?:\?:)?([^()]*)\)|([^()]*)", match):
+        wordings = found[1] if found[1] is not None else found[2]
+        if re.fullmatch(r"[\w\s|,:;'/-]+", wordings):  # nothing that a pattern would read as a sign
+            return Region(0, 0, tuple(tuple(words_of(w.encode())) for w in wordings.split("|")))
+    raise ValueError(f"a region's match isn't known: {match}")
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -221,8 +237,15 @@ class Automaton:
                 self.skips[open_.pop()].append(new)
                 at = new
             elif k % 3 == 1:
-                least, most = region(parts[k + 1])
-                end = self._node()
+                least, most, wordings = region(parts[k + 1])
+                begun, end = at, self._node()
+                for wording in wordings:
+                    at = begun
+                    for word in wording:
+                        new = self._node()
+                        self.moves[at].setdefault(word, []).append(new)
+                        at, length = new, length + 1
+                    self.skips[at].append(end)
                 if most is None:
                     loop, endless = self._node(), True
                     self.any[loop].append(loop)
@@ -233,7 +256,7 @@ class Automaton:
                         new = loop if n == least - 1 else self._node()
                         self.any[at].append(new)
                         at = new
-                for n in range(-1 if most is None else most + 1):
+                for n in range(-1 if most is None or wordings else most + 1):
                     if n >= least:
                         self.skips[at].append(end)
                     if n < most:

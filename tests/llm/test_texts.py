@@ -97,6 +97,21 @@ def test_published_markup():
         assert bool(machine.scan(text.encode())[1]) == wanted, text
 
 
+def test_regions_hold_what_their_match_says():
+    found = lambda match, text: bool(licenses.Automaton({"t": f'granted by <<var;name="x";original="";match="{match}">> to all'}).scan(text.encode())[1])
+    long = lambda n: "granted by " + "x " * n + "to all"
+    assert found(".{0,5000}", long(2500)) and not found(".{0,5000}", long(2501)) and not found(".{0,5000}", long(20_000))
+    assert found(".{0,200}", long(100)) and not found(".{0,200}", long(101)) and found(".{0,}", long(20_000)) and found(".+", long(20_000))
+    assert not found(".+", long(0)) and not found(".{1,20}", long(0)) and found(".{0,20}", long(0))
+    for match in ("MIT|ISC|the holder", "(MIT|ISC|the holder)", "(?:MIT|ISC|the holder)"):
+        assert all(found(match, f"granted by {w} to all") for w in ("MIT", "isc", "The Holder"))
+        assert not any(found(match, f"granted by {w} to all") for w in ("", "the", "proprietary no licence at all", "MIT ISC"))
+    assert found("(holder|)", "granted by to all")
+    for match in ("[0-9]+", "a(b|c)d", "x.y", "\\d", "a{2}"):
+        with pytest.raises(ValueError):
+            licenses.region(f'name="x";match="{match}"')
+
+
 def test_mit_text_with_holder_and_long_runs():
     text = re.sub(r"<<var[^>]*>>", "THE AUTHORS OR COPYRIGHT HOLDERS", licenses.TEMPLATES["mit-text"])
     text = re.sub(r"<<[^>]*>>", "", text)
