@@ -17,8 +17,9 @@ only one of its ends visits counts for both.
 Defined cases: a row whose label or vector is null, or whose vector is zero, empty
 or holds a null or non-finite component, links with nothing and is its own
 component; vectors are compared with those of their own length; repeated rows are
-separate vectors; a null id names no component. Vectors are told apart by 64 bits of
-a hash. Other columns are ignored.
+separate vectors; a null id names no component; an empty table gives no rows, and a
+vector has no greatest length. Vectors are told apart by 64 bits of a hash. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -115,8 +116,12 @@ def _roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.
         row, col = new, new_col
 
 
-def links(nodes: DataFrame, grid_of: dict[int, Grid], threshold: float, block: int = 1024, groups: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(node, links) sums and (a, b) spanning links of nodes (node, label, v, weight); ``grid_of``: by vector length."""
+def links(nodes: DataFrame, grid_of: dict[int, Grid], threshold: float, block: int = 1024, groups: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(node, links) sums and (a, b) spanning links of nodes (node, label, v, weight); ``grid_of``: by vector length.
+
+    groups: how many groups the pairs of blocks are dealt into; if not given, as many as hold about 65,536 rows each, those
+    that a hot cell's blocks repeat included.
+    """
     spark = nodes.sparkSession
     sent = spark.sparkContext.broadcast(grid_of)
 
@@ -136,10 +141,12 @@ def links(nodes: DataFrame, grid_of: dict[int, Grid], threshold: float, block: i
     schema = f"node long, label {nodes.schema['label'].dataType.simpleString()}, v array<{nodes.schema['v'].dataType.elementType.simpleString()}>, weight long, home long, cells array<long>"
     placed = cut(nodes.select("node", "label", "v", "weight").mapInArrow(place, schema).withColumn("dim", F.size("v")))
     cell = ["label", "dim", "cell"]
-    lying = placed.groupBy("label", "dim", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / block).alias("blocks"))
-    asking = placed.select("label", "dim", F.explode("cells").alias("cell")).groupBy(*cell).agg(F.ceil(F.count("*") / block).alias("q_blocks"))
+    lying = placed.groupBy("label", "dim", F.col("home").alias("cell")).agg(F.count("*").alias("n"), F.ceil(F.count("*") / block).alias("blocks"))
+    asking = placed.select("label", "dim", F.explode("cells").alias("cell")).groupBy(*cell).agg(F.count("*").alias("q"), F.ceil(F.count("*") / block).alias("q_blocks"))
     # a cell nobody visits or nobody lies in gives nothing; cut, so that the joins below can split a hot cell
     cells = cut(lying.join(asking, cell))
+    if groups is None:
+        groups = max(64, (cells.agg(F.sum(F.col("n") * F.col("q_blocks") + F.col("q") * F.col("blocks"))).first()[0] or 0) // 65536)
     each = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)) + 1
     both = ["node", "v", "weight", "home", "cells", "cell", "label", "dim"]
@@ -196,7 +203,7 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
     grids = {n: Grid(_unit(np.asarray(v, np.float64)), codewords, threshold, recall) for n, v in picked.items()}
     if not grids:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sums, spanning = links(nodes, grids, threshold, groups=max(64, total // 2048))
+    sums, spanning = links(nodes, grids, threshold)
     joined = nodes.join(sums, "node", "left").join(components(spanning), "node", "left")
     joined = joined.select("k1", "k2", F.lit(True).alias("good"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "node").alias("component"), "least")
     joined = cut(joined, nodes)
