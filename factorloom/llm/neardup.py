@@ -291,23 +291,22 @@ def _components(docs: DataFrame, k: int, take: int, entries: int, least: float)
                 part = batch.slice(i, j - i)
                 words = _texts(part.column("text"))
                 found = [np.concatenate([sketch(w, k, take, entries), remainders(w, least)]).view(np.int64) if len(w) else None for w in words]
-                yield pa.record_batch([*(part.column(c) for c in ("doc_id", "key", "check")), pa.array([len(w) for w in words], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "key", "check", "n", "entries"])
+                yield pa.record_batch([*part.columns, pa.array([len(w) for w in words], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=[*part.schema.names, "n", "entries"])
 
-    rows = docs.select("doc_id", "key", "check", "text").mapInArrow(sketches, f"doc_id {kind}, key long, check int, n int, entries array<long>")
-    sketched = cut(rows.groupBy("key", "check").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("entries").alias("entries")))
+    # of each text one row, before it is read: copies are merged where they lie
+    rows = docs.groupBy("key", "check").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    sketched = cut(rows.mapInArrow(sketches, f"key long, check int, doc_id {kind}, text string, n int, entries array<long>"))
+    release(spark)
     shared = cut(sketched.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
     nodes = _told_apart(sketched, shared)
     entry = nodes.filter("n > 0").select("key", "n", F.explode("entries").alias("entry"))
-    buckets = entry.groupBy("entry").agg(F.min("key").alias("to"), F.min_by("n", "key").alias("to_n"), F.count("*").alias("c")).filter("c > 1")
-    members = cut(entry.join(buckets.drop("c"), "entry"))
+    # written, as hosts below, so that the join deals both sides anew and can split a bucket of very many texts
+    buckets = cut(entry.groupBy("entry").agg(F.min("key").alias("to"), F.min_by("n", "key").alias("to_n"), F.count("*").alias("c")).filter("c > 1").drop("c"))
+    members = cut(entry.join(buckets, "entry"), buckets)
     near = lambda x, y: F.abs(x - y) <= F.floor((1 - least) * F.greatest(x, y) + 1e-9)
     first = cut(members.filter((F.col("key") != F.col("to")) & near(F.col("n"), F.col("to_n"))).select(F.col("key").alias("a"), F.col("to").alias("b")).distinct())
     release(spark)
-    some = members.groupBy("key").agg(F.first("n").alias("n"))
-    # of each text one row, before the join: copies are merged where they lie
-    each = _told_apart(docs.select("key", "check", "text"), shared).groupBy("key").agg(F.first("text").alias("text"))
-    texts = cut(each.join(some, "key"))
-    release(spark)
+    texts = nodes.select("key", "n", "text")
     links = verify(first, texts, least)
     drop(first)
     release(spark)
@@ -316,12 +315,12 @@ def _components(docs: DataFrame, k: int, take: int, entries: int, least: float)
     near_first = components(links)
     owned = members.join(near_first.toDF("key", "component"), "key", "left").select("entry", "key", F.coalesce("component", "key").alias("owner"))
     sizes = owned.groupBy("entry", "owner").agg(F.count("*").alias("c"))
-    hosts = sizes.groupBy("entry").agg(F.max_by("owner", F.struct("c", "owner")).alias("host"), F.count("*").alias("owners")).filter("owners > 1")
-    met = owned.join(hosts.select("entry", "host"), "entry").select("host", "key", "owner", (F.col("owner") != F.col("host")).alias("guest"), "entry")
-    cast = cut(met.groupBy("host", "key", "owner", "guest").agg(F.collect_list("entry").alias("entries")), members, near_first)  # a text's own entries at most
+    hosts = cut(sizes.groupBy("entry").agg(F.max_by("owner", F.struct("c", "owner")).alias("host"), F.count("*").alias("owners")).filter("owners > 1").drop("owners"))
+    met = owned.join(hosts, "entry").select("host", "key", "owner", (F.col("owner") != F.col("host")).alias("guest"), "entry")
+    cast = cut(met.groupBy("host", "key", "owner", "guest").agg(F.collect_list("entry").alias("entries")), members, near_first, hosts)  # a text's own entries at most
     release(spark)
     more = across(cast, texts, least)
-    drop(cast, texts)
+    drop(cast)
     found = components(links.union(more))
     named = nodes.join(found.toDF("key", "component"), "key", "left").select("key", "check", "doc_id", "n", F.coalesce("component", "key").alias("component"))
     return cut(named, sketched, links, more, found), shared
