@@ -13,16 +13,24 @@ from factorloom.functions.vectors import dot
 from factorloom.operators.normal_equations import gram, gram_ray
 
 
-def observed(ratings: DataFrame, users: DataFrame, items: DataFrame, columns: tuple[str, ...] = ("factor",)) -> DataFrame:
-    """Ratings with the vectors of both their ends, named u_<column> and i_<column>."""
-    ends = [side.select(F.col("id").alias(key), *(F.col(c).alias(f"{key[0]}_{c}") for c in columns)) for key, side in (("user", users), ("item", items))]
-    return ratings.join(ends[0], "user").join(ends[1], "item")
+def observed(ratings: DataFrame, users: DataFrame, items: DataFrame, rank: int, columns: tuple[str, ...] = ("factor",), last: str = "item", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Ratings with the vectors of both their ends, named u_<column> and i_<column>.
+
+    The ratings travel to the end that isn't ``last`` by themselves and to the other with one end's components, which are
+    columns of their own on the way: an array of three doubles takes twice their room. They then lie by ``last``, so what is summed up
+    for that side doesn't move again. keep: plain columns of the last side that come along under their names.
+    """
+    for key, side in sorted((("user", users), ("item", items)), key=lambda end: end[0] == last):
+        flat = [F.col(c)[j].alias(f"{key[0]}_{c}_{j}") for c in columns for j in range(rank)]
+        ratings = ratings.join(side.select(F.col("id").alias(key), *flat, *(keep if key == last else ())), key)
+    vectors = [F.array(*(F.col(f"{end}_{c}_{j}") for j in range(rank))).alias(f"{end}_{c}") for end in "ui" for c in columns]
+    return ratings.select("user", "item", "rating", *vectors, *keep)
 
 
 def squared_error(ratings: DataFrame, users: DataFrame, items: DataFrame, rank: int) -> Column | DataFrame:
     """One row (squared_error, n)."""
     off = dot(F.col("u_factor"), F.col("i_factor"), rank) - F.col("rating")
-    return observed(ratings, users, items).agg(F.sum(off * off).alias("squared_error"), F.count("*").alias("n"))
+    return observed(ratings, users, items, rank).agg(F.sum(off * off).alias("squared_error"), F.count("*").alias("n"))
 
 
 def weighted_norm(side: DataFrame, rank: int, ridge: float) -> DataFrame:
@@ -44,7 +52,7 @@ def cost(ratings: DataFrame, users: DataFrame, items: DataFrame, rank: int, ridg
 def ray_sums(ratings: DataFrame, users: DataFrame, items: DataFrame, rank: int) -> DataFrame:
     """One row c0 .. c4: the squared error at (x + t p, y + t q) as a polynomial of t."""
     x, p, y, q = (F.col(c) for c in ("u_factor", "u_p", "i_factor", "i_p"))
-    parts = observed(ratings, users, items, ("factor", "p")).select((dot(x, y, rank) - F.col("rating")).alias("e"), (dot(x, q, rank) + dot(p, y, rank)).alias("s"), dot(p, q, rank).alias("t"))
+    parts = observed(ratings, users, items, rank, ("factor", "p")).select((dot(x, y, rank) - F.col("rating")).alias("e"), (dot(x, q, rank) + dot(p, y, rank)).alias("s"), dot(p, q, rank).alias("t"))
     e, s, t = F.col("e"), F.col("s"), F.col("t")
     return parts.agg(F.sum(e * e).alias("c0"), F.sum(2 * e * s).alias("c1"), F.sum(s * s + 2 * e * t).alias("c2"), F.sum(2 * s * t).alias("c3"), F.sum(t * t).alias("c4"))
 
@@ -64,10 +72,20 @@ def gradient(ratings: DataFrame, key: str, own: DataFrame, other: DataFrame, ran
     users, items = (own, other) if key == "user" else (other, own)
     mine, theirs = ("u_factor", "i_factor") if key == "user" else ("i_factor", "u_factor")
     off = dot(F.col("u_factor"), F.col("i_factor"), rank) - F.col("rating")
-    met = observed(ratings, users.select("id", "factor"), items.select("id", "factor")).withColumn("off", off)
-    sums = met.groupBy(F.col(key).alias("id")).agg(*(F.sum(F.col("off") * F.col(theirs)[j]).alias(f"s_{j}") for j in range(rank)))
-    parts = sums.join(own.select("id", "n", "factor"), "id")
-    return parts.select("id", F.array(*(F.lit(2.0) * F.col(f"s_{j}") + F.lit(2.0 * ridge) * F.col("n") * F.col("factor")[j] for j in range(rank))).alias("grad"))
+    met = observed(ratings, users, items, rank, last=key, keep=("n",)).withColumn("off", off)
+    sums = met.groupBy(F.col(key).alias("id")).agg(*(F.sum(F.col("off") * F.col(theirs)[j]).alias(f"s_{j}") for j in range(rank)), F.any_value("n").alias("n"), *(F.any_value(F.col(mine)[j]).alias(f"x_{j}") for j in range(rank)))
+    return sums.select("id", F.array(*(F.lit(2.0) * F.col(f"s_{j}") + F.lit(2.0 * ridge) * F.col("n") * F.col(f"x_{j}") for j in range(rank))).alias("grad"))
+
+
+def gradients(ratings: DataFrame, users: DataFrame, items: DataFrame, rank: int, ridge: float) -> DataFrame:
+    """(side, id, grad) of both sides from one pass, the users' side 0; users, items: (id, n, factor)."""
+    off = dot(F.col("u_factor"), F.col("i_factor"), rank) - F.col("rating")
+    met = observed(ratings, users, items, rank).withColumn("off", off)
+    part = lambda side, key, theirs: F.struct(F.lit(side).alias("side"), F.col(key).alias("id"), *((F.col("off") * F.col(theirs)[j]).alias(f"s_{j}") for j in range(rank)))
+    each = met.select(F.inline(F.array(part(0, "user", "i_factor"), part(1, "item", "u_factor"))))
+    sums = each.groupBy("side", "id").agg(*(F.sum(f"s_{j}").alias(f"s_{j}") for j in range(rank)))
+    states = users.select(F.lit(0).alias("side"), "id", "n", "factor").union(items.select(F.lit(1), "id", "n", "factor"))
+    return sums.join(states, ["side", "id"]).select("side", "id", F.array(*(F.lit(2.0) * F.col(f"s_{j}") + F.lit(2.0 * ridge) * F.col("n") * F.col("factor")[j] for j in range(rank))).alias("grad"))
 
 
 def implicit_gradient(ratings: DataFrame, key: str, own: DataFrame, other: DataFrame, rank: int, ridge: float, alpha: float) -> DataFrame:
@@ -80,11 +98,11 @@ def implicit_gradient(ratings: DataFrame, key: str, own: DataFrame, other: DataF
     mine, theirs = ("u_factor", "i_factor") if key == "user" else ("i_factor", "u_factor")
     whole = gram(other, rank)
     off = (1 + F.lit(float(alpha)) * F.abs("rating")) * (dot(F.col("u_factor"), F.col("i_factor"), rank) - F.when(F.col("rating") > 0, 1.0).otherwise(0.0))
-    met = observed(ratings, users.select("id", "factor"), items.select("id", "factor")).withColumn("off", off)
-    sums = met.groupBy(F.col(key).alias("id")).agg(*(F.sum(F.col("off") * F.col(theirs)[j]).alias(f"s_{j}") for j in range(rank)))
-    x = F.col("factor")
-    pulled = [dot(F.array(*(F.lit(float(v)) for v in whole[j])), x, rank) for j in range(rank)]
-    return sums.join(own.select("id", "factor"), "id").select("id", F.array(*(2.0 * (F.col(f"s_{j}") + F.lit(float(ridge)) * x[j] + pulled[j]) for j in range(rank))).alias("grad"))
+    met = observed(ratings, users, items, rank, last=key).withColumn("off", off)
+    sums = met.groupBy(F.col(key).alias("id")).agg(*(F.sum(F.col("off") * F.col(theirs)[j]).alias(f"s_{j}") for j in range(rank)), *(F.any_value(F.col(mine)[j]).alias(f"x_{j}") for j in range(rank)))
+    x = [F.col(f"x_{j}") for j in range(rank)]
+    pulled = [dot([F.lit(float(v)) for v in whole[j]], x, rank) for j in range(rank)]
+    return sums.select("id", F.array(*(2.0 * (F.col(f"s_{j}") + F.lit(float(ridge)) * x[j] + pulled[j]) for j in range(rank))).alias("grad"))
 
 
 def implicit_parts(ratings: DataFrame, users: DataFrame, items: DataFrame, rank: int, alpha: float) -> DataFrame:
@@ -94,7 +112,7 @@ def implicit_parts(ratings: DataFrame, users: DataFrame, items: DataFrame, rank:
     confidence 1: the sum of c (x.y - 1)^2 - (x.y)^2.
     """
     z, c = dot(F.col("u_factor"), F.col("i_factor"), rank), 1 + F.lit(float(alpha)) * F.col("rating")
-    return observed(ratings.filter("rating > 0"), users, items).agg(F.sum(c * (z - 1) * (z - 1) - z * z).alias("correction"), F.count("*").alias("n"))
+    return observed(ratings.filter("rating > 0"), users, items, rank).agg(F.sum(c * (z - 1) * (z - 1) - z * z).alias("correction"), F.count("*").alias("n"))
 
 
 def implicit_cost(ratings: DataFrame, users: DataFrame, items: DataFrame, rank: int, ridge: float, alpha: float) -> float:
@@ -125,7 +143,7 @@ def whole_ray(users: DataFrame, items: DataFrame, rank: int) -> list[float]:
 def implicit_ray(ratings: DataFrame, users: DataFrame, items: DataFrame, rank: int, ridge: float, alpha: float) -> list[float]:
     """Coefficients of the implicit objective along a ray; users, items: (id, n, factor, p)."""
     x, p, y, q = (F.col(c) for c in ("u_factor", "u_p", "i_factor", "i_p"))
-    met = observed(ratings.filter("rating > 0"), users, items, ("factor", "p")).select(
+    met = observed(ratings.filter("rating > 0"), users, items, rank, ("factor", "p")).select(
         (1 + F.lit(float(alpha)) * F.col("rating")).alias("c"), dot(x, y, rank).alias("z0"), (dot(x, q, rank) + dot(p, y, rank)).alias("z1"), dot(p, q, rank).alias("z2")
     )
     c, more, z0, z1, z2 = F.col("c"), F.col("c") - 1, F.col("z0"), F.col("z1"), F.col("z2")

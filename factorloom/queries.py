@@ -34,10 +34,19 @@ def q(c: str, digits: str = "1e4") -> str:
     return f"round(({c}) * {digits}, 0) / {digits}"
 
 
+def rated(spark, d) -> DataFrame:
+    """R1 as a written table: its readers, the ratings and both sides' counts, don't join orders and lines anew."""
+    return cut(S.customer_part(spark, d))
+
+
 def side(ratings: DataFrame, key: str, k: int) -> DataFrame:
     """(id, n, factor, p) with lattice vectors."""
+    return B.counts(ratings, key).select("id", F.col("n").cast("double").alias("n"), *_lattices(key, k))
+
+
+def _lattices(key: str, k: int) -> list[Column]:
     salt = ITEM_SALT if key == "item" else 0
-    return B.counts(ratings, key).select("id", F.col("n").cast("double").alias("n"), lattice(F.col("id"), k, salt).alias("factor"), lattice(F.col("id"), k, salt + P_SALT).alias("p"))
+    return [lattice(F.col("id"), k, salt).alias("factor"), lattice(F.col("id"), k, salt + P_SALT).alias("p")]
 
 
 def sides(ratings: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -182,14 +191,14 @@ def gram_ray(spark, d):
 
 def normal_equations(spark, d):
     """By built-in aggregates."""
-    ratings = S.customer_part(spark, d)
+    ratings = rated(spark, d)
     sums = N.normal_sums(ratings, "user", side(ratings, "item", 3), 3)
     return sums.select("id", "n", *(r(c).alias(c) for c in sums.columns if c[1:2] == "_"))
 
 
 def normal_equations_batched(spark, d):
     """By sums of Arrow batches."""
-    ratings = S.customer_part(spark, d)
+    ratings = rated(spark, d)
     sums = N.normal_equations(ratings, "user", side(ratings, "item", 3), 3)
     return sums.select("id", F.col("n").cast("long").alias("n"), *(r(F.col("g")[i]).alias(f"g_{i}") for i in range(6)), *(r(F.col("b")[i]).alias(f"b_{i}") for i in range(3)))
 
@@ -198,17 +207,17 @@ def normal_equations_batched(spark, d):
 
 
 def squared_error(spark, d):
-    ratings = S.customer_part(spark, d)
+    ratings = rated(spark, d)
     return O.squared_error(ratings, *sides(ratings, 3), 3).select(r("squared_error", 10.0).alias("squared_error"), "n")
 
 
 def tikhonov_norm(spark, d):
-    return O.weighted_norm(side(S.customer_part(spark, d), "user", 3), 3, RIDGE).select(r("norm").alias("norm"))
+    return O.weighted_norm(side(rated(spark, d), "user", 3), 3, RIDGE).select(r("norm").alias("norm"))
 
 
 def mf_cost(spark, d):
     """The objective in one plan."""
-    ratings = S.customer_part(spark, d)
+    ratings = rated(spark, d)
     users, items = sides(ratings, 3)
     error = O.squared_error(ratings, users, items, 3).select(F.col("squared_error").alias("part"))
     parts = error.union(O.weighted_norm(users, 3, RIDGE)).union(O.weighted_norm(items, 3, RIDGE))
@@ -216,31 +225,30 @@ def mf_cost(spark, d):
 
 
 def ray_norms(spark, d):
-    return O.ray_norms(side(S.customer_part(spark, d), "user", 3), 3, RIDGE).select(*(r(c).alias(c) for c in ("xx", "xp", "pp")))
+    return O.ray_norms(side(rated(spark, d), "user", 3), 3, RIDGE).select(*(r(c).alias(c) for c in ("xx", "xp", "pp")))
 
 
 def ray_coefficients(spark, d):
-    ratings = S.customer_part(spark, d)
+    ratings = rated(spark, d)
     return O.ray_sums(ratings, *sides(ratings, 3), 3).select(*(r(f"c{i}", 10.0).alias(f"c{i}") for i in range(5)))
 
 
 def gradient_user(spark, d):
-    ratings = S.customer_part(spark, d)
+    ratings = rated(spark, d)
     return entries(O.gradient(ratings, "user", *sides(ratings, 3), 3, RIDGE), "grad")
 
 
 def gradient_item(spark, d):
-    ratings = S.customer_part(spark, d)
+    ratings = rated(spark, d)
     users, items = sides(ratings, 3)
     return entries(O.gradient(ratings, "item", items, users, 3, RIDGE), "grad")
 
 
 def gradient_norm(spark, d):
-    ratings = S.customer_part(spark, d)
+    ratings = rated(spark, d)
     users, items = sides(ratings, 3)
-    both = O.gradient(ratings, "user", users, items, 3, RIDGE).union(O.gradient(ratings, "item", items, users, 3, RIDGE))
     g = F.col("grad")
-    return both.agg(r(F.sqrt(F.sum(dot(g, g, 3))), 100.0).alias("norm"))
+    return O.gradients(ratings, users, items, 3, RIDGE).agg(r(F.sqrt(F.sum(dot(g, g, 3))), 100.0).alias("norm"))
 
 
 # --- steps
@@ -248,7 +256,7 @@ def gradient_norm(spark, d):
 
 def newton_minimize(spark, d):
     """The step along the lattice direction, by the exact line search."""
-    ratings = S.customer_part(spark, d)
+    ratings = rated(spark, d)
     alpha, _ = minimize(O.ray(ratings, *sides(ratings, 2), 2, RIDGE), [0.0, 2.0])
     return spark.createDataFrame([(alpha,)], "alpha double").select(r("alpha", 1e6).alias("alpha"))
 
@@ -263,29 +271,29 @@ def _routed_half(ratings: DataFrame, key: str, factors: DataFrame) -> DataFrame:
 
 
 def als_half_step(spark, d):
-    ratings = S.customer_part(spark, d)
+    ratings = rated(spark, d)
     return entries(_routed_half(ratings, "user", side(ratings, "item", 2)), "factor")
 
 
 def als_one_iter(spark, d):
     """Items from the lattice users, then users from those items."""
-    ratings = S.customer_part(spark, d)
+    ratings = rated(spark, d)
     return entries(_routed_half(ratings, "user", _routed_half(ratings, "item", side(ratings, "user", 2))), "factor")
 
 
 def als_implicit_half_step(spark, d):
-    ratings = S.customer_part(spark, d).withColumn("rating", F.col("rating") - 10)
+    ratings = rated(spark, d).withColumn("rating", F.col("rating") - 10)
     return entries(N.half_step(ratings, "user", side(ratings, "item", 2), 2, RIDGE, implicit=True, alpha=ALPHA), "factor")
 
 
 def nnls_half_step(spark, d):
-    ratings = S.customer_part(spark, d).withColumn("rating", F.col("rating") - 25)
+    ratings = rated(spark, d).withColumn("rating", F.col("rating") - 25)
     return entries(N.half_step(ratings, "user", side(ratings, "item", 2), 2, RIDGE, nonnegative=True), "factor")
 
 
 def preconditioned_gradient(spark, d):
     """The users' part: the point minus its half-step."""
-    ratings = S.customer_part(spark, d)
+    ratings = rated(spark, d)
     users, items = sides(ratings, 2)
     new = N.half_step(ratings, "user", items, 2, RIDGE).select("id", F.col("factor").alias("new"))
     return entries(users.join(new, "id").withColumn("v", axpby(1.0, F.col("factor"), -1.0, F.col("new"), 2)), "v")
@@ -293,14 +301,14 @@ def preconditioned_gradient(spark, d):
 
 def preconditioned_gradient_item(spark, d):
     """The items' part: the point minus the half-step from the users' new factors."""
-    ratings = S.customer_part(spark, d)
+    ratings = rated(spark, d)
     users, items = sides(ratings, 2)
     new = N.half_step(ratings, "item", N.half_step(ratings, "user", items, 2, RIDGE), 2, RIDGE).select("id", F.col("factor").alias("new"))
     return entries(items.join(new, "id").withColumn("v", axpby(1.0, F.col("factor"), -1.0, F.col("new"), 2)), "v")
 
 
 def _implicit_gradient(spark, d, key):
-    ratings = S.customer_part(spark, d).withColumn("rating", F.col("rating") - 10)
+    ratings = rated(spark, d).withColumn("rating", F.col("rating") - 10)
     users, items = sides(ratings, 2)
     own, other = (users, items) if key == "user" else (items, users)
     return entries(O.implicit_gradient(ratings, key, own, other, 2, RIDGE, ALPHA), "grad")
@@ -316,9 +324,10 @@ def implicit_gradient_item(spark, d):
 
 def _preferences(spark, d):
     """R1 less 10: what is over 0 is a preference; and both sides with the numbers of their preferences."""
-    ratings = S.customer_part(spark, d).withColumn("rating", F.col("rating") - 10)
-    seen = {key: ratings.groupBy(F.col(key).alias("id")).agg(F.count_if(F.col("rating") > 0).alias("seen")) for key in ("user", "item")}
-    return ratings, *(side(ratings, key, 2).join(n, "id").withColumn("n", F.col("seen").cast("double")).drop("seen") for key, n in seen.items())
+    ratings = rated(spark, d).withColumn("rating", F.col("rating") - 10)
+    seen = F.count_if(F.col("rating") > 0).cast("double").alias("n")
+    # written, because the Gram matrices, the norms and the join read them
+    return ratings, *(cut(ratings.groupBy(F.col(key).alias("id")).agg(seen).select("id", "n", *_lattices(key, 2))) for key in ("user", "item"))
 
 
 def implicit_cost(spark, d):

@@ -284,3 +284,29 @@ def test_numbering(spark):
     values = spark.createDataFrame([(f"k{i:03}",) for i in range(200)] + [(None,)], "k string").repartition(7)
     got = {r.k: r.n for r in ordinals(values, "k", "n").collect()}
     assert got == {f"k{i:03}": i for i in range(200)} | {None: 200}
+
+
+def test_objective_moves_no_vectors_twice(spark, sparse):
+    """A side's sums lie where its ratings came last, its state isn't joined anew, and components travel without arrays."""
+    users, items = arrays(spark, sparse, 2)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for key, pair in (("user", (users, items)), ("item", (items, users))):
+            whole = objective.gradient(sparse, key, *pair, 2, 0.1)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert whole.count("Exchange hashpartitioning") == 4  # ratings to one end and the other, the counts of both
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    both = {(r.side, r.id): r.grad for r in objective.gradients(sparse, users, items, 2, 0.1).collect()}
+    for n, (key, pair) in enumerate((("user", (users, items)), ("item", (items, users)))):
+        for r in objective.gradient(sparse, key, *pair, 2, 0.1).collect():
+            assert both.pop((n, r.id)) == pytest.approx(r.grad, rel=1e-12)
+    assert not both
+
+
+def test_minimize_when_both_starts_end_at_a_maximum():
+    """ncg_one_step on six copies of sf0.1: Newton's method leads from 2 and from 500 to the maximum at -323.19."""
+    c = [3001140843.3308816, -587431.38448311, -869.3402931750263, 0.12644487046453684, 0.00010452309395412553]
+    assert [solvers.newton(c, s) for s in (2.0, 500.0)] == pytest.approx([-323.1894052148273] * 2)
+    x, value = solvers.minimize(c, [2.0, 500.0])
+    assert x == pytest.approx(1813.3379436) and value < c[0]
