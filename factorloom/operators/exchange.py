@@ -7,6 +7,10 @@ their state in the same exchange. So no rating moves again, an entity with few
 ratings is summed up and finished where its ratings lie, and sums of ``k * k`` values
 travel only for entities with so many ratings that they lie in several blocks.
 
+Blocks are ranges of ids with about as many ratings each. Where ids that lie together
+rate the same entities (customers of one region, numbers given out over time), a block
+needs few of the other side's factors; where ids say nothing, no more than any dealing does.
+
 An entity's ratings are added in their order, and scalars by exact sums, so results
 don't depend on blocks or partitions, to the last bit.
 """
@@ -21,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,14 +47,14 @@ class Blocks:
     A packed block holds its entities' ids, whether all of their ratings are here, where the ratings of each end, the ids of
     the other side that are rated here and, for each rating, which of them it is of and its value.
     mine: (id, block) for entities in several blocks, else None; theirs: (id, block), the blocks that need a factor of the
-    other side; place: an id's block, if it is in one.
+    other side; placed: adds the column ``block`` to rows with an id, if each is in one.
     """
 
     key: str
     ratings: DataFrame
     theirs: DataFrame
     mine: DataFrame | None
-    place: Column
+    placed: Callable[[DataFrame], DataFrame]
     partitions: int
 
     def unpersist(self) -> None:
@@ -71,6 +76,28 @@ def _block(n: int, names: list[int] | None, *columns) -> Column:
     return slot if names is None else F.array(*map(F.lit, names))[slot]
 
 
+def _ranges(ratings: DataFrame, key: str, n: int) -> list[float]:
+    """The ends of up to n ranges of ids, each with about as many ratings: at most n numbers come to the driver."""
+    if n < 2:
+        return []
+    found = ratings.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n)).first()[0]
+    return sorted({float(x) for x in found or ()})
+
+
+def _placed(ends: list[float], names: list[int] | None) -> Callable[[DataFrame], DataFrame]:
+    """Adds the block of each id's range; an end is the last id of its range."""
+    # a range holds its first number and not its last; very large ids are rounded, each always alike
+    splits = [-float("inf"), *sorted({np.nextafter(x, np.inf) for x in ends}), float("inf")]
+    bucket = Bucketizer(splits=splits, inputCol="__id", outputCol="__slot") if ends else None
+
+    def run(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("__id", F.col("id").cast("double"))
+        rows = (bucket.transform(rows) if bucket else rows.withColumn("__slot", F.lit(0))).withColumn("__slot", F.col("__slot").cast("int"))
+        return rows.withColumn("block", F.col("__slot") if names is None else F.array(*map(F.lit, names))[F.col("__slot")]).drop("__id", "__slot")
+
+    return run
+
+
 def deal(ratings: DataFrame, key: str, sizes: DataFrame, partitions: int, level: StorageLevel = StorageLevel.MEMORY_AND_DISK, part: int = PART, many: int | None = None) -> Blocks:
     """Blocks of one side's ratings; sizes: (id, n), the rows of each entity; part: of an entity in one block, about.
 
@@ -82,19 +109,20 @@ def deal(ratings: DataFrame, key: str, sizes: DataFrame, partitions: int, level:
     other = "item" if key == "user" else "user"
     rows = ratings.select(F.col(key).alias("id"), F.col(other).alias("other"), "rating")
     zero = F.lit(0).cast("long")
-    place = _block(blocks, names, F.col("id"), zero)
+    placed = _placed(_ranges(ratings, key, blocks), names)
     hot = sizes.filter(F.col("n") > part).select("id", F.ceil(F.col("n") / part).alias("__parts"))
     many = hot.count() if many is None else many
     if many:
         hot = F.broadcast(hot) if many <= 1 << 20 else hot  # of 16 bytes each
         rows = rows.join(hot, "id", "left")
         salt = F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64("other"), F.col("__parts"))).otherwise(zero)
-        rows = rows.select(_block(blocks, names, F.col("id"), salt).alias("block"), F.col("__parts").isNull().alias("whole"), "id", "other", "rating")
+        block = F.when(F.col("__parts").isNotNull(), _block(blocks, names, F.col("id"), salt)).otherwise(F.col("block"))
+        rows = placed(rows).select(block.alias("block"), F.col("__parts").isNull().alias("whole"), "id", "other", "rating")
     else:
-        rows = rows.select(place.alias("block"), F.lit(True).alias("whole"), "id", "other", "rating")
+        rows = placed(rows).select("block", F.lit(True).alias("whole"), "id", "other", "rating")
     packed = rows.repartition(partitions, "block").groupBy("block").applyInArrow(_pack, PACKED).repartition(partitions, "block").persist(level)
     links = lambda column: packed.select("block", column).mapInArrow(_links, "id long, block int").repartition(partitions, "id").persist(level)
-    return Blocks(key, packed, links("known"), links("ids") if many else None, place, partitions)
+    return Blocks(key, packed, links("known"), links("ids") if many else None, placed, partitions)
 
 
 def _pack(rows: pa.Table) -> pa.Table:
@@ -205,7 +233,7 @@ def _routed(b: Blocks, other: DataFrame, own: DataFrame | None, p: Pass) -> Data
     if not p.own:
         return their
     held = own.select("id", *p.own)
-    held = held.withColumn("block", b.place) if b.mine is None else held.join(b.mine, "id")
+    held = b.placed(held) if b.mine is None else held.join(b.mine, "id")
     return their.union(held.select(F.col("block").alias("to"), F.lit(True).alias("own"), "id", *(F.col(c) if c in p.own else empty.alias(c) for c in vectors)))
 
 

@@ -227,3 +227,18 @@ print("tables", len(glob.glob("{tmp_path}/shared/**/factorloom-*/*", recursive=T
     assert "tables 1" in run.stdout, run.stderr[-500:]
     left = [f for d, _, names in os.walk(tmp_path) for f in names if "factorloom" in d]
     assert left == []
+
+
+def test_near_ids_share_a_block(spark):
+    """Four groups of users who rate their own items only: a factor goes to one block or two, not to all."""
+    rows = [(100 * g + u, 1000 * g + i, 1.0) for g in range(4) for u in range(50) for i in range(40)]
+    ratings = spark.createDataFrame(rows, "user long, item long, rating double").persist()
+    b = dealt(ratings, "user", 4)
+    assert b.theirs.count() <= 2 * 4 * 40
+    sizes = b.ratings.select(F.expr("octet_length(rating) / 8").alias("n")).collect()
+    assert len(sizes) == 4 and max(r.n for r in sizes) <= 1.5 * len(rows) / 4
+    b.unpersist()
+    huge = spark.createDataFrame([(2**62 + j, j, 1.0) for j in range(64)], "user long, item long, rating double")
+    b = dealt(huge, "user", 4)  # ids that no double tells apart
+    assert b.ratings.select(F.sum(F.expr("octet_length(rating) / 8"))).first()[0] == 64
+    b.unpersist()
