@@ -14,7 +14,8 @@ a furthest-reaching alignment inside that band of diagonals.
 Equal texts are one node. In each bucket (texts with one sketch entry) every text
 is first compared with the bucket's smallest; links join texts into components.
 Buckets that still hold several components have their remaining pairs, those across
-components, compared block by block inside tasks, until what is similar is joined.
+components, compared block by block inside tasks, until what is similar is joined;
+texts are sent there only if the counts of their words, in 256 bins, leave a link possible.
 So no link that a bucket offers is left out of the classes, a class of thousands
 costs a comparison a member, and pairs are never listed. A text that many others are
 compared with is sent to several tasks.
@@ -188,8 +189,37 @@ def _texts(column: pa.Array):
     return [hashes[i:j] for i, j in zip(first[:-1], first[1:], strict=True)]
 
 
+def _packed(column: pa.Array) -> pa.Array:
+    """Texts as they are written and sent: their length in 8 bytes, then what zstd makes of them."""
+    codec = pa.Codec("zstd", 1)
+    data = (None if x is None else x.encode() for x in column.to_pylist())
+    return pa.array([None if x is None else len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in data], pa.binary())
+
+
+def _unpacked(column: pa.Array) -> pa.Array:
+    codec = pa.Codec("zstd", 1)
+    return pa.array([codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) if x is not None else None for x in column.to_pylist()], pa.string())
+
+
+BINS = 256
+
+
+def bag(words: np.ndarray) -> bytes:
+    """How many words fall into each bin, 255 at most."""
+    return np.minimum(np.bincount((W.mix(words) % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def may_link(n: int, bins: np.ndarray, others_n: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
+    """Whether a text of n words may be similar to each of the others, by what an edit can change of lengths and bags.
+
+    A word replaced changes two bins by one, a word added or taken out one bin and the length.
+    """
+    most = ((1 - least) * np.maximum(others_n, n) + 1e-9).astype(np.int64)
+    return np.abs(others_n - n) + np.abs(others.astype(np.int16) - bins.astype(np.int16)).sum(axis=1, dtype=np.int64) <= 2 * most
+
+
 def verify(pairs: DataFrame, texts: DataFrame, least: float, words: int = 1 << 18) -> DataFrame:
-    """Those of the pairs (a, b) whose texts (key, n, text) are similar; many pairs may share b.
+    """Those of the pairs (a, b) whose texts (key, n, packed) are similar; many pairs may share b.
 
     Pairs are dealt out by b, the pairs of a b that has many by a as well, into groups of about ``words`` words.
     """
@@ -202,11 +232,11 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float, words: int = 1 << 1
     groups = max(64, (total[0] or 0) // 256, 2 * (total[1] or 0) // words)
     dealt = salted.select("a", "b", pmod(F.xxhash64("b", "salt"), groups).cast("int").alias("g"))
     needed = dealt.select("g", F.explode(F.array("a", "b")).alias("key")).distinct()
-    there = needed.join(texts.select("key", "text"), "key").select(F.col("g").alias("at"), "key", "text")
+    there = needed.join(texts.select("key", "packed"), "key").select(F.col("g").alias("at"), "key", "packed")
 
     def compare(some: pa.Table, texts: pa.Table) -> pa.Table:
         texts = texts.combine_chunks()
-        known = dict(zip(texts.column("key").to_pylist(), map(_Text, _texts(texts.column("text").chunk(0)) if texts.num_rows else []), strict=True))
+        known = dict(zip(texts.column("key").to_pylist(), map(_Text, _texts(_unpacked(texts.column("packed"))) if texts.num_rows else []), strict=True))
         a, b = some.column("a").to_pylist(), some.column("b").to_pylist()
         good = [x in known and y in known and known[x].similar(known[y], least) for x, y in zip(a, b, strict=True)]
         return some.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -214,42 +244,86 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float, words: int = 1 << 1
     return cut(dealt.groupBy("g").cogroup(there.groupBy("at")).applyInArrow(compare, "a long, b long"), hot)
 
 
-def across(cast: DataFrame, texts: DataFrame, least: float, block: int = 512, words: int = 1 << 17) -> DataFrame:
-    """Links (a, b) between components that meet in a bucket, enough to join those that are similar.
+def _facing(cast: DataFrame, load: Column, carried: tuple[str, ...], compare, schema: str, texts: DataFrame | None = None) -> DataFrame:
+    """compare(members, guests) for each pair of blocks of a host, of load 1 about, whatever the host's size is.
 
-    cast: (host, key, owner, guest, entries), for each bucket of several components its largest one as host, the bucket's
-    texts, whether they are of another component and which of their entries are in such buckets. Guests are compared with
-    all texts of a host that share an entry with them and have another owner; both are dealt into blocks of about ``block``
-    texts and ``words`` words, so that a task gets one block of each whatever a host's size is. texts: (key, n, text).
+    Rows have what is carried beside task, host, key, owner, guest and entries; it may come from ``texts``, by key.
     """
-    sized = cut(cast.join(texts.select("key", "n"), "key"))
-    load = 1 / block + F.col("n") / words
-    tally = cut(sized.groupBy("host").agg(F.ceil(F.sum(F.when(F.col("guest"), load).otherwise(0.0))).alias("gs"), F.ceil(F.sum(load)).alias("ms")))
-    full = sized.drop("n").join(tally, "host").join(texts.drop("n"), "key")
+    tally = cut(cast.groupBy("host").agg(F.ceil(F.sum(F.when(F.col("guest"), load).otherwise(0.0))).alias("gs"), F.ceil(F.sum(load)).alias("ms")))
+    full = cast.join(tally, "host")
+    full = full if texts is None else full.join(texts, "key")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
-    columns = ("host", "key", "owner", "guest", "text", "entries")
+    columns = ("host", "key", "owner", "guest", "entries", *carried)
     members = full.select(*(F.col(c).alias(c) for c in columns), mine("ms").alias("m"), each("gs").alias("g"))
     guests = full.filter("guest").select(*(F.col(c).alias(c) for c in columns), mine("gs").alias("g"), each("ms").alias("m"))
     task = F.xxhash64("host", "g", "m")
     groups = max(64, int(tally.agg(F.sum(F.col("gs") * F.col("ms"))).first()[0] or 0) // 2)
-    members, guests = (x.withColumn("task", task).withColumn("at", pmod(F.col("task"), groups).cast("int")).drop("host", "g", "m") for x in (members, guests))
+    members, guests = (x.withColumn("task", task).withColumn("at", pmod(F.col("task"), groups).cast("int")).drop("g", "m") for x in (members, guests))
+    return cut(members.groupBy("at").cogroup(guests.groupBy("at")).applyInArrow(compare, schema), tally)
+
+
+def _tasks(lying: pa.Table, asking: pa.Table, *carried: str):
+    """Members and guests of each task: host, key, owner, guest, entries and what is carried; and the members that have an entry."""
+    sides = []
+    for rows in (lying, asking):
+        rows = rows.combine_chunks().sort_by("task")
+        plain = [rows.column(c).to_numpy(zero_copy_only=False) for c in ("task", "host", "key", "owner", "guest")]
+        sides.append((*plain, *(rows.column(c) for c in ("entries", *carried))))
+    for t in np.intersect1d(sides[0][0], sides[1][0]):
+        ends = [(int(np.searchsorted(x[0], t)), int(np.searchsorted(x[0], t, side="right"))) for x in sides]
+        members, guests = ([c[i:j] if isinstance(c, np.ndarray) else c.slice(i, j - i) for c in x[1:]] for x, (i, j) in zip(sides, ends, strict=True))
+        having: dict[int, list[int]] = {}
+        for j, some in enumerate(members[4].to_pylist()):
+            for entry in some:
+                having.setdefault(entry, []).append(j)
+        yield members, guests, having
+
+
+def _meeting(sized: DataFrame, least: float, block: int = 1024) -> DataFrame:
+    """(host, key) of the rows, with n and bag, that may have a link to another component's in their host."""
+
+    def compare(lying: pa.Table, asking: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for members, guests, having in _tasks(lying, asking, "n", "bag"):
+            (m_n, m_bag), (g_n, g_bag) = ((x[5].to_numpy().astype(np.int64), np.frombuffer(b"".join(x[6].to_pylist()), np.uint8).reshape(-1, BINS)) for x in (members, guests))
+            m_met, g_met = np.zeros(len(m_n), bool), np.zeros(len(g_n), bool)
+            for i, some in enumerate(guests[4].to_pylist()):
+                shared = np.fromiter({j for entry in some for j in having.get(entry, ())}, np.int64)
+                other = (members[2][shared] != guests[2][i]) & ~(members[3][shared] & (members[1][shared] <= guests[1][i]))
+                shared = shared[other & ~(m_met[shared] & g_met[i])]
+                shared = shared[may_link(int(g_n[i]), g_bag[i], m_n[shared], m_bag[shared], least)]
+                m_met[shared], g_met[i] = True, g_met[i] or len(shared) > 0
+            found += [(members[0][m_met], members[1][m_met]), (guests[0][g_met], guests[1][g_met])]
+        return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["host", "key"])
+
+    return _facing(sized, F.lit(1 / block), ("n", "bag"), compare, "host long, key long")
+
+
+def across(cast: DataFrame, texts: DataFrame, least: float, block: int = 512, words: int = 1 << 17) -> DataFrame:
+    """Links (a, b) between components that meet in a bucket, enough to join those that are similar.
+
+    cast: (host, key, owner, guest, entries), for each bucket of several components its largest one as host, the bucket's
+    texts, whether they are of another component and which of their entries are in such buckets. Guests are compared with
+    all texts of a host that share an entry with them and have another owner; both are dealt into blocks of about ``block``
+    texts and ``words`` words, so that a task gets one block of each whatever a host's size is. Only texts whose lengths
+    and bags leave a link possible are sent. texts: (key, n, packed, bag).
+    """
+    sized = cut(cast.join(texts.select("key", "n", "bag"), "key"))
+    some = _meeting(sized, least)
+    wanted = cut(sized.drop("bag").join(some.distinct(), ["host", "key"], "left_semi"), sized, some)
+    release(cast.sparkSession)
 
     def compare(lying: pa.Table, asking: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
         known: dict[int, _Text] = {}
-        sides = []
-        for rows in (lying, asking):
-            rows = rows.combine_chunks().sort_by("task")
-            sides.append((rows.column("task").to_numpy(), rows.column("key").to_numpy(), rows.column("owner").to_numpy(), rows.column("guest").to_numpy(zero_copy_only=False), rows.column("entries"), rows.column("text")))
 
         def text(key: int, column, i: int) -> _Text:
             if key not in known:
-                known[key] = _Text(_texts(pa.array([column[i].as_py()]))[0])
+                known[key] = _Text(_texts(_unpacked(column.slice(i, 1)))[0])
             return known[key]
 
-        for t in np.intersect1d(sides[0][0], sides[1][0]):
-            (m0, m1), (g0, g1) = ((int(np.searchsorted(x[0], t)), int(np.searchsorted(x[0], t, side="right"))) for x in sides)
+        for (_, m_key, m_owner, m_guest, _, m_text), (_, g_key, g_owner, _, g_entries, g_text), having in _tasks(lying, asking, "packed"):
             root: dict[int, int] = {}
 
             def find(x: int, root=root) -> int:
@@ -257,14 +331,8 @@ def across(cast: DataFrame, texts: DataFrame, least: float, block: int = 512, wo
                     x = root[x]
                 return x
 
-            _, m_key, m_owner, m_guest, m_entries, m_text = sides[0]
-            _, g_key, g_owner, _, g_entries, g_text = sides[1]
-            having: dict[int, list[int]] = {}
-            for j in range(m0, m1):
-                for entry in m_entries[j].as_py():
-                    having.setdefault(entry, []).append(j)
-            for i in range(g0, g1):
-                shared = {j for entry in g_entries[i].as_py() for j in having.get(entry, ())}
+            for i, entries in enumerate(g_entries.to_pylist()):
+                shared = {j for entry in entries for j in having.get(entry, ())}
                 for j in sorted(shared):
                     if m_owner[j] == g_owner[i] or m_guest[j] and m_key[j] <= g_key[i]:  # two guests meet once
                         continue
@@ -274,7 +342,12 @@ def across(cast: DataFrame, texts: DataFrame, least: float, block: int = 512, wo
                         root[x] = y
         return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    return cut(members.groupBy("at").cogroup(guests.groupBy("at")).applyInArrow(compare, "a long, b long"), sized, tally)
+    # written, so that its size is known: where it is small, texts are chosen where they lie and only these are sent
+    keys = cut(wanted.select("key").distinct())
+    chosen = texts.select("key", "packed").join(keys, "key", "left_semi")
+    links = _facing(wanted, 1 / block + F.col("n") / words, ("packed",), compare, "a long, b long", chosen)
+    drop(wanted, keys)
+    return links
 
 
 def _components(docs: DataFrame, k: int, take: int, entries: int, least: float) -> tuple[DataFrame, DataFrame]:
@@ -291,11 +364,14 @@ def _components(docs: DataFrame, k: int, take: int, entries: int, least: float)
                 part = batch.slice(i, j - i)
                 words = _texts(part.column("text"))
                 found = [np.concatenate([sketch(w, k, take, entries), remainders(w, least)]).view(np.int64) if len(w) else None for w in words]
-                yield pa.record_batch([*part.columns, pa.array([len(w) for w in words], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=[*part.schema.names, "n", "entries"])
+                bags = [bag(w) if len(w) else None for w in words]
+                columns = [part.column(c) for c in ("key", "check", "doc_id")]
+                columns += [_packed(part.column("text")), pa.array([len(w) for w in words], pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array(bags, pa.binary())]
+                yield pa.record_batch(columns, names=["key", "check", "doc_id", "packed", "n", "entries", "bag"])
 
     # of each text one row, before it is read: copies are merged where they lie
     rows = docs.groupBy("key", "check").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    sketched = cut(rows.mapInArrow(sketches, f"key long, check int, doc_id {kind}, text string, n int, entries array<long>"))
+    sketched = cut(rows.mapInArrow(sketches, f"key long, check int, doc_id {kind}, packed binary, n int, entries array<long>, bag binary"))
     release(spark)
     shared = cut(sketched.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
     nodes = _told_apart(sketched, shared)
@@ -306,7 +382,7 @@ def _components(docs: DataFrame, k: int, take: int, entries: int, least: float)
     near = lambda x, y: F.abs(x - y) <= F.floor((1 - least) * F.greatest(x, y) + 1e-9)
     first = cut(members.filter((F.col("key") != F.col("to")) & near(F.col("n"), F.col("to_n"))).select(F.col("key").alias("a"), F.col("to").alias("b")).distinct())
     release(spark)
-    texts = nodes.select("key", "n", "text")
+    texts = nodes.select("key", "n", "packed", "bag")
     links = verify(first, texts, least)
     drop(first)
     release(spark)

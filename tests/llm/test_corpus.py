@@ -5,6 +5,7 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -412,6 +413,52 @@ def test_long_near_copies_and_bounded_memory():
     tracemalloc.stop()
 
 
+def test_bags_leave_every_link_and_few_others():
+    """Whatever the edits are, a text that is similar may link by its bag; most of a large vocabulary's others may not."""
+    pick = random.Random(13)
+    kept = 0
+    for n in (5, 14, 40, 200, 700, 3000):
+        for _ in range(20):
+            a = np.array([pick.randrange(1, 3000) for _ in range(n)], np.uint64)
+            b = a.tolist()
+            for _ in range(pick.randint(0, n // 5)):
+                at = pick.randrange(len(b) + 1)
+                b[at : at + pick.randint(0, 1)] = [pick.randrange(1, 3000)] * pick.randint(0, 1)
+            others = [np.array(b or [1], np.uint64), np.full(n, 7, np.uint64), np.array([pick.randrange(1, 3000) for _ in range(n)], np.uint64)]
+            bags = np.array([np.frombuffer(neardup.bag(x), np.uint8) for x in (a, *others)])
+            may = neardup.may_link(n, bags[0], np.array([len(x) for x in others]), bags[1:], 0.8)
+            assert all(m or not neardup._Text(a).similar(neardup._Text(x), 0.8) for m, x in zip(may, others, strict=True))
+            assert not may[1] or n < 10
+            kept += bool(may[2])
+    assert kept <= 24, kept  # of 120
+
+
+def test_texts_travel_only_where_a_link_is_possible(spark, monkeypatch):
+    """Texts that share a passage of their buckets, but hardly anything else, aren't sent for a comparison; a link is."""
+    pick = random.Random(6)
+    passage = [f"p{i}" for i in range(30)]
+    texts = [passage + [f"w{pick.randrange(10**6)}" for _ in range(60)] for _ in range(40)]
+    texts.append([*texts[3][:85], *(f"z{i}" for i in range(5))])
+    sent = []
+    facing = neardup._facing
+
+    def counted(cast, load, carried, *rest):
+        if "packed" in carried:
+            sent.append(cast.count())
+        return facing(cast, load, carried, *rest)
+
+    monkeypatch.setattr(neardup, "_facing", counted)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert found == {i: 3 if i == 40 else i for i in range(41)}
+    assert sent and sum(sent) <= 4  # 41 texts lie in buckets together
+
+
+def test_texts_come_back_from_their_packed_form():
+    texts = pa.array(["", None, "a b", "Größe \U0001f600 " * 1000])
+    assert neardup._unpacked(neardup._packed(texts)).to_pylist() == texts.to_pylist()
+
+
 def test_texts_of_one_key_are_told_apart(spark):
     rows = spark.createDataFrame([(1, 10, "a"), (1, 11, "b"), (2, 10, "c")], "key long, check int, text string")
     apart = neardup._told_apart(rows, spark.createDataFrame([(1,)], "key long")).collect()
