@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.plans.lineage import Tables, cut
+from factorloom.plans.lineage import Tables, cut, drop
 
 MOST_LEAVES = 4096  # bounds what is broadcast: 2 rank + 1 doubles a leaf
 ASK = "user long, v array<double>, leaf int"
@@ -97,9 +97,17 @@ class Leaves:
     def wave(self, users: np.ndarray, least: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
         """(user, leaf) for the first-th to last-th leaves of each user's order that may reach ``least``."""
         bound = self.bounds(users)
-        order = np.argsort(-bound, axis=1, kind="stable")[:, first:last]
-        i, j = np.nonzero(np.take_along_axis(bound, order, 1) >= least[:, None])
-        return i, self.ids[order[i, j]]
+        if first == 0 and last == 1:
+            i, j = np.arange(len(users)), bound.argmax(axis=1)
+            some = bound[i, j] >= least
+            return i[some], self.ids[j[some]]
+        # leaves that may reach ``least`` are the first of the order, mostly few of very many: only these are sorted
+        i, j = np.nonzero(bound >= least[:, None])
+        order = np.lexsort((j, -bound[i, j], i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        some = (place >= first) & (place < last)
+        return i[some], self.ids[j[some]]
 
 
 def _tree(items: DataFrame, rank: int, block: int) -> Tree:
@@ -201,6 +209,11 @@ def search(users: DataFrame, items: DataFrame, rank: int, n: int, seen: DataFram
             if not now:
                 break  # later bounds are no greater, and a user's n-th best never falls
             visits += now
+            if first:  # who doesn't ask now never asks again
+                still = cut(asks.select("user").distinct())
+                asking = cut(asking.join(still, "user", "left_semi"), asking)
+                gone = gone if gone is None else cut(gone.join(still, "user", "left_semi"), gone)
+                drop(still)
             u_part = F.pmod(F.xxhash64("user"), F.col("u_parts")).alias("u_part")
             each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
             left = goods.join(F.broadcast(load.select("leaf", "u_parts")), "leaf").select("leaf", "part", each("u_parts").alias("u_part"), "item", "v")

@@ -79,6 +79,22 @@ def test_bounds_hold():
     assert (leaves.bounds(x)[:, 0] >= (x @ y.T).max(axis=1)).all()
 
 
+def test_a_wave_sorts_only_leaves_that_may_reach_the_least(monkeypatch):
+    """The leaves of a wave are those of the whole order, ties in their order too, without sorting every leaf of every user."""
+    random = np.random.default_rng(4)
+    centre = np.round(random.standard_normal((300, 3)), 1)
+    leaves = Leaves(np.arange(300)[::-1].copy(), centre - 0.1, centre + 0.1, np.linalg.norm(np.abs(centre) + 0.1, axis=1))
+    users = np.round(random.standard_normal((60, 3)), 1)
+    bound = leaves.bounds(users)
+    whole = np.argsort(-bound, axis=1, kind="stable")
+    monkeypatch.setattr(np, "argsort", None)
+    for least in (np.full(60, -np.inf), np.median(bound, axis=1), np.sort(bound, axis=1)[:, -3], np.full(60, np.inf)):
+        for first, last in ((0, 1), (1, 3), (3, 7), (255, 511)):
+            expected = {(u, int(leaves.ids[j])) for u in range(60) for j in whole[u, first:last] if bound[u, j] >= least[u]}
+            i, leaf = leaves.wave(users, least, first, last)
+            assert set(zip(i.tolist(), leaf.tolist(), strict=True)) == expected and len(i) == len(expected)
+
+
 def test_odd_rows(spark):
     users = spark.createDataFrame([(1, [1.0, 1.0], "a"), (2, None, "b"), (3, [1.0, None], "c"), (4, [float("nan"), 1.0], "d"), (None, [1.0, 1.0], "e"), (5, [1.0], "f")], "id long, features array<double>, item string")
     items = spark.createDataFrame([(1, [2.0, 1.0]), (2, [float("inf"), 1.0]), (3, None), (4, [0.0, 0.5]), (None, [9.0, 9.0])], FACTORS)
