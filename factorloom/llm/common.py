@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.plans.lineage import cut, drop, scratch, shared_folder  # noqa: F401  for the operators of this subpackage
+from factorloom.plans.lineage import by_merge, cut, drop, few, scratch, shared_folder  # noqa: F401  for the operators of this subpackage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import cut, small_batches
+from factorloom.llm.common import by_merge, cut, few, release, small_batches
 from factorloom.operators.numbering import ordinals
 
 UNIT = 24  # rates are held as multiples of 2**-24: sums of 2**38 documents of a source fit into 64 bits
@@ -47,6 +47,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: f
     numbered = ordinals(sources, "source", "__n")
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("__n") % len(weights) + 1).cast("int"))
     rows = cut(numbered.withColumn("weight", weight).drop("__n"))
+    rows = few(rows, rows.count())
     wanted = share * (rows.agg(F.sum("source_size")).first()[0] or 0)
     stop, level = most * F.col("source_size"), 0.0
     while True:
@@ -59,11 +60,13 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: f
     return rows.withColumn("target", F.least(stop, level * F.col("weight")))
 
 
-def multipliers(groups: DataFrame, sources: DataFrame, most: float = 2.0, steps: int = 60, close: float = 1e-7) -> DataFrame:
+def multipliers(groups: DataFrame, sources: DataFrame, most: float = 2.0, steps: int = 60, close: float = 1e-7, rows: int | None = None) -> DataFrame:
     """Adds ``lambda`` to the sources: Newton's method on the dual, all sources at once.
 
-    groups: (__key, __size, n) with sizes over 0; sources: (__key, source_size, docs, least, target).
+    groups: (__key, __size, n) with sizes over 0; sources: (__key, source_size, docs, least, target), each with a group.
+    rows: how many groups there are, if that is known; few are read as one partition, so that a step has no exchange.
     """
+    rows = groups.count() if rows is None else rows
     x = F.col("__size") / F.col("scale")
     grown = F.col("target") >= F.col("source_size")
     least_x = F.col("least") / F.col("scale")
@@ -75,23 +78,26 @@ def multipliers(groups: DataFrame, sources: DataFrame, most: float = 2.0, steps:
             F.when(grown, math.log(most) / least_x).otherwise(0.0).alias("high"),
         )
     )
+    state = few(state, rows)
     kept = state.columns
     tilt = F.col("lambda") * x
     words = F.col("n") * F.col("__size")
     exact = lambda c: F.sum(F.round(c * (1 << 24)).cast("decimal(38,0)")).cast("double") / (1 << 24)
-    for _ in range(steps):
-        sums = groups.join(state, "__key").groupBy("__key").agg(
+    for done in range(steps):
+        if done % 4 == 0:
+            release(groups.sparkSession)
+        sums = groups.join(by_merge(state.select(*kept), rows), "__key").groupBy(*kept).agg(
             exact(words * F.least(F.lit(most), F.exp(F.least(tilt, F.lit(1.0))))).alias("f"),
             exact(F.when(tilt < math.log(most), words * x * F.exp(tilt)).otherwise(0.0)).alias("slope"),
         )
         off = F.col("f") - F.col("target")
-        moved = state.join(sums, "__key").withColumn("low", F.when(off < 0, F.col("lambda")).otherwise(F.col("low"))).withColumn("high", F.when(off > 0, F.col("lambda")).otherwise(F.col("high")))
+        moved = sums.withColumn("low", F.when(off < 0, F.col("lambda")).otherwise(F.col("low"))).withColumn("high", F.when(off > 0, F.col("lambda")).otherwise(F.col("high")))
         newton = F.col("lambda") - off / F.col("slope")
         inside = (F.col("slope") > 0) & (newton > F.col("low")) & (newton < F.col("high"))
         step = F.when(F.abs(off) <= close * F.col("target"), F.col("lambda")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
         # a few digits less than a double has, so that the last ones of exp() can't matter
         moved = moved.withColumn("lambda", F.when(F.col("target") >= most * F.col("source_size"), F.col("high")).otherwise(step)).withColumn("off", F.when(F.col("target") >= most * F.col("source_size"), 0.0).otherwise(F.abs(off) / F.col("target")))
-        state = cut(moved.select(*kept, "off"), state)
+        state = few(cut(moved.select(*kept, "off"), state), rows)
         if (state.agg(F.max("off")).first()[0] or 0.0) <= close:
             break
     return state.select(*kept).withColumn("lambda", F.round("lambda", 12))
@@ -110,29 +116,33 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     made = {"__key": key, "__size": word_count(F.col(text_col)), "__hash": F.xxhash64(id_col, text_col)}
     sized = cut(docs.select(*(F.col(f"`{c}`") for c in keep), *(c.alias(n) for n, c in made.items())))
     groups = cut(sized.groupBy("__key", "__size").agg(F.count("*").alias("n")))
+    rows = groups.count()
+    groups = few(groups, rows)
     totals = groups.groupBy("__key").agg(F.sum(F.col("n") * F.col("__size")).alias("source_size"), F.sum(F.when(F.col("__size") > 0, F.col("n"))).alias("docs"), F.min(F.when(F.col("__size") > 0, F.col("__size"))).alias("least"))
     totals = totals.withColumn("source", F.when(F.substring("__key", 1, 1) == "s", F.expr("substring(__key, 2)")))
-    aims = cut(targets(totals, weights, share, most))
-    solved = multipliers(groups.filter("__size > 0"), aims.filter("source_size > 0").drop("source", "weight"), most)
+    aims = few(cut(targets(totals, weights, share, most)), rows)
+    solved = multipliers(groups.filter("__size > 0"), aims.filter("source_size > 0").drop("source", "weight"), most, rows=rows)
+    release(docs.sparkSession)
 
     # copies of a (source, size): the whole numbers that the running sum of its rates passes
     one = 1 << UNIT
     rate = F.least(F.lit(most * one).cast("long"), F.round(F.exp(F.least(F.col("lambda") * F.col("__size") / F.col("scale"), F.lit(math.log(most)))) * one).cast("long"))
     rate = F.when(F.col("target") >= most * F.col("source_size"), F.lit(most * one).cast("long")).otherwise(rate)
     upto = F.sum("units").over(Window.partitionBy("__key").orderBy("__size").rowsBetween(Window.unboundedPreceding, 0))
-    rated = groups.join(solved.select("__key", "lambda", "scale", "target", "source_size"), "__key").withColumn("units", F.col("n") * rate).withColumn("upto", upto)
-    rated = cut(rated.select("__key", "__size", "target", "units", "upto"))
+    rated = groups.join(by_merge(solved.select("__key", "lambda", "scale", "target", "source_size"), rows), "__key").withColumn("units", F.col("n") * rate).withColumn("upto", upto)
+    rated = few(cut(rated.select("__key", "__size", "target", "units", "upto")), rows)
     passed = lambda c: F.shiftright(c + F.col("start"), UNIT)
     whole = passed(F.col("upto")) - passed(F.col("upto") - F.col("units"))
     tried = rated.withColumn("start", F.explode(F.array(*(F.lit((2 * i + 1) * one // (2 * starts)).cast("long") for i in range(starts)))))
     tried = tried.groupBy("__key", "start").agg(F.abs(F.sum(whole * F.col("__size")) - F.first("target")).alias("off"))
     best = tried.groupBy("__key").agg(F.min(F.struct("off", "start")).alias("best")).select("__key", F.col("best.start").alias("start"))
-    rated = rated.join(best, "__key").withColumn("whole", whole)
-    rated = groups.join(rated.select("__key", "__size", "whole"), ["__key", "__size"], "left").join(aims.select("__key", "source_size", "target"), "__key")
+    rated = few(rated.join(by_merge(best, rows), "__key"), rows).withColumn("whole", whole)
+    rated = groups.join(by_merge(rated.select("__key", "__size", "whole"), rows), ["__key", "__size"], "left").join(by_merge(aims.select("__key", "source_size", "target"), rows), "__key")
     whole = F.when(F.col("__size") > 0, F.col("whole")).otherwise(F.col("n"))
     of = F.col("n")
     rated = rated.select("__key", "__size", of.alias("__n"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.floor(whole / of).alias("__base"), (whole % of).alias("__extra"))
     rated = cut(rated)
+    release(docs.sparkSession)
 
     # the extra copies of a (source, size) are dealt to hash slots of about 64 rows, then to the first rows of a slot
     placed = sized.join(rated, ["__key", "__size"]).withColumn("__slot", F.pmod(F.col("__hash"), F.ceil(F.col("__n") / 64)))

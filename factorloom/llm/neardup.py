@@ -379,6 +379,7 @@ def _components(docs: DataFrame, k: int, take: int, entries: int, least: float)
     # written, as hosts below, so that the join deals both sides anew and can split a bucket of very many texts
     buckets = cut(entry.groupBy("entry").agg(F.min("key").alias("to"), F.min_by("n", "key").alias("to_n"), F.count("*").alias("c")).filter("c > 1").drop("c"))
     members = cut(entry.join(buckets, "entry"), buckets)
+    release(spark)
     near = lambda x, y: F.abs(x - y) <= F.floor((1 - least) * F.greatest(x, y) + 1e-9)
     first = cut(members.filter((F.col("key") != F.col("to")) & near(F.col("n"), F.col("to_n"))).select(F.col("key").alias("a"), F.col("to").alias("b")).distinct())
     release(spark)
@@ -398,6 +399,7 @@ def _components(docs: DataFrame, k: int, take: int, entries: int, least: float)
     more = across(cast, texts, least)
     drop(cast)
     found = components(links.union(more))
+    release(spark)
     named = nodes.join(found.toDF("key", "component"), "key", "left").select("key", "check", "doc_id", "n", F.coalesce("component", "key").alias("component"))
     return cut(named, sketched, links, more, found), shared
 

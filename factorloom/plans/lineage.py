@@ -79,6 +79,28 @@ def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
     return out
 
 
+FEW = 1 << 16  # rows
+
+
+def few(table: DataFrame, rows: int) -> DataFrame:
+    """A table, read as one partition if it and all that is made of it have ``rows`` rows, ``FEW`` at most.
+
+    Its groupings and merge joins need no exchange then (what a join gives needs another ``few`` before the next join), so each step of a loop is one stage that the driver plans once. Every
+    exchange costs the driver a plan made anew, code, a thread and a stage's figures, which it keeps however small the table is.
+    """
+    if rows > FEW:
+        return table
+    one = table.coalesce(1)
+    if "written_to" in vars(table):
+        one.written_to = table.written_to
+    return one
+
+
+def by_merge(table: DataFrame, rows: int) -> DataFrame:
+    """What ``few`` gave, for a join without a broadcast; larger tables are joined as Spark finds best."""
+    return table.hint("merge") if rows <= FEW else table
+
+
 def drop(*spent: DataFrame) -> None:
     """Deletes the files of tables that ``cut`` gave; what still reads them fails."""
     for df in spent:

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factorloom.llm import chat, mixing, neardup, secrets
+from factorloom.llm import chat, components, mixing, neardup, secrets
+from factorloom.plans import lineage
 
 # --- mixing
 
@@ -81,6 +82,29 @@ def test_mixing_odd(odd, empty):
     assert mixing.mix(empty).collect() == [] and mixing.digests(empty).collect() == []
 
 
+def test_few_sources_and_links_are_not_exchanged(spark, corpus, monkeypatch):
+    """Steps of the mix and rounds of components are one stage each where tables are small, with the rows of the general way."""
+    links = spark.createDataFrame([(i, i + 1 + i % 3) for i in range(0, 400, 2)], "a long, b long")
+    plans, rows = {}, {}
+    for few in (lineage.FEW, 0):
+        seen = plans[few] = []
+
+        def noted(df, *spent):
+            seen.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+            return lineage.cut(df, *spent)
+
+        monkeypatch.setattr(lineage, "FEW", few)
+        for module in (mixing, components):
+            monkeypatch.setattr(module, "cut", noted)
+        rows[few] = [Counter(map(tuple, made.collect())) for made in (mixing.digests(corpus), components.components(links))]
+    assert rows[lineage.FEW] == rows[max(plans)]
+    for few, seen in plans.items():
+        steps = [plan for columns, plan in seen if "off" in columns]
+        rounds = [plan for columns, plan in seen if columns in (["u", "to"], ["node", "root"])]
+        assert len(steps) > 2 and len(rounds) > 2
+        assert all(("Exchange" in plan) == (few == 0) for plan in steps + rounds[1:]), few
+
+
 # --- secrets
 
 
