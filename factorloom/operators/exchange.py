@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions import exact
 from factorloom.operators.solvers import cholesky, nnls, pack, unpack
-from factorloom.plans.lineage import cut
+from factorloom.plans.lineage import cut, drop, forget
 
 PART = 1 << 18  # ratings of an entity in one block
 _NAMED = 4096  # blocks up to which each gets a partition of its own
@@ -47,7 +47,8 @@ class Blocks:
     A packed block holds its entities' ids, whether all of their ratings are here, where the ratings of each end, the ids of
     the other side that are rated here and, for each rating, which of them it is of and its value.
     mine: (id, block) for entities in several blocks, else None; theirs: (id, block), the blocks that need a factor of the
-    other side; placed: adds the column ``block`` to rows with an id, if each is in one.
+    other side; placed: adds the column ``block`` to rows with an id, if each is in one; written: the table that ratings are
+    cached from, so that the exchange that dealt them isn't kept.
     """
 
     key: str
@@ -56,11 +57,13 @@ class Blocks:
     mine: DataFrame | None
     placed: Callable[[DataFrame], DataFrame]
     partitions: int
+    written: DataFrame
 
     def unpersist(self) -> None:
         for df in (self.ratings, self.theirs, self.mine):
             if df is not None:
                 df.unpersist()
+        drop(self.written)
 
 
 @lru_cache(maxsize=64)
@@ -120,9 +123,11 @@ def deal(ratings: DataFrame, key: str, sizes: DataFrame, partitions: int, level:
         rows = placed(rows).select(block.alias("block"), F.col("__parts").isNull().alias("whole"), "id", "other", "rating")
     else:
         rows = placed(rows).select("block", F.lit(True).alias("whole"), "id", "other", "rating")
-    packed = rows.repartition(partitions, "block").groupBy("block").applyInArrow(_pack, PACKED).repartition(partitions, "block").persist(level)
+    written = cut(rows.repartition(partitions, "block").groupBy("block").applyInArrow(_pack, PACKED))
+    forget(spark)
+    packed = written.repartition(partitions, "block").persist(level)
     links = lambda column: packed.select("block", column).mapInArrow(_links, "id long, block int").repartition(partitions, "id").persist(level)
-    return Blocks(key, packed, links("known"), links("ids") if many else None, placed, partitions)
+    return Blocks(key, packed, links("known"), links("ids") if many else None, placed, partitions, written)
 
 
 def _pack(rows: pa.Table) -> pa.Table:

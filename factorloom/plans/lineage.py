@@ -109,6 +109,11 @@ def drop(*spent: DataFrame) -> None:
             owner.owned.pop(df.written_to, None)
 
 
+def forget(spark: SparkSession) -> None:
+    """Shuffle files that no plan in use needs any more go now, not whenever the driver next collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 class Tables:
     """Owns the tables that ``cut`` writes while it is open, apart from those handed over.
 

@@ -23,7 +23,7 @@ from factorloom.operators import objective as O
 from factorloom.operators.normal_equations import gram, grams
 from factorloom.operators.solvers import minimize
 from factorloom.plans import progress
-from factorloom.plans.lineage import Tables, cut, drop
+from factorloom.plans.lineage import Tables, cut, drop, forget
 from factorloom.plans.model import FactorModel
 
 log = logging.getLogger("factorloom")
@@ -95,15 +95,16 @@ class _Run:
 
     def __init__(self, ratings: DataFrame, s: Settings):
         self.s, spark = s, ratings.sparkSession
-        # held until both layouts are made, so that what makes the ratings runs once
-        ratings = ratings.select("user", "item", "rating").persist(s.intermediate_level)
+        # written until both layouts are made, so that what makes the ratings runs once and its exchanges aren't kept
+        ratings = cut(ratings.select("user", "item", "rating"))
+        forget(spark)
         sizes = {key: cut(ratings.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("n"), F.count_if(F.col("rating") > 0).alias("seen"))) for key in SIDES}
         tally = [F.sum("n"), F.count_if(F.col("n") > s.part)]
         rows, *many = (v or 0 for row in sizes["user"].agg(*tally).union(sizes["item"].agg(*tally)).collect() for v in row)
         usual = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows >> 20)
         self.by = {key: X.deal(ratings, key, sizes[key], n or usual, s.intermediate_level, s.part, many[2 * i]) for i, (key, n) in enumerate(zip(SIDES, (s.user_blocks, s.item_blocks), strict=True))}
         self.by["user"].theirs.union(self.by["item"].theirs).count()
-        ratings.unpersist()
+        drop(ratings)
         self.written: dict[str, DataFrame] = {}
         self.state: dict[str, DataFrame] = {key: initial(sizes[key], s, i) for i, key in enumerate(SIDES)}
 
@@ -133,6 +134,7 @@ class _Run:
         spent = [self.written[key] for key in new if key in self.written]
         for key, df in new.items():
             self.written[key] = self.state[key] = cut(df)
+            forget(df.sparkSession)
         drop(*spent)
 
     def line(self, starts: list[float]) -> tuple[float, float]:
@@ -144,6 +146,7 @@ class _Run:
         for key in SIDES:
             counts = counts.union(counted(self.state[key], norms))
         c = totals(counts, 5)
+        forget(counts.sparkSession)
         if s.implicit:
             c = [a + b for a, b in zip(c, O.whole_ray(self.state["user"], self.state["item"], s.rank), strict=True)]
         return minimize(c, starts)
@@ -157,6 +160,7 @@ class _Run:
         for key in SIDES:
             counts = counts.union(counted(self.state[key], norms))
         values = totals(counts, len(steps))
+        forget(counts.sparkSession)
         if s.implicit:
             names = [(f"t{n}", f"t{n}") for n in range(len(steps))]
             sides = [grams(self.state[key].select(*(point(t, d).alias(f"t{n}") for n, (t, d) in enumerate(steps))), s.rank, *names) for key in SIDES]
@@ -277,12 +281,17 @@ def train_pncg(ratings: DataFrame, **settings) -> FactorModel:
     def advance(run: _Run, *keep: str) -> None:
         """States with the gradient and the preconditioned one, x minus the round's result; two passes over the ratings."""
         step = mixed(1.0, x, -1.0, F.col("solved"))
-        was, spent = run.state, list(run.written.values())
+        was, spent = run.state, run.written
         users = cut(run.solve("user", was["user"], was["item"], keep=keep))
+        if spent:
+            drop(spent["user"])  # the new states hold what the items' pass needs of it
+        forget(users.sparkSession)
         items = cut(run.solve("item", was["item"], users, "solved", "factor", keep))
+        forget(users.sparkSession)
         run.written = {"user": users, "item": items}
         run.state = {key: df.withColumn("pre", step).drop("solved", "loss") for key, df in run.written.items()}
-        drop(*spent)
+        if spent:
+            drop(spent["item"])
 
     def start(run: _Run) -> dict:
         k = run.s.rank

@@ -242,3 +242,14 @@ def test_near_ids_share_a_block(spark):
     b = dealt(huge, "user", 4)  # ids that no double tells apart
     assert b.ratings.select(F.sum(F.expr("octet_length(rating) / 8"))).first()[0] == 64
     b.unpersist()
+
+
+def test_the_exchange_that_dealt_ratings_isnt_kept(spark, sparse):
+    """Cached blocks come from a written table, so the shuffle files of the ratings can go; the table goes with the blocks."""
+    before = written(spark)
+    b = dealt(sparse, "user")
+    plan = b.ratings._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan and "parquet" in plan
+    assert len(written(spark) - before) == 1
+    b.unpersist()
+    assert written(spark) == before
