@@ -1,5 +1,8 @@
 """The best items of every user by inner product, exactly, without all pairs.
 
+Items of equal vectors score alike, so of these only the n + m with the smallest ids can
+be anyone's, where m is the most of them that one user has seen; the rest are left out.
+
 Items are dealt into the leaves of a k-d tree over their factors and their norm. The tree
 is fitted to a bounded sample; what a leaf can give is told by all of its items: the
 least and greatest value of each component and the greatest norm. No item of a leaf
@@ -31,6 +34,7 @@ from factorloom.plans.lineage import Tables, cut, drop
 
 MOST_LEAVES = 4096  # bounds what is broadcast: 2 rank + 1 doubles a leaf
 ASK = "user long, v array<double>, leaf int"
+SMALL = 1 << 18  # items that are sent to the pairs seen, of 16 bytes each, instead of being joined by an exchange
 
 
 def _usable(v: Column, rank: int) -> Column:
@@ -125,6 +129,30 @@ def _leaves(dealt: DataFrame, rank: int) -> Leaves:
     return Leaves(found["leaf"].to_numpy(np.int64), *box, found["norm"].to_numpy(np.float64))
 
 
+def _kinds(goods: DataFrame, most: int) -> DataFrame:
+    """(item, v, kind, place): the first ``most`` items of each vector in the order of their ids; kind: the first's id."""
+    kind = Window.partitionBy("v")
+    some = goods.withColumn("place", F.row_number().over(kind.orderBy("item"))).filter(F.col("place") <= most)
+    return some.withColumn("kind", F.min("item").over(kind))
+
+
+def _possible(goods: DataFrame, pairs: DataFrame | None, n: int) -> tuple[DataFrame, DataFrame | None]:
+    """Written tables: the items (item, v) that anyone can be recommended, and the pairs seen of them, each once. ``goods`` is used up.
+
+    A user who has seen s items of a kind gets none beyond its first n + s. At first s is bounded by all of a user's pairs,
+    which leaves few pairs to count for each user and kind.
+    """
+    if pairs is None:
+        return cut(_kinds(goods, n).select("item", "v"), goods), None
+    most = pairs.filter(F.col("user").isNotNull()).groupBy("user").count().agg(F.max("count")).first()[0] or 0
+    front = cut(_kinds(goods, min(n + most, (1 << 31) - 1)), goods)
+    of = front.select("item", "kind")
+    gone = cut(pairs.join(F.broadcast(of) if front.count() <= SMALL else of, "item").distinct())
+    met = gone.groupBy("user", "kind").count().groupBy("kind").agg(F.max("count").alias("met"))
+    able = F.col("place") <= n + F.coalesce("met", F.lit(0))
+    return cut(front.join(met, "kind", "left").filter(able).select("item", "v"), front), gone
+
+
 def _best_of_block(items: pa.Table, askers: pa.Table, rank: int, n: int) -> pa.Table:
     """The n best unseen items of one part of a leaf for each asker. Askers' rows without a vector are pairs that were seen."""
     # a user whose seen pairs are here asks here too
@@ -169,6 +197,8 @@ def search(users: DataFrame, items: DataFrame, rank: int, n: int, seen: DataFram
     with Tables() as tables:
         asking = cut(_factors(users, "user", rank))
         goods = cut(_factors(items, "item", rank))
+        pairs = None if seen is None else seen.select(F.col("user").cast("long").alias("user"), F.col("item").cast("long").alias("item"))
+        goods, pairs = _possible(goods, pairs, n)
         tree = spark.sparkContext.broadcast(_tree(goods, rank, block))
 
         def deal(batches):
@@ -182,9 +212,8 @@ def search(users: DataFrame, items: DataFrame, rank: int, n: int, seen: DataFram
         leaves = _leaves(goods, rank)
         sent = spark.sparkContext.broadcast(leaves)
         gone = None
-        if seen is not None:
-            pairs = seen.select(F.col("user").cast("long").alias("user"), F.col("item").cast("long").alias("item")).distinct()
-            gone = cut(pairs.join(goods.select("item", "leaf", "part"), "item").select("user", F.col("item").alias("seen"), "leaf", "part"))
+        if pairs is not None:
+            gone = cut(pairs.join(goods.select("item", "leaf", "part"), "item").select("user", F.col("item").alias("seen"), "leaf", "part"), pairs)
 
         best = cut(spark.createDataFrame([], "user long, item long, score double, rank int"))
         visits, first, wave = 0, 0, 1

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factorloom.operators.recommend import Leaves, recommend, search
+from factorloom.operators.recommend import Leaves, _factors, _possible, recommend, search
+from factorloom.plans.lineage import cut
 from factorloom.plans.model import FactorModel, predict
 
 FACTORS = "id long, features array<double>"
@@ -117,3 +118,18 @@ def test_model_recommends_both_ways(spark):
     some = model.recommend_users(2, spark.createDataFrame([(4,), (4,), (99,)], "id long"), spark.createDataFrame([(0, 4)], "user long, item long"))
     assert rows(some) == sorted(r for r in by_force(y, x, 2, {(4, 0)}) if r[0] == 4)
     assert some.filter(F.col("item") != 4).isEmpty()
+
+
+def test_of_equal_items_only_those_that_anyone_can_get_are_compared(spark):
+    """200 items of each of three vectors, 0 and -0 being equal: a user who has seen 30 of one gets the next, the rest stays out."""
+    y = np.tile([[1.0, 0.5], [0.0, 2.0], [-1.0, 1.0]], (200, 1))
+    y[1::6, 0] = -0.0
+    x = np.array([[1.0, 0.0], [0.0, 1.0], [-1.0, -1.0], [1.0, 1.0]])
+    seen = {(1, i) for i in range(1, 91, 3)} | {(0, 3), (3, 1), (3, 7)}
+    pairs = spark.createDataFrame([*seen, *seen, (2, 10**6), (None, 4), (3, None)], "user long, item long")
+    goods, gone = _possible(cut(_factors(factors(spark, y), "item", 2)), pairs, 4)
+    kinds = [sorted(r.item for r in goods.collect() if r.item % 3 == k) for k in range(3)]
+    assert kinds == [[*range(k, 3 * most, 3)] for k, most in ((0, 5), (1, 34), (2, 4))]
+    assert {(r.user, r.item) for r in gone.collect() if r.user is not None} == seen and gone.count() == len(seen) + 1
+    assert rows(recommend(factors(spark, x), factors(spark, y), 2, 4, pairs, block=8)) == sorted(by_force(x, y, 4, seen))
+    assert rows(recommend(factors(spark, x), factors(spark, y), 2, 4, block=8)) == sorted(by_force(x, y, 4))
